@@ -59,3 +59,30 @@ clv_lines AS (
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(v.strip() for v in views)
+
+MERGED = MARKET_TABLES + """,
+m_rev1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY review_score) AS rn
+                          FROM m_reviews) WHERE rn = 1),
+m_pay1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id
+             ORDER BY payment_sequential, payment_type, payment_installments, payment_value) AS rn
+           FROM m_payments) WHERE rn = 1),
+m_prod AS (SELECT * FROM (SELECT p.*, t.product_category_name_english,
+             row_number() OVER (PARTITION BY p.product_id ORDER BY p.product_category_name, p.product_brand,
+                                p.product_photos_qty, t.product_category_name_english) AS rn
+           FROM m_products p JOIN m_translation t USING (product_category_name)) WHERE rn = 1),
+merged AS (
+  SELECT o.order_id, o.customer_id, o.order_status, o.order_purchase_timestamp, o.order_approved_at,
+         c.customer_unique_id, c.customer_state, c.customer_segment, r.review_score,
+         p.payment_sequential, p.payment_type, p.payment_installments, p.payment_value,
+         i.order_item_id, i.product_id, i.seller_id, i.order_delivered_customer_date, i.price, i.freight_value,
+         i.line_number, s.seller_state, pr.product_category_name, pr.product_brand, pr.product_photos_qty,
+         pr.product_category_name_english,
+         o.order_purchase_timestamp + to_days(CAST(5 + i.line_number * 10 AS INTEGER)) AS order_estimated_delivery_date
+  FROM m_orders o
+  LEFT JOIN m_customers c ON o.customer_id = c.customer_id
+  JOIN m_rev1 r ON o.order_id = r.order_id
+  LEFT JOIN m_pay1 p ON o.order_id = p.order_id
+  JOIN m_items i ON o.order_id = i.order_id
+  JOIN m_sellers s ON i.seller_id = s.seller_id
+  JOIN m_prod pr ON i.product_id = pr.product_id
+  WHERE o.order_status = 'delivered')"""

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailforge.operators import cleaning as C
+from retailforge.operators.joins import merge_marketplace
 from retailforge.operators.netting import cancellation_netting
+from retailforge.operators.rfm import days_between
 
 
 def clean_retail(lines: DataFrame, impute_method: str = "reference") -> DataFrame:
@@ -30,3 +32,42 @@ def clean_retail(lines: DataFrame, impute_method: str = "reference") -> DataFram
 def fmt_ts(c: str) -> F.Column:
     """Timestamp as ``yyyy-MM-dd HH:mm:ss`` text, for engine-neutral result tables."""
     return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
+
+
+def marketplace_lines(spark, sf_dir: str) -> DataFrame:
+    """Merged marketplace order lines (128) plus the estimated delivery date of the fixture mapping."""
+    from retailforge.sources.views import marketplace_tables
+    m = merge_marketplace(marketplace_tables(spark, sf_dir))
+    est = F.col("order_purchase_timestamp") + F.make_dt_interval(
+        F.lit(5) + F.col("line_number") * F.lit(10))
+    return m.withColumn("order_estimated_delivery_date", est)
+
+
+def delivery_features(df: DataFrame) -> DataFrame:
+    """Delivery-time features of the review model, v2 inputs (79)."""
+    approved, delivered = F.col("order_approved_at"), F.col("order_delivered_customer_date")
+    estimated = F.col("order_estimated_delivery_date")
+    return (df.withColumn("del_time", days_between(delivered, approved))
+              .withColumn("est_del_time", days_between(estimated, approved))
+              .withColumn("delta_time", days_between(estimated, delivered))
+              .withColumn("Late", F.when(F.col("delta_time") < 0, 1).otherwise(0))
+              .withColumn("total_price", F.col("price") + F.col("freight_value"))
+              .withColumn("freight_ratio", F.try_divide(F.col("freight_value"), F.col("price")))
+              .withColumn("purchase_day_of_week", F.dayofweek(approved)))
+
+
+REVIEW_V1 = ["review_score", "payment_type", "payment_installments", "payment_value", "price",
+             "freight_value", "product_photos_qty"]
+REVIEW_V2 = ["review_score", "payment_type", "payment_installments", "payment_value", "freight_value",
+             "product_photos_qty", "del_time", "est_del_time", "delta_time", "Late", "total_price",
+             "freight_ratio", "purchase_day_of_week"]
+
+
+def review_model_inputs(df: DataFrame, version: int = 2) -> DataFrame:
+    """Review-score model frame (131): v1 raw columns, v2 adds delivery features and drops price.
+
+    Columns are chosen by name (24) and incomplete rows dropped (25).
+    """
+    if version == 1:
+        return df.select(*REVIEW_V1).dropna()
+    return delivery_features(df).select(*REVIEW_V2).dropna()
