@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from retailforge.plans import q_aggs, q_market, q_retail  # noqa: F401
+from retailforge.plans import q_aggs, q_market, q_retail, q_rules  # noqa: F401
 from retailforge.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
