@@ -82,3 +82,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> dict[float,
         a, b = got[math.floor(h)], got[math.ceil(h)]
         out[p] = a + (h - math.floor(h)) * (b - a)
     return out
+
+
+def kth_smallest(df: DataFrame, col: str, k: int) -> float:
+    """Value of 0-based rank ``k`` of ``col`` (exact, same passes as ``exact_quantiles``)."""
+    stats = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    n = stats["n"]
+    if not 0 <= k < n:
+        raise ValueError(f"rank {k} outside 0..{n - 1}")
+    d = df.select(F.col(col).cast("double").alias(col))
+    return _order_stats(d, col, [k], n, float(stats["lo"]), float(stats["hi"]))[k]

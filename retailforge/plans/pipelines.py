@@ -19,13 +19,14 @@ def clean_retail(lines: DataFrame, impute_method: str = "reference") -> DataFram
     (15), variant counts (18), drop non-product codes (17), then netting of
     cancellations (21, 36-38, 69, 23).
     """
+    from retailforge.session import stage
     df = C.drop_adjustments(lines)
     df = C.drop_stock_upkeep(df)
-    df = C.drop_untrackable(df)
+    df = stage(C.drop_untrackable(df), "filtered")  # read by three branches below
     df = C.impute_price(df, method=impute_method)
     df = C.drop_null(df, "CustomerID")
     df = C.product_variations(df)
-    df = C.drop_nonproduct(df)
+    df = stage(C.drop_nonproduct(df), "repaired")   # netting reads its input five times
     return cancellation_netting(df)
 
 
@@ -71,3 +72,13 @@ def review_model_inputs(df: DataFrame, version: int = 2) -> DataFrame:
     if version == 1:
         return df.select(*REVIEW_V1).dropna()
     return delivery_features(df).select(*REVIEW_V2).dropna()
+
+
+def segment_customers(lines: DataFrame, k: int = 3) -> DataFrame:
+    """Cleaned lines -> RFM -> row score -> exact 1-D k-means labels (130)."""
+    from retailforge.operators.rfm import clv_score, rfm
+    from retailforge.operators.segments import optimal_1d_segments
+    from retailforge.session import stage
+    clean = stage(clean_retail(lines), "cleaned")
+    scored = stage(clv_score(rfm(clean, "InvoiceDate", "CustomerID", "UnitPrice", "Quantity")), "scored")
+    return optimal_1d_segments(scored, "clv", k)

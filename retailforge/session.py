@@ -61,3 +61,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def stage(df, name: str = "stage"):
+    """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage between pipeline stages (the reference exchanged files
+    between its scripts too): downstream branches scan the written table
+    instead of recomputing the upstream joins, and a lost executor only
+    costs the tasks of the current stage.  Parquet keeps column pruning and
+    filter pushdown on the re-read.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/retailforge-stages/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
