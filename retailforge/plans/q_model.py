@@ -121,3 +121,63 @@ def q_segments_end_to_end(spark, sf):
     from retailforge.plans.pipelines import segment_customers
     lab = segment_customers(retail_lines(spark, sf))
     return SG.cluster_quality(lab, "clv")
+
+
+# ---------------------------------------------------------------- regression (106-112)
+from retailforge.operators import regress as RG  # noqa: E402
+from retailforge.plans.oracle_views import MERGED  # noqa: E402
+from retailforge.plans.pipelines import marketplace_lines, review_model_inputs  # noqa: E402
+
+REVIEW_X = ["payment_installments", "payment_value", "freight_value", "product_photos_qty", "del_time",
+            "est_del_time", "delta_time", "Late", "total_price", "freight_ratio", "purchase_day_of_week"]
+
+
+def review_frame(spark, sf):
+    return review_model_inputs(marketplace_lines(spark, sf), version=2)
+
+
+@query("q_ols_simple", f"""{with_views(MERGED)}
+SELECT round(regr_intercept(price, freight_value), 6) AS intercept, round(regr_slope(price, freight_value), 6) AS slope,
+       round(regr_r2(price, freight_value), 6) AS r2, count(*) AS n FROM merged""")
+def q_ols_simple(spark, sf):
+    t = RG.ols(marketplace_lines(spark, sf), "price", ["freight_value"])
+    row = t.groupBy("r2", "n").pivot("term", ["(Intercept)", "freight_value"]).agg(F.first("estimate"))
+    return row.select(F.round("`(Intercept)`", 6).alias("intercept"), F.round("freight_value", 6).alias("slope"),
+                      F.round("r2", 6).alias("r2"), F.col("n").cast("long").alias("n"))
+
+
+@query("q_ols")
+def q_ols(spark, sf):
+    return RG.ols(review_frame(spark, sf), "review_score", REVIEW_X)
+
+
+@query("q_ols_diagnostics")
+def q_ols_diagnostics(spark, sf):
+    xs = ["payment_installments", "payment_value", "freight_value", "del_time"]
+    return RG.ols_diagnostics(review_frame(spark, sf), "review_score", xs)
+
+
+@query("q_aliased_columns")
+def q_aliased_columns(spark, sf):
+    names = RG.aliased_columns(review_frame(spark, sf), REVIEW_X, "review_score")
+    return spark.createDataFrame([(c,) for c in names], "aliased string")
+
+
+TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query("q_quantile_fit", f"""{with_views(MERGED)},
+r AS (SELECT price, row_number() OVER (ORDER BY price) AS rn, count(*) OVER () AS n FROM merged),
+t AS (SELECT * FROM (VALUES {", ".join(f"({t})" for t in TAUS)}) v(tau))
+SELECT CAST(t.tau AS DOUBLE) AS tau, r.price AS estimate
+FROM r, t WHERE r.rn = greatest(ceil(r.n * CAST(t.tau AS DOUBLE)), 1)""")
+def q_quantile_fit(spark, sf):
+    m = marketplace_lines(spark, sf).select("price")
+    return spark.createDataFrame([(t, RG.intercept_quantile(m, "price", t)) for t in TAUS],
+                                 "tau double, estimate double")
+
+
+@query("q_quantile_regression")
+def q_quantile_regression(spark, sf):
+    xs = ["payment_installments", "payment_value", "freight_value", "del_time"]
+    return RG.quantile_table(review_frame(spark, sf), "review_score", xs, taus=TAUS)
