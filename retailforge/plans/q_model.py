@@ -181,3 +181,70 @@ def q_quantile_fit(spark, sf):
 def q_quantile_regression(spark, sf):
     xs = ["payment_installments", "payment_value", "freight_value", "del_time"]
     return RG.quantile_table(review_frame(spark, sf), "review_score", xs, taus=TAUS)
+
+
+# ---------------------------------------------------------------- classification (98-105)
+from retailforge.functions import calendar as K  # noqa: E402
+from retailforge.operators import aggregates as AG  # noqa: E402
+from retailforge.operators import classify as CL  # noqa: E402
+from retailforge.session import stage  # noqa: E402
+
+SEG_NUM = ["Quantity", "UnitPrice", "InvoiceDate_DayofMonth"]
+SEG_CAT = ["Country", "InvoiceDate_DayofWeek", "InvoiceDate_MonthPeriod", "InvoiceDate_MonthName"]
+
+
+def segment_model_frame(spark, sf):
+    """Scored lines -> exact 1-D segments -> calendar features, staged with a row id, split 70/30 (S5 flow)."""
+    lab = SG.optimal_1d_segments(scored_lines(spark, sf), "clv", 3)
+    feat = K.calendar_features(lab, "InvoiceDate", "InvoiceDate")
+    feat = feat.withColumn("InvoiceDate_MonthPeriod", K.month_period("InvoiceDate_DayofMonth")) \
+               .withColumn("cluster", F.col("cluster").cast("string"))
+    frame = stage(feat.select(*SEG_NUM, *SEG_CAT, "cluster").withColumn("row_id", F.monotonically_increasing_id()),
+                  "segment_frame")
+    split = stage(SP.train_test_split(frame, "row_id", 0.7, seed=3), "segment_split")
+    return split.where(F.col("set") == "train").cache(), split.where(F.col("set") == "test").cache()
+
+
+@query("q_rf_segments")
+def q_rf_segments(spark, sf):
+    train, test = segment_model_frame(spark, sf)
+    model = CL.random_forest(train, "cluster", SEG_NUM, SEG_CAT, num_trees=50, mtry="sqrt")
+    pred = CL.predict_labels(model, test)
+    return AG.confusion(pred, "cluster", "predicted")
+
+
+@query("q_rf_grid")
+def q_rf_grid(spark, sf):
+    train, test = segment_model_frame(spark, sf)
+    return CL.rf_grid(train, test, "cluster", SEG_NUM, SEG_CAT, trees=(10, 25), mtry=("1", "sqrt", "all"))
+
+
+@query("q_rf_importance")
+def q_rf_importance(spark, sf):
+    train, test = segment_model_frame(spark, sf)
+    model = CL.random_forest(train, "cluster", SEG_NUM, SEG_CAT, num_trees=25, mtry="sqrt")
+    return CL.permutation_importance(model, test, SEG_NUM + SEG_CAT)
+
+
+@query("q_multinomial")
+def q_multinomial(spark, sf):
+    train, _ = segment_model_frame(spark, sf)
+    num, cat = ["Quantity", "UnitPrice"], ["InvoiceDate_MonthPeriod"]
+    model = CL.multinomial(train, "cluster", num, cat)
+    return CL.multinomial_table(model, train, CL.design_names(num, cat, model))
+
+
+@query("q_stepwise_aic")
+def q_stepwise_aic(spark, sf):
+    train, _ = segment_model_frame(spark, sf)
+    return CL.stepwise_aic(train, "cluster", ["Quantity", "UnitPrice", "InvoiceDate_DayofMonth"],
+                           ["InvoiceDate_MonthPeriod"], max_iter=30)
+
+
+@query("q_multinomial_accuracy")
+def q_multinomial_accuracy(spark, sf):
+    train, test = segment_model_frame(spark, sf)
+    model = CL.multinomial(train, "cluster", SEG_NUM, SEG_CAT)
+    tr = CL.predict_labels(model, train).withColumn("data", F.lit("train"))
+    te = CL.predict_labels(model, test).withColumn("data", F.lit("test"))
+    return AG.accuracy(tr.unionByName(te), "cluster", "predicted", by=["data"])
