@@ -248,3 +248,31 @@ def q_multinomial_accuracy(spark, sf):
     tr = CL.predict_labels(model, train).withColumn("data", F.lit("train"))
     te = CL.predict_labels(model, test).withColumn("data", F.lit("test"))
     return AG.accuracy(tr.unionByName(te), "cluster", "predicted", by=["data"])
+
+
+# ---------------------------------------------------------------- hinge models (113-115)
+from retailforge.operators import hinge as HG  # noqa: E402
+
+MARS_X = ["payment_installments", "payment_value", "freight_value", "del_time", "freight_ratio"]
+
+
+@query("q_mars_regression")
+def q_mars_regression(spark, sf):
+    df = review_frame(spark, sf)
+    kept, coef, _, n = HG.mars(df, "review_score", MARS_X, degree=2)
+    return spark.createDataFrame([(HG.term_label(t), float(c)) for t, c in zip(kept, coef[:, 0])],
+                                 "term string, coefficient double")
+
+
+@query("q_mars_importance")
+def q_mars_importance(spark, sf):
+    _, _, imp, _ = HG.mars(review_frame(spark, sf), "review_score", MARS_X, degree=1)
+    return spark.createDataFrame(imp, "col string, used int, nsubsets int, gcv double, rss double")
+
+
+@query("q_mars_classifier")
+def q_mars_classifier(spark, sf):
+    train, test = segment_model_frame(spark, sf)
+    score, _, _ = HG.mars_classifier(train, "cluster", ["Quantity", "UnitPrice", "InvoiceDate_DayofMonth"])
+    pred = score(test)
+    return AG.confusion(pred, "cluster", "predicted")
