@@ -52,6 +52,8 @@ def rule_text(antecedent: Column, consequent: Column) -> Column:
 def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int = 10,
                       num_partitions: int | None = None) -> DataFrame:
     """Frequent itemsets with support and count, sizes up to ``max_len`` (87)."""
+    from retailforge.session import stage
+    baskets = stage(baskets.select("items"), "baskets")  # counted, mined and re-read by the rules
     n = baskets.count()
     model = _fit(baskets, min_support, 1.0, num_partitions)
     fi = model.freqItemsets.where(F.size("items") <= max_len)
@@ -69,8 +71,10 @@ def association_rules(baskets: DataFrame, min_support: float, min_confidence: fl
     ``lift > 1`` subset); coverage = support / confidence is the antecedent's
     support and count = support · n (89).
     """
+    from retailforge.session import stage
+    baskets = stage(baskets.select("items"), "baskets")
     n = baskets.count()
-    model = _fit(baskets.select("items"), min_support, min_confidence, num_partitions)
+    model = _fit(baskets, min_support, min_confidence, num_partitions)
     r = model.associationRules.where((F.size("antecedent") + F.size("consequent") >= min_len)
                                      & (F.size("antecedent") + F.size("consequent") <= max_len))
     if min_lift is not None:

@@ -86,7 +86,8 @@ FROM lab GROUP BY cluster"""
 
 
 def _segment_table(spark, sf, k):
-    df = scored_lines(spark, sf)
+    from retailforge.session import stage
+    df = stage(scored_lines(spark, sf).select("clv"), "scored")  # two passes: distinct values, labels
     lab = SG.optimal_1d_segments(df, "clv", k)
     q = SG.cluster_quality(lab, "clv")
     return q.select(F.col("cluster").cast("int").alias("cluster"), "size", F.round("center", 6).alias("center"),
@@ -195,7 +196,7 @@ SEG_CAT = ["Country", "InvoiceDate_DayofWeek", "InvoiceDate_MonthPeriod", "Invoi
 
 def segment_model_frame(spark, sf):
     """Scored lines -> exact 1-D segments -> calendar features, staged with a row id, split 70/30 (S5 flow)."""
-    lab = SG.optimal_1d_segments(scored_lines(spark, sf), "clv", 3)
+    lab = SG.optimal_1d_segments(stage(scored_lines(spark, sf), "scored"), "clv", 3)
     feat = K.calendar_features(lab, "InvoiceDate", "InvoiceDate")
     feat = feat.withColumn("InvoiceDate_MonthPeriod", K.month_period("InvoiceDate_DayofMonth")) \
                .withColumn("cluster", F.col("cluster").cast("string"))
