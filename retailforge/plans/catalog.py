@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from retailforge.plans import q_aggs, q_market, q_model, q_retail, q_rules, q_series  # noqa: F401
+from retailforge.plans import q_aggs, q_market, q_model, q_retail, q_rules, q_series, q_stream  # noqa: F401
 from retailforge.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
