@@ -186,3 +186,21 @@ def arima_forecasts(df: DataFrame, keys: list[str], h: int = 12, order=(0, 0, 1)
                 for i, (p, a, b, c, d) in enumerate(fit.forecast(h, s2))]
         return pd.DataFrame(rows, columns=keys + FORECAST_COLS)
     return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def arima_fitted(df: DataFrame, keys: list[str], order=(0, 0, 1), seasonal=(0, 0, 0), period: int = 12,
+                 value: str = "value") -> DataFrame:
+    """In-sample fitted values as the reference exports them: x − standardised innovation (125)."""
+    key_types = df.select(*keys).dtypes
+    schema = ", ".join([f"{k} {t}" for k, t in key_types] + ["t int", "x double", "fitted double"])
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf[value].to_numpy(dtype=float)
+        fit = AR.fit_arima(x, order, seasonal, period)
+        out = pdf[keys + ["t"]].copy()
+        out["t"] = out["t"].astype("int32")
+        out["x"] = x
+        out["fitted"] = x - fit.resid
+        return out
+    return df.groupBy(*keys).applyInPandas(fn, schema)

@@ -356,3 +356,11 @@ def q_clv_global(spark, sf):
     return g.select(F.round("total_revenue", 4).alias("total_revenue"), "total_orders", "total_customers",
                     F.round("avg_order_value", 4).alias("avg_order_value"),
                     F.round("purchase_frequency", 9).alias("purchase_frequency"), F.round("clv", 4).alias("clv"))
+
+
+@query("q_preview", f"""{W}
+SELECT {LINE_COLS_SQL} FROM retail_lines ORDER BY InvoiceNo, StockCode, Quantity, UnitPrice LIMIT 5""")
+def q_preview(spark, sf):
+    """``head()`` after an explicit total sort (135)."""
+    df = retail_lines(spark, sf).orderBy("InvoiceNo", "StockCode", "Quantity", "UnitPrice").limit(5)
+    return _lines_out(df)

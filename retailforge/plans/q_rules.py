@@ -100,3 +100,21 @@ SELECT basket, {_MATRIX_COLS}
 FROM bb GROUP BY basket""")
 def q_basket_matrix(spark, sf):
     return B.basket_matrix(brand_baskets(spark, sf), "basket", "item", MATRIX_ITEMS)
+
+
+@query("q_rules_export", RULES_SQL.replace(
+    "SELECT rules, support, confidence, support / confidence AS coverage, lift,",
+    "SELECT CAST(row_number() OVER (ORDER BY rules) AS VARCHAR) AS \"row\", rules, support, confidence, "
+    "support / confidence AS coverage, lift,"))
+def q_rules_export(spark, sf):
+    """Rules written as CSV with a leading row id (4, 5) and read back with an explicit schema (1, 3)."""
+    from retailforge.session import checkpoint_dir
+    from retailforge.sources.csv_io import read_csv, with_row_id, write_csv
+    import uuid
+    baskets = B.basket_lists(brand_baskets(spark, sf), "basket", "item")
+    rules = B.association_rules(baskets, RULE_SUPPORT, RULE_CONFIDENCE, min_len=2, max_len=MAX_LEN, min_lift=1.0)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/retailforge-exports/rules-{uuid.uuid4().hex}"
+    write_csv(with_row_id(rules, "rules", name="row"), path)
+    schema = "row string, rules string, support double, confidence double, coverage double, lift double, count long"
+    return read_csv(spark, path, schema=__import__("pyspark.sql.types", fromlist=["_parse_datatype_string"])
+                    ._parse_datatype_string(schema))

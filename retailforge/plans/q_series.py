@@ -182,3 +182,20 @@ def forecast_accuracy_ses(series):
     acc = TS.forecast_accuracy(rows, KEYS)
     return acc.select(*KEYS, *[F.round(c, 6).alias(c) for c in
                                ["ME", "RMSE", "MAE", "MPE", "MAPE", "MASE", "ACF1", "TheilU"]])
+
+
+@query("q_ses_forecast", f"""{DENSE_SQL_REC},
+tr AS (SELECT series_kind, series_key, t, v, n - {H} AS n FROM s WHERE t <= n - {H}),{_ses_sql('tr')}
+SELECT 'segment' AS series_kind, series_key, CAST(step AS INTEGER) AS step, round(level, 6) AS forecast
+FROM ses, range(1, {H} + 1) r(step)""")
+def q_ses_forecast(spark, sf):
+    """SES on the training months, flat h-step forecasts (117, 121)."""
+    tr = TS.series_split(segment_series(spark, sf), KEYS, H).where(F.col("set") == "train")
+    fc = SM.smoothing_forecasts(SM.ses(tr, KEYS, steps=SES_STEPS), KEYS, H)
+    return fc.withColumn("forecast", F.round("forecast", 6))
+
+
+@query("q_arima_fitted")
+def q_arima_fitted(spark, sf):
+    """Fitted-value export of the ARIMA(0,0,1) refit per series (125)."""
+    return SM.arima_fitted(segment_series(spark, sf), KEYS)
