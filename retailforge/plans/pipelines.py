@@ -26,8 +26,8 @@ def clean_retail(lines: DataFrame, impute_method: str = "reference") -> DataFram
     df = C.impute_price(df, method=impute_method)
     df = C.drop_null(df, "CustomerID")
     df = C.product_variations(df)
-    df = stage(C.drop_nonproduct(df), "repaired")   # netting reads its input five times
-    return cancellation_netting(df)
+    df = stage(C.drop_nonproduct(df), "repaired")   # netting reads its input six times
+    return cancellation_netting(df, materialize=False)
 
 
 def fmt_ts(c: str) -> F.Column:
