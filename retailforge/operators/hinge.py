@@ -212,7 +212,8 @@ def evimp(terms: list[Term], path, kept_size: int, xs: list[str]) -> list[tuple]
             dr[v] += rss_s - rss_b
     mg, mr = max(list(dg.values()) + [1e-300]), max(list(dr.values()) + [1e-300])
     final_vars = {v for i in path[[len(p[0]) for p in path].index(kept_size)][0] for v, _, _ in terms[i]}
-    return [(x, int(x in final_vars), used_in[x], 100 * max(dg[x], 0) / mg, 100 * max(dr[x], 0) / mr) for x in xs]
+    return [(x, int(x in final_vars), int(used_in[x]), float(100 * max(dg[x], 0) / mg),
+             float(100 * max(dr[x], 0) / mr)) for x in xs]
 
 
 def mars(df: DataFrame, y: str | list[str], xs: list[str], degree: int = 2, max_terms: int = 21,
