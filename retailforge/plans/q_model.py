@@ -40,7 +40,7 @@ def q_balance_classes(spark, sf):
 from retailforge.operators import rfm as R  # noqa: E402
 from retailforge.operators import segments as SG  # noqa: E402
 from retailforge.plans.oracle_views import RETAIL_LINES, with_views  # noqa: E402
-from retailforge.plans.q_retail import RFM_NORM_SQL  # noqa: E402
+from retailforge.plans.q_retail import CLEAN_SQL, _netting_sql, rfm_norm_sql  # noqa: E402
 from retailforge.sources.views import retail_lines  # noqa: E402
 
 
@@ -50,9 +50,11 @@ def scored_lines(spark, sf):
     return R.clv_score(df)
 
 
-SCORED_SQL = f"""{with_views(RETAIL_LINES)},{RFM_NORM_SQL},
+def scored_sql(prefix: str, src: str) -> str:
+    """Lines of ``src`` with their customer's CLV score, then weighted points with prefix sums."""
+    return f"""{prefix},{rfm_norm_sql(src)},
 scored AS (SELECT r.*, n.FREQUENCY_normalised * n.MONEY_normalised * n.RECENCY_normalised AS clv
-           FROM retail_lines r JOIN normed n ON r.CustomerID = n.CustomerID),
+           FROM {src} r JOIN normed n ON r.CustomerID = n.CustomerID),
 pts AS (SELECT clv AS v, count(*) AS w FROM scored GROUP BY 1),
 mu AS (SELECT sum(w * v) / sum(w) AS m FROM pts),
 pre AS (SELECT v, row_number() OVER (ORDER BY v) AS i,
@@ -62,11 +64,14 @@ p0 AS (SELECT 0 AS i, NULL::DOUBLE AS v, 0.0 AS W, 0.0 AS S, 0.0 AS Q UNION ALL
 d AS (SELECT max(i) AS n FROM pre)"""
 
 
+SCORED_SQL = scored_sql(with_views(RETAIL_LINES), "retail_lines")
+
+
 def _cost(a, b):
     return f"(({b}.Q - {a}.Q) - ({b}.S - {a}.S) * ({b}.S - {a}.S) / ({b}.W - {a}.W))"
 
 
-def _segments_sql(k: int) -> str:
+def _segments_sql(k: int, base: str | None = None) -> str:
     if k == 2:
         search = f"""best AS (SELECT a.v AS b1, NULL::DOUBLE AS b2 FROM p0 z, p0 a, p0 e
             WHERE z.i = 0 AND e.i = (SELECT n FROM d) AND a.i >= 1 AND a.i < e.i
@@ -77,7 +82,7 @@ def _segments_sql(k: int) -> str:
             WHERE z.i = 0 AND e.i = (SELECT n FROM d) AND a.i >= 1 AND b.i > a.i AND b.i < e.i
             ORDER BY {_cost('z', 'a')} + {_cost('a', 'b')} + {_cost('b', 'e')} LIMIT 1)"""
         label = "CASE WHEN clv <= b1 THEN 1 WHEN clv <= b2 THEN 2 ELSE 3 END"
-    return f"""{SCORED_SQL},
+    return f"""{base or SCORED_SQL},
 {search},
 lab AS (SELECT clv, {label} AS cluster FROM scored, best)
 SELECT cluster, count(*) AS size, round(avg(clv), 6) AS center, round(var_pop(clv) * count(*), 4) AS withinss,
@@ -116,12 +121,19 @@ def q_kmeans_segments(spark, sf):
     return SG.cluster_quality(lab, "clv")
 
 
-@query("q_segments_end_to_end")
+CLEANED_PREFIX = (with_views(RETAIL_LINES) + "," + CLEAN_SQL + _netting_sql("s7", ["ProductVariations"])
+                  + ",\ncleaned AS (SELECT * FROM netting WHERE Quantity > 0)")
+
+
+@query("q_segments_end_to_end", _segments_sql(3, scored_sql(CLEANED_PREFIX, "cleaned")))
 def q_segments_end_to_end(spark, sf):
     """clean -> RFM -> score -> exact 1-D segments -> quality (130)."""
     from retailforge.plans.pipelines import segment_customers
     lab = segment_customers(retail_lines(spark, sf))
-    return SG.cluster_quality(lab, "clv")
+    q = SG.cluster_quality(lab, "clv")
+    return q.select(F.col("cluster").cast("int").alias("cluster"), "size", F.round("center", 6).alias("center"),
+                    F.round("withinss", 4).alias("withinss"), F.round("lower", 9).alias("lower"),
+                    F.round("upper", 9).alias("upper"))
 
 
 # ---------------------------------------------------------------- regression (106-112)

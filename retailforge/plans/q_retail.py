@@ -294,15 +294,20 @@ def q_clean_retail(spark, sf):
     return _lines_out(clean_retail(retail_lines(spark, sf)))
 
 
-RFM_SQL = """
+def rfm_sql(src: str) -> str:
+    """Per-customer RFM CTEs (``per``, ``ref``, ``raw``) over the line table ``src``."""
+    return f"""
 per AS (SELECT CustomerID, max(InvoiceDate) AS last, count(InvoiceDate) AS FREQUENCY,
                sum(UnitPrice * Quantity) AS MONEY
-        FROM retail_lines WHERE CustomerID IS NOT NULL GROUP BY 1),
-ref AS (SELECT CAST(last_day(max(InvoiceDate)) AS TIMESTAMP) + INTERVAL 86399 SECOND AS t FROM retail_lines),
+        FROM {src} WHERE CustomerID IS NOT NULL GROUP BY 1),
+ref AS (SELECT CAST(last_day(max(InvoiceDate)) AS TIMESTAMP) + INTERVAL 86399 SECOND AS t FROM {src}),
 raw AS (SELECT CustomerID, (epoch_us(ref.t) - epoch_us(per.last)) / 86400e6 AS RECENCY, FREQUENCY, MONEY
         FROM per, ref)"""
 
 
+RFM_SQL = rfm_sql("retail_lines")
+
+
 @query("q_rfm", f"""{W},{RFM_SQL}
 SELECT CustomerID, RECENCY, FREQUENCY, round(MONEY, 4) AS MONEY FROM raw""")
 def q_rfm(spark, sf):
@@ -310,7 +315,9 @@ def q_rfm(spark, sf):
     return t.withColumn("MONEY", F.round("MONEY", 4))
 
 
-RFM_NORM_SQL = RFM_SQL + """,
+def rfm_norm_sql(src: str) -> str:
+    """RFM CTEs plus recency inversion and 1-5 scaling (``normed``) over ``src``."""
+    return rfm_sql(src) + """,
 inv AS (SELECT CustomerID,
                CASE WHEN (SELECT min(RECENCY) FROM raw) > 1 THEN 1.0 / RECENCY ELSE RECENCY END AS RECENCY,
                FREQUENCY, MONEY FROM raw),
@@ -324,6 +331,9 @@ normed AS (
   FROM inv, mm)"""
 
 
+RFM_NORM_SQL = rfm_norm_sql("retail_lines")
+
+
 @query("q_rfm_normalised", f"""{W},{RFM_NORM_SQL}
 SELECT CustomerID, round(RECENCY, 12) AS RECENCY, FREQUENCY, round(MONEY, 4) AS MONEY,
        round(RECENCY_normalised, 9) AS RECENCY_normalised, round(FREQUENCY_normalised, 9) AS FREQUENCY_normalised,
