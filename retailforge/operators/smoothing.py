@@ -20,6 +20,17 @@ from pyspark.sql import functions as F
 from retailforge.operators import arima as AR
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by the group keys over ~2× the cluster's cores before a CPU-heavy grouped pandas step.
+
+    The shuffle of a few months per series is tiny, so adaptive execution
+    would coalesce it into one or two tasks and serialise the fits; an
+    explicit partition count keeps them spread.
+    """
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 1)
+    return df.repartition(n, *keys)
+
+
 def series_arrays(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., x) with x the values ordered by t; one bounded array per series."""
     s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", value))).alias("__s"))
@@ -156,7 +167,7 @@ def holt_winters(df: DataFrame, keys: list[str], h: int = 3, period: int = 12, v
             rows = [dict(base, alpha=None, beta=None, gamma=None, sse=None, step=None, forecast=None,
                          status=str(e))]
         return pd.DataFrame(rows, columns=keys + ["alpha", "beta", "gamma", "sse", "step", "forecast", "status"])
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 # ------------------------------------------------------------------ ARIMA (122, 123)
@@ -185,7 +196,7 @@ def arima_forecasts(df: DataFrame, keys: list[str], h: int = 12, order=(0, 0, 1)
                      aicc=fit.aicc if math.isfinite(fit.aicc) else None)
                 for i, (p, a, b, c, d) in enumerate(fit.forecast(h, s2))]
         return pd.DataFrame(rows, columns=keys + FORECAST_COLS)
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def arima_fitted(df: DataFrame, keys: list[str], order=(0, 0, 1), seasonal=(0, 0, 0), period: int = 12,
@@ -203,4 +214,62 @@ def arima_fitted(df: DataFrame, keys: list[str], order=(0, 0, 1), seasonal=(0, 0
         out["x"] = x
         out["fitted"] = x - fit.resid
         return out
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
+def auto_arima_forecasts(df: DataFrame, keys: list[str], h: int = 3, period: int = 12, max_p: int = 2,
+                         max_q: int = 2, value: str = "value") -> DataFrame:
+    """Order search spread over (series × candidate) tasks, then refit and forecast (123, 121).
+
+    Candidate orders are exploded from a literal array next to each series'
+    rows (a series is months long, so the copies stay small); every group
+    fits one model at search precision and reports its AICc; the best order
+    per series is a ``min(struct(aicc, order))`` aggregate; a final grouped
+    pass refits it at full precision and forecasts with σ² on n − k degrees
+    of freedom.
+    """
+    cands = [(p, q, 0, 0) for p in range(max_p + 1) for q in range(max_q + 1)]
+    cands += [(p, q, P_, Q_) for (P_, Q_) in ((1, 0), (0, 1)) for p in range(max_p + 1) for q in range(max_q + 1)
+              if p + q <= 2]
+    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(a).alias("sp"), F.lit(b).alias("sq"))
+                    for p, q, a, b in cands])
+    ex = df.select(*keys, "t", value, F.explode(arr).alias("__c")).select(*keys, "t", value, "__c.*")
+    key_types = df.select(*keys).dtypes
+    kschema = [f"{k} {t}" for k, t in key_types]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf[value].to_numpy(dtype=float)
+        p, q, a, b = (int(pdf[c].iloc[0]) for c in ("p", "q", "sp", "sq"))
+        aicc = None
+        if not ((a or b) and len(x) < 2 * period + 1):
+            try:
+                f = AR.fit_arima(x, (p, 0, q), (a, 0, b), period, tol=1e-7, polish=False)
+                aicc = f.aicc if math.isfinite(f.aicc) else None
+            except (np.linalg.LinAlgError, ValueError):
+                aicc = None
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update(p=p, q=q, sp=a, sq=b, aicc=aicc)
+        return pd.DataFrame([row], columns=keys + ["p", "q", "sp", "sq", "aicc"])
+    scores = spread(ex, keys + ["p", "q", "sp", "sq"]).groupBy(*keys, "p", "q", "sp", "sq").applyInPandas(
+        score, ", ".join(kschema + ["p int", "q int", "sp int", "sq int", "aicc double"]))
+    best = (scores.where(F.col("aicc").isNotNull()).groupBy(*keys)
+                  .agg(F.min(F.struct("aicc", "p", "q", "sp", "sq")).alias("__b"))
+                  .select(*keys, "__b.p", "__b.q", "__b.sp", "__b.sq"))
+    data = df.select(*keys, "t", value).join(best, keys)
+
+    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf[value].to_numpy(dtype=float)
+        p, q, a, b = (int(pdf[c].iloc[0]) for c in ("p", "q", "sp", "sq"))
+        fit = AR.fit_arima(x, (p, 0, q), (a, 0, b), period)
+        s2 = AR.sigma2_of(fit, True)
+        base = {k: pdf[k].iloc[0] for k in keys}
+        label = f"({p},0,{q})({a},0,{b})[{period}]"
+        rows = [dict(base, order=label, step=i + 1, point=pt, lo80=l8, hi80=h8, lo95=l9, hi95=h9, sigma2=s2,
+                     aicc=fit.aicc if math.isfinite(fit.aicc) else None)
+                for i, (pt, l8, h8, l9, h9) in enumerate(fit.forecast(h, s2))]
+        return pd.DataFrame(rows, columns=keys + FORECAST_COLS)
+    schema = ", ".join(kschema + ["order string", "step int", "point double", "lo80 double", "hi80 double",
+                                  "lo95 double", "hi95 double", "sigma2 double", "aicc double"])
+    return spread(data, keys).groupBy(*keys).applyInPandas(refit, schema)

@@ -146,7 +146,7 @@ def q_arima(spark, sf):
 def q_auto_arima(spark, sf):
     """Order chosen by AICc per series on the training months, h = 3 (123)."""
     tr = TS.series_split(segment_series(spark, sf), KEYS, H).where(F.col("set") == "train")
-    return SM.arima_forecasts(tr, KEYS, h=H, auto=True)
+    return SM.auto_arima_forecasts(tr, KEYS, h=H)
 
 
 @query("q_forecast_accuracy", f"""{DENSE_SQL_REC},
