@@ -215,7 +215,8 @@ def segment_model_frame(spark, sf):
     frame = stage(feat.select(*SEG_NUM, *SEG_CAT, "cluster").withColumn("row_id", F.monotonically_increasing_id()),
                   "segment_frame")
     split = stage(SP.train_test_split(frame, "row_id", 0.7, seed=3), "segment_split")
-    return split.where(F.col("set") == "train").cache(), split.where(F.col("set") == "test").cache()
+    return (CL.fit_ready(split.where(F.col("set") == "train")).cache(),
+            CL.fit_ready(split.where(F.col("set") == "test")).cache())
 
 
 @query("q_rf_segments")
