@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 
 def sequential_index(df: DataFrame, order_cols: list, name: str = "idx") -> DataFrame:
-    """Attach a 0-based position in ``order_cols`` order.
+    """Attach a 0-based position in ``order_cols`` order, JVM-side only.
 
-    ``orderBy`` range-partitions the data (distributed sort); ``zipWithIndex``
-    then needs only per-partition counts, so no task sees more than its own
-    range.  ``order_cols`` must make the order total for a deterministic index.
+    ``orderBy`` range-partitions the data (distributed sort);
+    ``monotonically_increasing_id`` numbers rows inside each partition; the
+    per-partition row counts (one row per partition) give prefix offsets,
+    joined back as a broadcast of that partition-sized table.  No task sees
+    more than its own range.  ``order_cols`` must make the order total.
     """
-    ordered = df.orderBy(*order_cols)
-    schema = StructType(ordered.schema.fields + [StructField(name, LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return ordered.sparkSession.createDataFrame(rdd, schema)
+    from pyspark import StorageLevel
+    from pyspark.sql import Window
+
+    ordered = (df.orderBy(*order_cols)
+                 .select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__mid"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)   # over partitions, not rows
+    offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    return (ordered.join(F.broadcast(offsets), "__pid")
+                   .select(*df.columns, (F.col("__off") + local).alias(name)))
 
 
 def first_by(df: DataFrame, keys: list[str], order_cols: list[str], keep: list[str] | None = None) -> DataFrame:

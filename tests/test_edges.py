@@ -136,3 +136,10 @@ def test_optimal_1d_matches_brute_force(spark):
     # fewer distinct values than k
     few = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
     assert SG.optimal_1d_bounds(few, "v", 3)[0] == [1.0]
+
+
+def test_sequential_index_is_a_permutation(spark):
+    from retailforge.functions.ordering import sequential_index
+    df = spark.range(0, 5003).selectExpr("(id * 7919) % 5003 AS k").repartition(6)
+    got = sorted((r.k, r.idx) for r in sequential_index(df, ["k"]).collect())
+    assert got == [(i, i) for i in range(5003)]
