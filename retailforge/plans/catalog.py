@@ -12,7 +12,9 @@ def flagship(spark, sf_dir):
 
     from retailforge.operators.rfm import clv_score, rfm
     from retailforge.plans.pipelines import clean_retail
+    from retailforge.session import configure
     from retailforge.sources.views import retail_lines
+    configure(spark)
     clean = clean_retail(retail_lines(spark, sf_dir))
     scored = clv_score(rfm(clean, "InvoiceDate", "CustomerID", "UnitPrice", "Quantity"))
     return scored.withColumn("InvoiceDate", F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
