@@ -1,14 +1,16 @@
 """Session helpers.
 
 On a cluster the session is handed to us; we only add SQL settings the jobs
-rely on (UTC session zone, AQE).  ``spark.checkpoint.dir`` is read from the
-session and only set when absent (local tests).
+rely on (UTC session zone, AQE) and ship the package to the Python workers.
+``spark.checkpoint.dir`` is read from the session; a local master without it
+gets a temporary folder (tests), any other master raises.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,17 +47,47 @@ def get_spark(master: str | None = None, app: str = "retailforge",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the SQL settings the jobs assume (zone UTC, AQE on)."""
+    """Pin the SQL settings the jobs assume (zone UTC, AQE on) and ship the package once."""
     for k, v in _SQL_DEFAULTS.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers through Spark's own file server, once per context.
+
+    Functions run in ``applyInPandas`` / ``mapInArrow`` are pickled by
+    reference, so workers must be able to import the package wherever the
+    driver was started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_retailforge_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rf-ship-"), "retailforge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("retailforge", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._retailforge_shipped = True
+
+
+def is_local(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and executors are one process on one disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a fresh temp dir only when unset."""
+    """Shared checkpoint folder named by the cluster; a temporary folder only on a local master."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="rf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

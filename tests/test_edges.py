@@ -143,3 +143,25 @@ def test_sequential_index_is_a_permutation(spark):
     df = spark.range(0, 5003).selectExpr("(id * 7919) % 5003 AS k").repartition(6)
     got = sorted((r.k, r.idx) for r in sequential_index(df, ["k"]).collect())
     assert got == [(i, i) for i in range(5003)]
+
+
+def test_no_silent_local_stage_folder():
+    """Off a local master a missing spark.checkpoint.dir raises instead of staging on one machine's disk."""
+    from retailforge.session import checkpoint_dir, is_local
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[3,2,1000]") and not is_local("yarn")
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, k, d=None):
+            return d
+
+    class Session:
+        sparkContext, conf = Ctx(), Conf()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
