@@ -34,3 +34,30 @@ def op8_exact_dedup(spark, sf_dir):
     """Equal texts of documents by content sort."""
     from retailforge.llm.exactdedup import exact_duplicates
     return exact_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination", r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS g
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT m FROM win),
+grams AS (SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+          FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, lens WHERE len(w) >= m)),
+hit AS (SELECT g.doc_id, g.i, g.m, win.item_id FROM grams g JOIN win ON g.g = win.g AND g.m = win.m),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op2_decontamination(spark, sf_dir):
+    """Hit words and items of every document against the whole benchmark."""
+    from retailforge.llm import decontam as D
+    found = D.contamination(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))
+    return (found.withColumn("n_hit", D.hit_words())
+            .select("row.doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), D.contaminated().alias("contaminated")))
