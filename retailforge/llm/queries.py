@@ -61,3 +61,38 @@ def op2_decontamination(spark, sf_dir):
     return (found.withColumn("n_hit", D.hit_words())
             .select("row.doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
                     F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), D.contaminated().alias("contaminated")))
+
+
+@query("op7_line_dedup", r"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+             FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, i, l, regexp_extract_all(regexp_replace(l, '[^ \t\x0b\f\r]*[0-9][^ \t\x0b\f\r]*', '<*>', 'g'), '[^ \t\x0b\f\r]+') AS t FROM raw),
+path AS (SELECT doc_id, i, l, t, len(t) AS n, array_to_string(t[1:3], ' ') AS ld, array_to_string(t, ' ') AS line FROM tok WHERE len(t) > 0),
+lns AS (SELECT DISTINCT doc_id, n, ld, line, t FROM path),
+ctx AS (SELECT a.doc_id, a.n, a.ld, a.line, a.t, (SELECT coalesce(min(b.ld), '') || '|' || coalesce(max(b.ld), '') FROM lns b
+                                            WHERE b.doc_id = a.doc_id AND b.ld <> a.ld) AS context FROM lns a),
+leaves AS (SELECT n, ld, count(*) AS total FROM ctx WHERE n > 3 GROUP BY n, ld HAVING count(DISTINCT line) > 1 AND count(*) >= 3),
+dl AS (SELECT DISTINCT doc_id, l, t, n, ld, line FROM path),
+variants AS (SELECT n, ld, line, any_value(t) AS t, any_value(total) AS total, count(*) AS m FROM dl JOIN leaves USING (n, ld) GROUP BY n, ld, line),
+votes AS (SELECT n, ld, p, token FROM (SELECT n, ld, total, m, unnest(t) AS token, unnest(range(1, n + 1)) AS p FROM variants)
+          WHERE p > 3 GROUP BY n, ld, total, p, token HAVING sum(m) * 2 > total),
+agreed AS (SELECT v.n, v.ld, v.line FROM (SELECT n, ld, line, unnest(t) AS token, unnest(range(1, n + 1)) AS p FROM variants) v
+           JOIN votes USING (n, ld, p, token) GROUP BY v.n, v.ld, v.line HAVING count(*) + 3 >= v.n * 0.7::DOUBLE),
+named AS (SELECT c.*, CASE WHEN a.line IS NOT NULL THEN '' ELSE c.line END AS template
+          FROM ctx c LEFT JOIN agreed a ON c.n = a.n AND c.ld = a.ld AND c.line = a.line),
+recurring AS (SELECT n, ld, template FROM named GROUP BY n, ld, template
+              HAVING count(DISTINCT context) >= CASE WHEN n <= 3 THEN 10 ELSE 3 END AND count(DISTINCT context) * 10 >= count(*)),
+gone AS (SELECT DISTINCT doc_id, line FROM named JOIN recurring USING (n, ld, template)),
+kept AS (SELECT r.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped,
+                coalesce(string_agg(r.l, chr(10) ORDER BY r.i) FILTER (g.line IS NULL), '') AS kept
+         FROM raw r LEFT JOIN path p ON r.doc_id = p.doc_id AND r.i = p.i LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line = g.line
+         GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped,
+       CAST(length(kept) AS INTEGER) AS kept_chars, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)""")
+def op7_line_dedup(spark, sf_dir):
+    """Lines of recurring templates left out of every document."""
+    from retailforge.llm.linededup import deduplicate_lines
+    out = deduplicate_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.length("kept_text").alias("kept_chars"),
+                      F.sha2("kept_text", 256).alias("kept_sha256"))
