@@ -96,3 +96,21 @@ def op7_line_dedup(spark, sf_dir):
     out = deduplicate_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.length("kept_text").alias("kept_chars"),
                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    """Exact token count of every document, and the longest prefix within the limit."""
+    from retailforge.llm.tokencount import token_counts
+    out = token_counts(common.table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, limit=1024)
+    return out.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fit_chars")
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 1024 tokens."""
+    from retailforge.llm.packing import pack_documents
+    return pack_documents(common.table(spark, sf_dir, "documents"), VOCABULARY)
