@@ -114,3 +114,36 @@ def op6_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of at most 1024 tokens."""
     from retailforge.llm.packing import pack_documents
     return pack_documents(common.table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+_ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+           + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def _duck_spans(kind: str, order: int, pattern: str, test: str) -> str:
+    return (f"SELECT doc_id, {order} AS o, '{kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) "
+            f"+ coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, m[i] AS hit "
+            f"FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, "
+            f"regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)) WHERE {test}")
+
+
+@query("op1_secret_scan", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_duck_spans('assign', 0, _ASSIGN, f"length(regexp_extract(m[i], '{_ASSIGN}', 2)) >= 6")}
+UNION ALL {_duck_spans('access', 1, 'AKIA[A-Z0-9]+', 'length(m[i]) >= 20')}
+UNION ALL {_duck_spans('hex', 2, '[0-9a-f]+', 'length(m[i]) >= 24')}
+UNION ALL {_duck_spans('github', 3, 'gh[pousr]_[A-Za-z0-9]{36,}', 'TRUE')}
+UNION ALL {_duck_spans('pem', 4, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 'TRUE')}),
+named AS (SELECT doc_id, o, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(hit) AS BIGINT) AS x FROM found),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, string_agg(x, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+             string_agg(x, ',' ORDER BY s, o) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)""")
+def op1_secret_scan(spark, sf_dir):
+    """Secrets of every document."""
+    from retailforge.llm import secrets as S
+    out = S.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", *[S.count_of("base_spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                      F.sha2(S.listed("base_spans"), 256).alias("base_sha256"), S.listed("all_spans").alias("spans"))
