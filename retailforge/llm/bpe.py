@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from retailforge.llm import wordnum as W
+from retailforge.llm.trie import Trie
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 #: pieces of more bytes are handled one at a time
@@ -59,7 +60,7 @@ class Vocabulary:
         letters = byte_letters()
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = {tuple(letters[c] for c in s): i for s, i in ids.items() if s not in self.special}
+        tokens = {bytes(letters[c] for c in s): i for s, i in ids.items() if s not in self.special}
         n = max(ids.values()) + 1
         self.size = np.zeros(n, np.int64)
         for t, i in tokens.items():
@@ -77,21 +78,7 @@ class Vocabulary:
         base = self.left < 0
         self.left[base] = self.right[base] = np.flatnonzero(base)
         self._hash_pairs(pairs)
-        nodes, children, token_at = {(): 0}, [], [-1]
-        for t in sorted(tokens, key=len):
-            for k in range(1, len(t) + 1):
-                if t[:k] not in nodes:
-                    nodes[t[:k]] = len(nodes)
-                    token_at.append(-1)
-                    children.append((nodes[t[:k - 1]], t[k - 1], nodes[t[:k]]))
-            token_at[nodes[t]] = tokens[t]
-        self.token_at = np.array(token_at, np.int32)
-        inner = sorted({p for p, _, _ in children})
-        self.row = np.full(len(nodes), -1, np.int32)
-        self.row[inner] = np.arange(len(inner), dtype=np.int32)
-        self.next = np.full((len(inner), 256), -1, np.int32)
-        for p, c, q in children:
-            self.next[self.row[p], c] = q
+        self.trie = Trie(tokens)
 
     def _hash_pairs(self, pairs: dict[int, int]):
         """Open addressing, so that a look-up is a few gathers."""
@@ -156,34 +143,14 @@ class Vocabulary:
         count = np.zeros((n, longest + 1), np.int32)
         last = np.full((n, longest + 1), -1, np.int32)
         for s in range(longest):
-            who = np.flatnonzero(sizes > s)
-            state = np.zeros(len(who), np.int64)
-            for d in range(s, longest):
-                live = sizes[who] > d
-                if not live.all():
-                    who, state = who[live], state[live]
-                row = self.row[state]
-                live = row >= 0
-                if not live.all():
-                    who, row = who[live], row[live]
-                if not len(who):
-                    break
-                state = self.next[row, data[starts[who] + d]]
-                live = state >= 0
-                if not live.all():
-                    who, state = who[live], state[live]
-                token = self.token_at[state]
-                at = np.flatnonzero(token >= 0)
-                if not len(at):
-                    continue
-                w, t = who[at], token[at]
-                open_ = last[w, d + 1] < 0
+            for w, t, e in self.trie.matches(data, starts, sizes, s):
+                open_ = last[w, e] < 0
                 w, t = w[open_], t[open_]
                 if s:
                     good = self.stays(last[w, s], t)
                     w, t = w[good], t[good]
-                last[w, d + 1] = t
-                count[w, d + 1] = count[w, s] + 1
+                last[w, e] = t
+                count[w, e] = count[w, s] + 1
         return count, last
 
 
@@ -378,13 +345,13 @@ class Encoder:
         for s in range(n):
             state, before = 0, int(last[s])
             for d in range(s, n):
-                r = v.row[state]
+                r = v.trie.row[state]
                 if r < 0:
                     break
-                state = int(v.next[r, raw[d]])
+                state = int(v.trie.next[r, raw[d]])
                 if state < 0:
                     break
-                t = int(v.token_at[state])
+                t = int(v.trie.token_at[state])
                 if t < 0 or last[d + 1] >= 0:
                     continue
                 if s:

@@ -147,3 +147,13 @@ def op1_secret_scan(spark, sf_dir):
     out = S.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", *[S.count_of("base_spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                       F.sha2(S.listed("base_spans"), 256).alias("base_sha256"), S.listed("all_spans").alias("spans"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    """Language of every document."""
+    from retailforge.llm import langid as L
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = L.identify(docs.select("doc_id", "text"), L.fit(docs))
+    out = out.select("row.doc_id", "lang_pred", "score")
+    return out.select("doc_id", L.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
