@@ -157,3 +157,26 @@ def op3_language_id(spark, sf_dir):
     out = L.identify(docs.select("doc_id", "text"), L.fit(docs))
     out = out.select("row.doc_id", "lang_pred", "score")
     return out.select("doc_id", L.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS s FROM g GROUP BY doc_id),
+c AS (SELECT s, min(doc_id) AS class_id, count(*) AS copies, any_value(n) AS n FROM n GROUP BY s),
+cg AS (SELECT g.g, c.class_id, c.n, c.copies FROM c JOIN g ON g.doc_id = c.class_id),
+p AS (SELECT a.class_id AS x, b.class_id AS y, any_value(b.copies) AS copies
+      FROM cg a JOIN cg b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id
+      HAVING count(*) * 5 >= 4 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+grp AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS links, sum(copies) AS docs FROM p GROUP BY x)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(least(c.class_id, grp.y), w.doc_id) AS group_id,
+       CAST(coalesce(l.docs, 0) + coalesce(c.copies, 1) - 1 AS BIGINT) AS n_links, coalesce(l.links, 0) AS n_near_classes
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON n.s = c.s LEFT JOIN l ON l.x = c.class_id LEFT JOIN grp ON grp.x = c.class_id""")
+def op4_jaccard_join(spark, sf_dir):
+    """Near duplicates of all documents: class, group and number of links of each."""
+    from retailforge.llm.jaccard import similar_documents
+    return similar_documents(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_near_classes")
