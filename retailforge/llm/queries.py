@@ -180,3 +180,11 @@ def op4_jaccard_join(spark, sf_dir):
     """Near duplicates of all documents: class, group and number of links of each."""
     from retailforge.llm.jaccard import similar_documents
     return similar_documents(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_near_classes")
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    from retailforge.llm.wrapper import extract
+    out = extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
