@@ -11,13 +11,14 @@ from retailforge.session import configure, stage
 from retailforge.sources.tables import read_table
 
 #: Rows of one Arrow batch: texts can be long, so batches stay small and a worker holds few of them.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, "16m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings of every query of this subpackage."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

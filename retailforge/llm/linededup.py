@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailforge.llm.common import small_enough
 from retailforge.session import stage
 
 DEPTH = 3
@@ -28,20 +29,32 @@ SIMILARITY = 0.7
 SHORT, MIN_SHORT, MIN_LONG = 3, 10, 3
 #: a tenth of a template's documents at least must differ in context
 CONTEXT_SHARE = 10
-TOKEN = r"[^ \t\x0b\f\r]+"
-VARIABLE = r"[^ \t\x0b\f\r]*[0-9][^ \t\x0b\f\r]*"
+VARIABLE = r"[^ ]*[0-9][^ ]*"
+#: leaves or templates up to this number are broadcast to the lines; more are joined by shuffle
+BROADCAST_ROWS = 1_000_000
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    return F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0))
+def _masked(line: Column) -> Column:
+    """A line whose variable fields are alike; tokens stand between single blanks."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+
+
+def _size(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+
+
+def _lead(masked: Column) -> Column:
+    return F.substring_index(masked, " ", DEPTH)
 
 
 def _line(line: Column) -> Column:
     """Tree path of a line: token count, leading part, and the hash of all tokens."""
-    t = _tokens(line)
-    return F.struct(F.size(t).alias("n"), F.array_join(F.slice(t, 1, DEPTH), " ").alias("lead"),
-                    F.xxhash64(F.array_join(t, " ")).alias("line"))
+    m = _masked(line)
+    return F.struct(_size(m).alias("n"), _lead(m).alias("lead"), F.xxhash64(m).alias("line"))
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
 def _key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -52,8 +65,9 @@ def _key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document and different line: key, tree path and context."""
     paths = (docs.where(F.col(f"`{text_col}`").isNotNull())
-             .select(*_key(docs, id_col, text_col), F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), _line).alias("paths")))
-    paths = paths.withColumn("paths", F.array_distinct(F.filter("paths", lambda p: p["n"] > 0)))
+             .select(*_key(docs, id_col, text_col),
+                     F.array_distinct(F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda l: F.trim(l) != "")).alias("lines"))
+             .select("k_id", "k_text", F.array_distinct(F.transform("lines", _line)).alias("paths")))
     leads = F.array_sort(F.array_distinct(F.transform("paths", lambda p: p["lead"])))
     rows = paths.withColumn("leads", leads).select(
         "k_id", "k_text", F.explode("paths").alias("p"),
@@ -70,13 +84,15 @@ def generalised_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col:
     leaves = (lines.where(F.col("n") > DEPTH).groupBy("leaf", "line").agg(F.count("*").alias("m"))
               .groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("m").alias("total"))
               .where((F.col("variants") > 1) & (F.col("total") >= MIN_LONG)).select("leaf", "total"))
+    leaves = stage(leaves, "leaves")
     texts = (docs.where(F.col(f"`{text_col}`").isNotNull())
-             .select(F.explode(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1))).alias("l"))
-             .select(_tokens(F.col("l")).alias("t")).where(F.size("t") > DEPTH)
-             .select("t", F.xxhash64(F.size("t"), F.array_join(F.slice("t", 1, DEPTH), " ")).alias("leaf")))
-    variants = (texts.join(leaves, "leaf")
-                .withColumn("line", F.xxhash64(F.array_join("t", " ")))
-                .groupBy("leaf", "line").agg(F.first("t").alias("t"), F.first("total").alias("total"), F.count("*").alias("m")))
+             .select(F.explode(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1))).alias("l")).where("trim(l) <> ''")
+             .select(_masked(F.col("l")).alias("t"))
+             .select("t", F.xxhash64(_size(F.col("t")), _lead(F.col("t"))).alias("leaf")))
+    variants = (texts.join(_checked(leaves), "leaf")
+                .select("leaf", "total", "t", F.xxhash64("t").alias("line"))
+                .groupBy("leaf", "line").agg(F.first("t").alias("t"), F.first("total").alias("total"), F.count("*").alias("m"))
+                .withColumn("t", F.split("t", " ", -1)))
     variants = stage(variants, "leaf-variants")
     votes = (variants.select("leaf", "total", "m", F.posexplode("t").alias("p", "token")).where(F.col("p") >= DEPTH)
              .groupBy("leaf", "total", "p", "token").agg(F.sum("m").alias("m")).where(F.col("m") * 2 > F.col("total")))
@@ -89,14 +105,15 @@ def generalised_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col:
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``k_id, k_text, dropped``: per document the hashes of its lines whose template recurs."""
     lines = stage(parsed_lines(docs, id_col, text_col), "template-lines")
-    general = generalised_lines(docs, lines, id_col, text_col).withColumn("general", F.lit(True))
-    named = lines.join(general, ["leaf", "line"], "left").withColumn(
+    general = stage(generalised_lines(docs, lines, id_col, text_col).withColumn("general", F.lit(True)), "generalised")
+    named = lines.join(_checked(general), ["leaf", "line"], "left").withColumn(
         "template", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line")))
     counts = (named.groupBy("leaf", "n", "template", "context").agg(F.count("*").alias("docs"))
               .groupBy("leaf", "n", "template").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts")))
     need = F.when(F.col("n") <= SHORT, MIN_SHORT).otherwise(MIN_LONG)
     recurring = counts.where((F.col("contexts") >= need) & (F.col("contexts") * CONTEXT_SHARE >= F.col("docs")))
-    hit = named.join(recurring.select("leaf", "template"), ["leaf", "template"], "left_semi")
+    recurring = stage(recurring.select("leaf", "template"), "recurring-templates")
+    hit = named.join(_checked(recurring), ["leaf", "template"], "left_semi")
     return hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("dropped"))
 
 

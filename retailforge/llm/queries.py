@@ -66,8 +66,8 @@ def op2_decontamination(spark, sf_dir):
 @query("op7_line_dedup", r"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
              FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT doc_id, i, l, regexp_extract_all(regexp_replace(l, '[^ \t\x0b\f\r]*[0-9][^ \t\x0b\f\r]*', '<*>', 'g'), '[^ \t\x0b\f\r]+') AS t FROM raw),
-path AS (SELECT doc_id, i, l, t, len(t) AS n, array_to_string(t[1:3], ' ') AS ld, array_to_string(t, ' ') AS line FROM tok WHERE len(t) > 0),
+tok AS (SELECT doc_id, i, l, string_split(regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM raw WHERE trim(l, ' ') <> ''),
+path AS (SELECT doc_id, i, l, t, len(t) AS n, array_to_string(t[1:3], ' ') AS ld, array_to_string(t, ' ') AS line FROM tok),
 lns AS (SELECT DISTINCT doc_id, n, ld, line, t FROM path),
 ctx AS (SELECT a.doc_id, a.n, a.ld, a.line, a.t, (SELECT coalesce(min(b.ld), '') || '|' || coalesce(max(b.ld), '') FROM lns b
                                             WHERE b.doc_id = a.doc_id AND b.ld <> a.ld) AS context FROM lns a),
