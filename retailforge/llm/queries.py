@@ -188,3 +188,11 @@ def op10_html_extraction(spark, sf_dir):
     from retailforge.llm.wrapper import extract
     out = extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark, sf_dir):
+    """Log probability of every document under the interpolated model and under the unigram base."""
+    from retailforge.llm.lm import score_texts
+    out = score_texts(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
