@@ -196,3 +196,10 @@ def op5_lm_scoring(spark, sf_dir):
     from retailforge.llm.lm import score_texts
     out = score_texts(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
