@@ -26,7 +26,7 @@ LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 #: pieces of more bytes are handled one at a time
 LONG = 48
 #: different pieces that a worker remembers between blocks
-MEMO = 800_000
+MEMO = 400_000
 # Fixed values of the vocabulary's pattern: short endings split off a word.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -86,6 +86,7 @@ class Vocabulary:
         self._mult, self._shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
         self._keys = np.full((1 << bits) + 64, -1, np.int64)
         self._vals = np.full((1 << bits) + 64, 1 << 30, np.int64)
+        self._met, self._met_good = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
         self._probes = 1
         for k, v in pairs.items():
             h = int((k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits))
@@ -112,6 +113,21 @@ class Vocabulary:
             todo, h, key = todo[more], h[more] + 1, key[more]
         return out
 
+    def pairs_stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stays`` with a table of the pairs met lately: one slot per hash, overwritten on collision."""
+        key = (a.astype(np.int64) << 20) | b
+        at = ((key.astype(np.uint64) * self._mult) >> self._shift).astype(np.int64)
+        good = self._met_good[at]
+        new = np.flatnonzero(self._met[at] != key)
+        if len(new):
+            key, at = key[new], at[new]
+            good[new] = found = self.stays(a[new], b[new])
+            # of two new pairs with one slot, the last is written to both tables
+            self._met[at] = key
+            last = self._met[at] == key
+            self._met_good[at[last]] = found[last]
+        return good
+
     def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether encoding the bytes of a and b together gives just a, b.
 
@@ -147,7 +163,7 @@ class Vocabulary:
                 open_ = last[w, e] < 0
                 w, t = w[open_], t[open_]
                 if s:
-                    good = self.stays(last[w, s], t)
+                    good = self.pairs_stay(last[w, s], t)
                     w, t = w[good], t[good]
                 last[w, e] = t
                 count[w, e] = count[w, s] + 1
@@ -270,8 +286,8 @@ class Encoder:
     point prefix) and ``tokens`` (encoding of the whole piece).
     """
 
-    def __init__(self, path: str):
-        self.vocab = Vocabulary(path)
+    def __init__(self, path: str, counts: bool = True):
+        self.vocab, self.keep_counts = Vocabulary(path), counts
         self.classes = code_point_classes()
         self._clear()
 
@@ -327,14 +343,17 @@ class Encoder:
                 go = pos > 0
                 who, pos, fill = who[go], pos[go], fill[go] - 1
             self.tokens.append(ids, total)
+            if not self.keep_counts:
+                continue
             step = np.arange(1, count.shape[1])
             ends_char = (step <= sizes[:, None]) & lead[np.minimum(a[g][:, None] + step, len(p.data))]
             self.counts.append(count[:, 1:][ends_char], ends_char.sum(1))
         for i in range(n_short, len(size)):
             count, chain = self._long(p.data[a[i]:b[i]])
             self.tokens.append(chain, np.array([len(chain)]))
-            c = count[lead[a[i] + 1:b[i] + 1]]
-            self.counts.append(c, np.array([len(c)]))
+            if self.keep_counts:
+                c = count[lead[a[i] + 1:b[i] + 1]]
+                self.counts.append(c, np.array([len(c)]))
 
     def _long(self, data: np.ndarray):
         """A piece of many bytes: the same recursion, position by position."""
@@ -368,11 +387,11 @@ class Encoder:
         return count[1:].astype(np.int64), np.array(chain[::-1], np.uint32)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, counts: bool = True) -> Encoder:
+    """One encoder for each worker process and vocabulary, with or without the counts of prefixes."""
+    if (path, counts) not in _encoders:
+        _encoders[path, counts] = Encoder(path, counts)
+    return _encoders[path, counts]

@@ -27,11 +27,13 @@ CAPACITY = 1024
 END = 2
 #: pieces of a shard, and least full bins of each that are packed again
 SHARD, CARRY = 16_384, 12
+#: rounds over the underfull bins of a shard
+SWEEPS = 4
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches):
-        e = bpe.encoder(vocabulary_path(path))
+        e = bpe.encoder(vocabulary_path(path), counts=False)
         for batch in batches:
             ids_in = batch.column(0)
             rows, piece, start, length, crc = [], [], [], [], []
@@ -87,75 +89,95 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between underfull bins; every step raises the sum of squared fills."""
+    """Moves and exchanges between underfull bins.
+
+    A step takes tokens out of one bin and fills another: a document moves
+    into the fullest bin with room for it, or one or two documents are
+    exchanged for a smaller one so that the other bin becomes exactly full.
+    Each step raises the sum of squared fills, so the search ends.
+    """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
-        self.sizes, self.capacity = sizes, capacity
-        self.bins = bins
+        self.sizes, self.capacity, self.bins = sizes, capacity, bins
         self.fill = [sum(sizes[i] for i in b) for b in bins]
-
-    def improve(self, a: int, others: list[int]) -> bool:
-        """One step that takes tokens from bin ``a`` into a bin that ends up at least as full; False if there is none."""
-        size, fill, cap = self.sizes, self.fill, self.capacity
-        mine = sorted(self.bins[a], key=lambda i: -size[i])
-        best = None  # (fill reached, bin, from a, from it)
-        low = size[mine[-1]]
-        for b in others:
-            free = cap - fill[b]
-            if b == a or not free or (best and fill[b] + free <= best[0]):
-                continue
-            x = next((i for i in mine if size[i] <= free), None) if low <= free else None
-            if x is not None and (best is None or fill[b] + size[x] > best[0]) and fill[b] + size[x] > fill[a]:
-                best = (fill[b] + size[x], b, [x], [])
-            theirs = {}
-            for y in self.bins[b]:
-                theirs.setdefault(size[y], y)
-            for n, y in theirs.items():
-                for i, x in enumerate(mine):
-                    gain = size[x] - n
-                    if gain <= 0:
-                        break
-                    if gain <= free and (best is None or fill[b] + gain > best[0]) and fill[b] + gain > fill[a]:
-                        best = (fill[b] + gain, b, [x], [y])
-                if len(mine) <= 40:
-                    for i, x in enumerate(mine):
-                        if size[x] >= n + free:
-                            continue
-                        for z in mine[i + 1:]:
-                            gain = size[x] + size[z] - n
-                            if 0 < gain <= free:
-                                if (best is None or fill[b] + gain > best[0]) and fill[b] + gain > fill[a]:
-                                    best = (fill[b] + gain, b, [x, z], [y])
-                                break
-            if best and best[0] == cap:
-                break
-        if best is None:
-            return False
-        _, b, go, come = best
+        #: (free, size) -> underfull bins that had that much room and such a document; free -> bins
+        self.holding: dict[tuple[int, int], set[int]] = {}
+        self.free: dict[int, set[int]] = {}
+        for b in range(len(bins)):
+            self._list(b)
+
+    def _list(self, b: int, add: bool = True) -> None:
+        f = self.capacity - self.fill[b]
+        if not f or not self.bins[b]:
+            return
+        for at in (self.free.setdefault(f, set()), *(self.holding.setdefault((f, n), set()) for n in {self.sizes[i] for i in self.bins[b]})):
+            at.add(b) if add else at.discard(b)
+        if not self.free[f]:
+            del self.free[f]
+
+    def _exchange(self, a: int, b: int, go: list[int], come: list[int]) -> None:
+        self._list(a, False)
+        self._list(b, False)
         for i in go:
             self.bins[a].remove(i)
             self.bins[b].append(i)
         for i in come:
             self.bins[b].remove(i)
             self.bins[a].append(i)
-        d = sum(size[i] for i in go) - sum(size[i] for i in come)
+        d = sum(self.sizes[i] for i in go) - sum(self.sizes[i] for i in come)
         self.fill[a] -= d
         self.fill[b] += d
-        return True
+        self._list(a)
+        self._list(b)
+
+    def _other(self, at: set[int] | None, a: int) -> int | None:
+        return next((b for b in at if b != a), None) if at else None
+
+    def step(self, a: int) -> bool:
+        """One step out of bin ``a``; False if there is none."""
+        size, levels = self.sizes, sorted(self.free)
+        mine = {size[i]: i for i in self.bins[a]}  # one document per size stands for all
+        for n in sorted(mine, reverse=True):
+            for f in levels:  # the least room that is enough
+                b = self._other(self.free[f], a) if f >= n else None
+                if b is not None and self.fill[b] + n > self.fill[a]:
+                    self._exchange(a, b, [mine[n]], [])
+                    return True
+        for f in reversed(levels):
+            for n, i in mine.items():
+                b = self._other(self.holding.get((f, n - f)), a)
+                if b is not None:
+                    self._exchange(a, b, [i], [next(j for j in self.bins[b] if size[j] == n - f)])
+                    return True
+        items = sorted(self.bins[a], key=lambda i: size[i])
+        tried = set()
+        for k, i in enumerate(items):
+            for j in items[k + 1:]:
+                n = size[i] + size[j]
+                if n in tried or n > 2 * self.capacity:
+                    continue
+                tried.add(n)
+                for f in reversed(levels):
+                    b = self._other(self.holding.get((f, n - f)), a)
+                    if b is not None:
+                        self._exchange(a, b, [i, j], [next(x for x in self.bins[b] if size[x] == n - f)])
+                        return True
+        return False
 
     def run(self) -> list[list[int]]:
         bound = -(-sum(self.fill) // self.capacity)
         left = sum(1 for b in self.bins if b)
-        under = sorted((b for b in range(len(self.bins)) if self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-        for a in list(under):
-            if left <= bound:
+        for _ in range(SWEEPS):
+            steps = 0
+            under = sorted((b for at in self.free.values() for b in at), key=lambda b: (self.fill[b], b))
+            for a in under:
+                if left <= bound:
+                    break
+                while self.bins[a] and self.fill[a] < self.capacity and self.step(a):
+                    steps += 1
+                left -= not self.bins[a]
+            if not steps or left <= bound:
                 break
-            while self.bins[a] and self.improve(a, sorted((b for b in under if self.fill[b] < self.capacity and self.bins[b]),
-                                                          key=lambda b: -self.fill[b])):
-                pass
-            if not self.bins[a]:
-                left -= 1
-            under = [b for b in under if self.bins[b] and self.fill[b] < self.capacity]
         return [b for b in self.bins if b]
 
 
@@ -193,15 +215,17 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     pieces = stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "token-pieces")
     open_ = pieces.where(F.col("length") < capacity).select("uid", "length")
     placed = pieces.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    n = open_.count()
+    n, before = open_.count(), None
     while n:
         shards = -(-n // shard)
+        # where the least full bins hold most pieces, packing them again gains little: the round places all
+        again = carry if shards > 1 and (before is None or 2 * n <= before) else 0
         dealt = (open_.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
                  .repartition(shards, "shard").groupBy("shard")
-                 .applyInPandas(_pack_shard(capacity, carry if shards > 1 else 0),
+                 .applyInPandas(_pack_shard(capacity, again),
                                 "uid long, length long, sequence_id long, offset long, open boolean"))
         dealt = stage(dealt, "packed-shards")
         placed = placed.unionByName(dealt.where("NOT open").select("uid", "sequence_id", "offset"))
         open_ = dealt.where("open").select("uid", "length")
-        n = open_.count() if shards > 1 else 0
+        n, before = open_.count() if again else 0, n
     return pieces.join(placed, "uid").drop("uid")
