@@ -296,7 +296,7 @@ def test_local_search_empties_bins():
 
 def test_line_dedup(docs, empty, spark):  # noqa: F811
     notice = "All rights reserved by the publisher of these pages, edition 12"
-    rows = [(i, f"own first line of text number n{'abcdefghijkl'[i]} here\n{notice.replace('12', str(i))}\n\nclosing words {'qrstuvwxyzab'[i]} of it")
+    rows = [(i, f"{'abcdefghijkl'[i]}x begins a page in words of its own\n{notice.replace('12', str(i))}\n\nclosing words {'qrstuvwxyzab'[i]} of it")
             for i in range(12)]
     rows += [(50, "copied line of some length stands here\nand a second line"), (51, "copied line of some length stands here\nand a second line"),
              (52, "copied line of some length stands here\nand a second line")]
