@@ -8,12 +8,9 @@ from retailforge.operators import sampling as SP
 from retailforge.plans.registry import query
 from retailforge.sources.tables import read_table
 
-P, A = SP.HASH_PRIME, SP.HASH_MULT
-
 
 def _hash_sql(key: str, seed: int = 3) -> str:
-    h1 = f"((({key} % {P}) * {A} + {seed}) % {P})"
-    return f"(({h1} * {A} + {seed * 7 + 1}) % {P})"
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 8) AS BIGINT)"
 
 
 @query("q_train_test_split", f"""
@@ -121,7 +118,7 @@ def q_kmeans_segments(spark, sf):
     return SG.cluster_quality(lab, "clv")
 
 
-CLEANED_PREFIX = (with_views(RETAIL_LINES) + "," + CLEAN_SQL + _netting_sql("s7", ["ProductVariations"])
+CLEANED_PREFIX = (with_views(RETAIL_LINES) + "," + CLEAN_SQL + _netting_sql("s7")
                   + ",\ncleaned AS (SELECT * FROM netting WHERE Quantity > 0)")
 
 

@@ -234,40 +234,24 @@ nc AS (
     WHERE contains(c.InvoiceNo, 'C') AND NOT EXISTS (
       SELECT 1 FROM {src} o WHERE NOT contains(o.InvoiceNo, 'C')
         AND o.StockCode = c.StockCode AND o.CustomerID = c.CustomerID))),
-keys AS (
-  SELECT StockCode, CustomerID, sum(CASE WHEN contains(InvoiceNo, 'C') THEN 1 ELSE 0 END) AS ncancel,
-         sum(Quantity) AS net
-  FROM nc GROUP BY 1, 2),
-lastline AS (
-  SELECT * FROM (
-    SELECT nc.*, row_number() OVER (PARTITION BY StockCode, CustomerID
-                                     ORDER BY InvoiceDate DESC, InvoiceNo DESC, {tiebreak}) AS rn
-    FROM nc WHERE NOT contains(InvoiceNo, 'C')) WHERE rn = 1),
-netted AS (
-  SELECT {cols_net}, NULL::VARCHAR AS OrderDetails
-  FROM lastline l JOIN keys k USING (StockCode, CustomerID) WHERE k.ncancel > 0),
-plain AS (
-  SELECT {cols_plain}, nc.StockCode || '|' || CAST(nc.CustomerID AS VARCHAR) AS OrderDetails
-  FROM nc JOIN keys k USING (StockCode, CustomerID) WHERE k.ncancel = 0),
-netting AS (SELECT * FROM netted UNION ALL SELECT * FROM plain)"""
-
-
-def _netting_sql(src: str, extra: list[str]) -> str:
-    base = ["InvoiceNo", "Description", "InvoiceDate", "UnitPrice", "Country"] + extra
-    tiebreak = ", ".join(f"{c} DESC" for c in ["Description", "Quantity", "UnitPrice", "Country"] + extra)
-    cols_net = ", ".join(["StockCode", "CustomerID"] + [f"l.{c}" for c in base] + ["CAST(k.net AS BIGINT) AS Quantity"])
-    cols_plain = ", ".join(["StockCode", "CustomerID"] + [f"nc.{c}" for c in base] + ["nc.Quantity"])
-    return NETTING_SQL.format(src=src, tiebreak=tiebreak, cols_net=cols_net, cols_plain=cols_plain)
-
-
-@query("q_cancellation_netting", f"""{W},{_netting_sql('retail_lines', [])}
+keys AS (SELECT StockCode, CustomerID, sum(Quantity) AS cancelled FROM nc WHERE contains(InvoiceNo, 'C') GROUP BY 1, 2),
+netting AS (
+  SELECT nc.* REPLACE (CAST(CASE WHEN k.cancelled IS NULL THEN nc.Quantity ELSE nc.Quantity + k.cancelled END AS BIGINT) AS Quantity),
+         CASE WHEN k.cancelled IS NULL THEN nc.StockCode || '|' || CAST(nc.CustomerID AS VARCHAR) END AS OrderDetails
+  FROM nc LEFT JOIN keys k ON nc.StockCode = k.StockCode AND nc.CustomerID = k.CustomerID
+  WHERE NOT contains(nc.InvoiceNo, 'C'))"""
+
+
+def _netting_sql(src: str) -> str:
+    return NETTING_SQL.format(src=src)
+
+
+@query("q_cancellation_netting", f"""{W},{_netting_sql('retail_lines')}
 SELECT InvoiceNo, StockCode, Description, Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate,
        UnitPrice, CustomerID, Country, OrderDetails
 FROM netting WHERE Quantity > 0""")
 def q_cancellation_netting(spark, sf):
-    return _lines_out(N.cancellation_netting(retail_lines(spark, sf),
-                                             order_cols=("InvoiceDate", "InvoiceNo", "Description",
-                                                         "Quantity", "UnitPrice", "Country")))
+    return _lines_out(N.cancellation_netting(retail_lines(spark, sf)))
 
 
 CLEAN_SQL = """
@@ -286,7 +270,7 @@ s6 AS (SELECT s5.*, CASE WHEN length(s5.StockCode) = 6 THEN coalesce(nv.n, 1) EL
 s7 AS (SELECT * FROM s6 WHERE length(StockCode) >= 5),"""
 
 
-@query("q_clean_retail", f"""{W},{CLEAN_SQL}{_netting_sql('s7', ['ProductVariations'])}
+@query("q_clean_retail", f"""{W},{CLEAN_SQL}{_netting_sql('s7')}
 SELECT InvoiceNo, StockCode, Description, Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate,
        UnitPrice, CustomerID, Country, ProductVariations, OrderDetails
 FROM netting WHERE Quantity > 0""")

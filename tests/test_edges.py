@@ -75,10 +75,30 @@ def test_netting(spark):
         ("103", "44444", "BOWL", 3, T + dt.timedelta(days=1), 1.0, 8, "UK"),
     ])
     assert [r[0] for r in N.unmatched_cancel_invoices(df).collect()] == ["C900"]
-    out = {(r.StockCode, r.CustomerID): (r.InvoiceNo, r.Quantity) for r in N.cancellation_netting(df).collect()}
-    assert out[("11111", 7)] == ("100", 3)        # its cancel invoice was dropped whole
-    assert ("22222", 7) not in out                # net -3 <= 0
-    assert out[("44444", 8)] == ("103", 3)        # 2 + 3 - 1 - 1 on the latest order line
+    out = {(r.InvoiceNo, r.Quantity, r.OrderDetails) for r in N.cancellation_netting(df).collect()}
+    # 100: its cancel invoice was dropped whole; 101: 2 - 5 <= 0; 102: 2 - 1 - 1 <= 0; 103 keeps its own line: 3 - 1 - 1
+    assert out == {("100", 3, "11111|7"), ("103", 1, None)}
+
+
+def test_netting_keeps_every_order_line(spark):
+    """One cancel of a key with two order lines at different prices: both lines stay at their own price."""
+    df = lines(spark, [
+        ("C900", "11111", "MUG", -1, T, 1.0, 7, "UK"),
+        ("100", "11111", "MUG", 10, T, 1.0, 7, "UK"),
+        ("101", "11111", "MUG", 20, T + dt.timedelta(days=1), 9.0, 7, "UK"),
+    ])
+    assert sorted((r.InvoiceNo, r.Quantity, r.UnitPrice) for r in N.cancellation_netting(df).collect()) == [("100", 9, 1.0), ("101", 19, 9.0)]
+
+
+def test_seeded_hash_draws_are_independent(spark):
+    """Two seeds overlap in about f * f of the rows, and counts per block spread as a random draw's do."""
+    from retailforge.operators.sampling import seeded_hash
+    d = spark.range(100_000).select("id", (seeded_hash("id", 1) < 0.5 * 2 ** 32).cast("int").alias("a"),
+                                    (seeded_hash("id", 2) < 0.5 * 2 ** 32).cast("int").alias("b"))
+    both, a = d.agg(F.avg(F.col("a") * F.col("b")), F.avg("a")).first()
+    assert abs(both - 0.25) < 0.01 and abs(a - 0.5) < 0.01
+    blocks = [r[1] for r in d.groupBy((F.col("id") / 100).cast("long")).agg(F.sum("a")).collect()]
+    assert 4.0 < np.std(blocks) < 6.0
 
 
 def test_rfm_single_customer_and_inversion(spark):
@@ -121,8 +141,7 @@ def test_optimal_1d_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     vals = np.r_[rng.normal(1, .2, 40), rng.normal(5, .5, 25), rng.normal(12, 1, 10)].round(3)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    bounds, how = SG.optimal_1d_bounds(df, "v", 3)
-    assert how == "exact"
+    bounds = SG.optimal_1d_bounds(df, "v", 3)
     xs = np.sort(np.unique(vals))
     w = np.array([np.sum(vals == x) for x in xs])
 
@@ -135,7 +154,33 @@ def test_optimal_1d_matches_brute_force(spark):
     assert bounds == [xs[best[1] - 1], xs[best[2] - 1]]
     # fewer distinct values than k
     few = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
-    assert SG.optimal_1d_bounds(few, "v", 3)[0] == [1.0]
+    assert SG.optimal_1d_bounds(few, "v", 3) == [1.0]
+    assert SG.optimal_1d_bounds(few.limit(0), "v", 3) == []
+
+
+@pytest.mark.parametrize("n, k", [(10, 3), (3_000, 4), (200_000, 3)])
+def test_optimal_1d_is_one_method_at_every_size(spark, n, k):
+    """Skewed values of any number: the cuts cost what the full dynamic program over all values finds."""
+    x = np.sort(np.random.default_rng(n).lognormal(0, 1, n))
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    bounds, total = SG.optimal_1d_solution(df, "v", k)
+    d = x - x.mean()
+    s, q = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
+
+    def ss(a, b):
+        return q[b] - q[a] - (s[b] - s[a]) ** 2 / np.maximum(b - a, 1)
+    at = [0, *np.searchsorted(x, bounds, "right").tolist(), n]
+    assert abs(sum(ss(a, b) for a, b in zip(at, at[1:])) - total) < 1e-6 * max(total, 1)
+    if n <= 3_000:
+        f = np.array([ss(0, b) for b in range(n + 1)])
+        for _ in range(k - 1):
+            f = np.array([np.min(f[:b] + ss(np.arange(b), b)) if b else np.inf for b in range(n + 1)])
+        assert abs(f[n] - total) < 1e-9 * max(total, 1)
+    for i in range(1, k):  # no cut improves by moving to a neighbour
+        for step in (-1, 1):
+            c = at[i] + step
+            if at[i - 1] < c < at[i + 1]:
+                assert ss(at[i - 1], c) + ss(c, at[i + 1]) >= ss(at[i - 1], at[i]) + ss(at[i], at[i + 1]) - 1e-7
 
 
 def test_sequential_index_is_a_permutation(spark):
