@@ -198,6 +198,15 @@ def fit_arima(x, order=(0, 0, 1), seasonal=(0, 0, 0), period: int = 12, include_
                     a, P, fphi, ftheta, sd, npar)
 
 
+def away_from_unit_roots(fit: ArimaFit, margin: float = 1.01) -> bool:
+    """Whether all roots of both polynomials lie outside a circle slightly wider than the unit circle."""
+    for lags in (np.r_[1.0, -np.asarray(fit.phi, float)], np.r_[1.0, np.asarray(fit.theta, float)]):
+        lags = np.trim_zeros(lags, "b")
+        if len(lags) > 1 and np.any(np.abs(np.roots(lags[::-1])) <= margin):
+            return False
+    return True
+
+
 def sigma2_of(fit: ArimaFit, df_correction: bool = False) -> float:
     """σ² in data units: Σv²/F / n (``arima``), or / (n − npar) as the automatic search reports."""
     return fit.sigma2 * fit.n / (fit.n - fit.npar) if df_correction else fit.sigma2
@@ -212,7 +221,7 @@ def auto_arima(x, period: int = 12, max_p: int = 2, max_q: int = 2, seasonal: bo
     """
     cands = [(p, q) for p in range(max_p + 1) for q in range(max_q + 1)]
     seas = [(0, 0)]
-    if seasonal and len(x) >= 2 * period + 1:
+    if seasonal and len(x) >= 2 * period:
         seas += [(1, 0), (0, 1)]
     best = None
     for (p, q) in cands:
@@ -223,6 +232,8 @@ def auto_arima(x, period: int = 12, max_p: int = 2, max_q: int = 2, seasonal: bo
                 f = fit_arima(x, (p, 0, q), (P_, 0, Q_), period, include_mean, tol=1e-7, polish=False)
             except (np.linalg.LinAlgError, ValueError):
                 continue
-            if best is None or f.aicc < best.aicc:
+            if away_from_unit_roots(f) and (best is None or f.aicc < best.aicc):
                 best = f
+    if best is None:
+        raise ValueError("no candidate order has a model with its roots away from the unit circle")
     return fit_arima(x, best.order, best.seasonal, period, include_mean)

@@ -205,8 +205,7 @@ def evimp(terms: list[Term], path, kept_size: int, xs: list[str]) -> list[tuple]
     for (big, rss_b, gcv_b), (small, rss_s, gcv_s) in zip(path, path[1:]):
         if len(big) > kept_size:
             continue
-        removed = set(big) - set(small)
-        vs = {v for i in removed for v, _, _ in terms[i]}
+        vs = {v for i in big for v, _, _ in terms[i]}  # every variable of the subset, not only of the removed term
         for v in vs:
             dg[v] += gcv_s - gcv_b
             dr[v] += rss_s - rss_b

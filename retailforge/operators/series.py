@@ -68,7 +68,7 @@ def acf(df: DataFrame, keys: list[str], max_lag: int | None = None, value: str =
     prod = lagged.join(other, on=keys).where(F.col("t2") == F.col("t") - F.col("k"))
     num = prod.groupBy(*keys, "k").agg(F.sum(F.col("xc") * F.col("xc2")).alias("num"))
     den = x.groupBy(*keys).agg(F.sum(F.col("xc") * F.col("xc")).alias("den"), F.first("n").alias("n"))
-    return num.join(den, keys).select(*keys, "k", (F.col("num") / F.col("den")).alias("acf"), "n")
+    return num.join(den, keys).select(*keys, "k", F.try_divide("num", "den").alias("acf"), "n")
 
 
 def _durbin_levinson(r: np.ndarray) -> np.ndarray:
@@ -122,16 +122,16 @@ def forecast_accuracy(df: DataFrame, keys: list[str], actual: str = "value", for
           .withColumn("e_next", F.lag("e", -1).over(w))
     g = d.groupBy(*keys).agg(
         F.avg("e").alias("ME"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("RMSE"),
-        F.avg(F.abs("e")).alias("MAE"), F.avg(F.col("e") * 100 / F.col(actual)).alias("MPE"),
-        F.avg(F.abs(F.col("e") * 100 / F.col(actual))).alias("MAPE"),
+        F.avg(F.abs("e")).alias("MAE"), F.avg(F.try_divide(F.col("e") * 100, F.col(actual))).alias("MPE"),
+        F.avg(F.abs(F.try_divide(F.col("e") * 100, F.col(actual)))).alias("MAPE"),
         F.first(scale).alias("__scale"),
-        F.sum(F.pow((F.col(forecast) - F.col(actual)) / F.col("y_prev"), 2)).alias("__u1"),
-        F.sum(F.pow((F.col(actual) - F.col("y_prev")) / F.col("y_prev"), 2)).alias("__u2"))
+        F.sum(F.pow(F.try_divide(F.col(forecast) - F.col(actual), F.col("y_prev")), 2)).alias("__u1"),
+        F.sum(F.pow(F.try_divide(F.col(actual) - F.col("y_prev"), F.col("y_prev")), 2)).alias("__u2"))
     me = d.groupBy(*keys).agg(F.avg("e").alias("__m"))
     a1 = d.join(me, keys).groupBy(*keys).agg(
         F.sum((F.col("e") - F.col("__m")) * (F.col("e_next") - F.col("__m"))).alias("__an"),
         F.sum((F.col("e") - F.col("__m")) * (F.col("e") - F.col("__m"))).alias("__ad"))
     return g.join(a1, keys).select(
-        *keys, "ME", "RMSE", "MAE", "MPE", "MAPE", (F.col("MAE") / F.col("__scale")).alias("MASE"),
+        *keys, "ME", "RMSE", "MAE", "MPE", "MAPE", F.try_divide("MAE", "__scale").alias("MASE"),
         F.try_divide(F.col("__an"), F.col("__ad")).alias("ACF1"),
         F.sqrt(F.try_divide(F.col("__u1"), F.col("__u2"))).alias("TheilU"))

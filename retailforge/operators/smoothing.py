@@ -68,7 +68,7 @@ def holt(df: DataFrame, keys: list[str], value: str = "value", steps: int = 50)
     rest = F.slice("x", 3, 1 << 30)
 
     def fold_ab(a, b):
-        init = F.struct(F.col("x")[1].alias("l"), (F.col("x")[1] - F.col("x")[0]).alias("b"),
+        init = F.struct(F.get("x", F.lit(1)).alias("l"), (F.get("x", F.lit(1)) - F.get("x", F.lit(0))).alias("b"),
                         F.lit(0.0).alias("sse"))
 
         def step(acc, x):
@@ -130,8 +130,8 @@ def _hw_sse(x, f, a, b, g, l0, b0, s0):
 def holt_winters_fit(x, f: int = 12):
     """Multiplicative Holt–Winters; (α, β, γ) by grid then Nelder–Mead on the one-step SSE."""
     x = np.asarray(x, float)
-    if len(x) < 2 * f + 1:
-        raise ValueError("time series has no or less than 2 periods")
+    if len(x) < 2 * f:
+        raise ValueError(f"Holt-Winters needs two seasons, {2 * f} values; the series has {len(x)}")
     l0, b0, s0 = _decompose_start(x, f)
 
     def obj(p):
@@ -242,11 +242,11 @@ def auto_arima_forecasts(df: DataFrame, keys: list[str], h: int = 3, period: int
         x = pdf[value].to_numpy(dtype=float)
         p, q, a, b = (int(pdf[c].iloc[0]) for c in ("p", "q", "sp", "sq"))
         aicc = None
-        if not ((a or b) and len(x) < 2 * period + 1):
+        if not ((a or b) and len(x) < 2 * period):
             try:
                 f = AR.fit_arima(x, (p, 0, q), (a, 0, b), period, tol=1e-7, polish=False)
-                aicc = f.aicc if math.isfinite(f.aicc) else None
-            except (np.linalg.LinAlgError, ValueError):
+                aicc = f.aicc if math.isfinite(f.aicc) and AR.away_from_unit_roots(f) else None
+            except (np.linalg.LinAlgError, ValueError, ZeroDivisionError, FloatingPointError):
                 aicc = None
         row = {k: pdf[k].iloc[0] for k in keys}
         row.update(p=p, q=q, sp=a, sq=b, aicc=aicc)
@@ -256,15 +256,18 @@ def auto_arima_forecasts(df: DataFrame, keys: list[str], h: int = 3, period: int
     best = (scores.where(F.col("aicc").isNotNull()).groupBy(*keys)
                   .agg(F.min(F.struct("aicc", "p", "q", "sp", "sq")).alias("__b"))
                   .select(*keys, "__b.p", "__b.q", "__b.sp", "__b.sq"))
-    data = df.select(*keys, "t", value).join(best, keys)
+    # a series without an admissible model keeps its place: one row without an order
+    data = df.select(*keys, "t", value).join(best, keys, "left")
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         x = pdf[value].to_numpy(dtype=float)
+        base = {k: pdf[k].iloc[0] for k in keys}
+        if pd.isna(pdf["p"].iloc[0]):
+            return pd.DataFrame([dict(base, order="no admissible model")], columns=keys + FORECAST_COLS)
         p, q, a, b = (int(pdf[c].iloc[0]) for c in ("p", "q", "sp", "sq"))
         fit = AR.fit_arima(x, (p, 0, q), (a, 0, b), period)
         s2 = AR.sigma2_of(fit, True)
-        base = {k: pdf[k].iloc[0] for k in keys}
         label = f"({p},0,{q})({a},0,{b})[{period}]"
         rows = [dict(base, order=label, step=i + 1, point=pt, lo80=l8, hi80=h8, lo95=l9, hi95=h9, sigma2=s2,
                      aicc=fit.aicc if math.isfinite(fit.aicc) else None)
