@@ -1,8 +1,7 @@
 """Series and forecasting queries (66-68, 116-125, 133).
 
 Input: the monthly CLV table per series (nation and market-segment families)
-from ``q_aggs.monthly_clv_series``; smoothing and ARIMA run on the segment
-family.  Oracles: recursive CTEs fold the same parameter grids.
+from ``q_aggs.monthly_clv_series``; smoothing and ARIMA run on all of them.  Oracles: recursive CTEs fold the same parameter grids.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ dense AS (
   FROM grid g LEFT JOIN clv c ON c.series_kind = g.series_kind AND c.series_key = g.series_key
                               AND c.MnthYr = strftime(g.m, '%Y-%m')),
 s AS (SELECT series_kind, series_key, t, value AS v, max(t) OVER (PARTITION BY series_kind, series_key) AS n
-      FROM dense WHERE series_kind = 'segment')"""
+      FROM dense)"""
 
 DENSE_SQL_REC = DENSE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -37,8 +36,9 @@ def dense_series(spark, sf):
     return TS.monthly_series(monthly_clv_series(spark, sf), KEYS, "MnthYr", "total_CLV")
 
 
-def segment_series(spark, sf):
-    return dense_series(spark, sf).where(F.col("series_kind") == "segment")
+def all_series(spark, sf):
+    """All series: nations and market segments."""
+    return dense_series(spark, sf)
 
 
 @query("q_monthly_series", f"""{DENSE_SQL}
@@ -103,11 +103,11 @@ ses AS (SELECT series_key, n, alpha, sse, l AS level FROM best WHERE rn = 1)"""
 
 
 @query("q_ses", f"""{DENSE_SQL_REC},{_ses_sql('s')}
-SELECT 'segment' AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, round(sse, 4) AS sse,
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = ses.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, round(sse, 0) AS sse,
        round(level, 6) AS level FROM ses""")
 def q_ses(spark, sf):
-    f = SM.ses(segment_series(spark, sf), KEYS, steps=SES_STEPS)
-    return f.withColumn("sse", F.round("sse", 4)).withColumn("level", F.round("level", 6))
+    f = SM.ses(all_series(spark, sf), KEYS, steps=SES_STEPS)
+    return f.withColumn("sse", F.round("sse", 0)).withColumn("level", F.round("level", 6))
 
 
 @query("q_holt", f"""{DENSE_SQL_REC},
@@ -123,29 +123,29 @@ rec AS (
   FROM rec r JOIN s ON s.series_key = r.series_key AND s.t = r.t + 1),
 fin AS (SELECT rec.*, s.n FROM rec JOIN s USING (series_key, t) WHERE rec.t = s.n),
 best AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY sse, alpha, beta) AS rn FROM fin)
-SELECT 'segment' AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, beta, round(sse, 4) AS sse,
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = best.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, beta, round(sse, 0) AS sse,
        round(l, 6) AS level, round(b, 6) AS trend FROM best WHERE rn = 1""")
 def q_holt(spark, sf):
-    f = SM.holt(segment_series(spark, sf), KEYS, steps=HOLT_STEPS)
-    return (f.withColumn("sse", F.round("sse", 4)).withColumn("level", F.round("level", 6))
+    f = SM.holt(all_series(spark, sf), KEYS, steps=HOLT_STEPS)
+    return (f.withColumn("sse", F.round("sse", 0)).withColumn("level", F.round("level", 6))
              .withColumn("trend", F.round("trend", 6)))
 
 
 @query("q_holt_winters")
 def q_holt_winters(spark, sf):
-    return SM.holt_winters(segment_series(spark, sf), KEYS, h=H)
+    return SM.holt_winters(all_series(spark, sf), KEYS, h=H)
 
 
 @query("q_arima")
 def q_arima(spark, sf):
     """ARIMA(0,0,1) with mean per series, refit on all months, h = 12 (122, 121, 125)."""
-    return SM.arima_forecasts(segment_series(spark, sf), KEYS, h=12, order=(0, 0, 1))
+    return SM.arima_forecasts(all_series(spark, sf), KEYS, h=12, order=(0, 0, 1))
 
 
 @query("q_auto_arima")
 def q_auto_arima(spark, sf):
     """Order chosen by AICc per series on the training months, h = 3 (123)."""
-    tr = TS.series_split(segment_series(spark, sf), KEYS, H).where(F.col("set") == "train")
+    tr = TS.series_split(all_series(spark, sf), KEYS, H).where(F.col("set") == "train")
     return SM.auto_arima_forecasts(tr, KEYS, h=H)
 
 
@@ -160,14 +160,14 @@ e AS (SELECT te.series_key, te.t, te.v, ses.level AS f, te.v - ses.level AS e,
       FROM te JOIN ses USING (series_key)),
 e2 AS (SELECT e.*, lead(e.e) OVER (PARTITION BY series_key ORDER BY t) AS e_next,
               avg(e.e) OVER (PARTITION BY series_key) AS m FROM e)
-SELECT 'segment' AS series_kind, e2.series_key, round(avg(e), 6) AS ME, round(sqrt(avg(e * e)), 6) AS RMSE,
-       round(avg(abs(e)), 6) AS MAE, round(avg(e * 100 / v), 6) AS MPE, round(avg(abs(e * 100 / v)), 6) AS MAPE,
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = e2.series_key) AS series_kind, e2.series_key, round(avg(e), 6) AS ME, round(sqrt(avg(e * e)), 6) AS RMSE,
+       round(avg(abs(e)), 6) AS MAE, round(avg(e * 100 / nullif(v, 0)), 6) AS MPE, round(avg(abs(e * 100 / nullif(v, 0))), 6) AS MAPE,
        round(avg(abs(e)) / first(sc.scale), 6) AS MASE,
        round(sum((e - m) * (e_next - m)) / sum((e - m) * (e - m)), 6) AS ACF1,
        round(sqrt(sum(((f - v) / y_prev) * ((f - v) / y_prev)) / sum(((v - y_prev) / y_prev) * ((v - y_prev) / y_prev))), 6) AS TheilU
 FROM e2 JOIN sc USING (series_key) GROUP BY e2.series_key""")
 def q_forecast_accuracy(spark, sf):
-    return forecast_accuracy_ses(segment_series(spark, sf))
+    return forecast_accuracy_ses(all_series(spark, sf))
 
 
 def forecast_accuracy_ses(series):
@@ -186,11 +186,11 @@ def forecast_accuracy_ses(series):
 
 @query("q_ses_forecast", f"""{DENSE_SQL_REC},
 tr AS (SELECT series_kind, series_key, t, v, n - {H} AS n FROM s WHERE t <= n - {H}),{_ses_sql('tr')}
-SELECT 'segment' AS series_kind, series_key, CAST(step AS INTEGER) AS step, round(level, 6) AS forecast
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = ses.series_key) AS series_kind, series_key, CAST(step AS INTEGER) AS step, round(level, 6) AS forecast
 FROM ses, range(1, {H} + 1) r(step)""")
 def q_ses_forecast(spark, sf):
     """SES on the training months, flat h-step forecasts (117, 121)."""
-    tr = TS.series_split(segment_series(spark, sf), KEYS, H).where(F.col("set") == "train")
+    tr = TS.series_split(all_series(spark, sf), KEYS, H).where(F.col("set") == "train")
     fc = SM.smoothing_forecasts(SM.ses(tr, KEYS, steps=SES_STEPS), KEYS, H)
     return fc.withColumn("forecast", F.round("forecast", 6))
 
@@ -198,4 +198,4 @@ def q_ses_forecast(spark, sf):
 @query("q_arima_fitted")
 def q_arima_fitted(spark, sf):
     """Fitted-value export of the ARIMA(0,0,1) refit per series (125)."""
-    return SM.arima_fitted(segment_series(spark, sf), KEYS)
+    return SM.arima_fitted(all_series(spark, sf), KEYS)
