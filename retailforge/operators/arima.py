@@ -46,6 +46,20 @@ def _stationary(coef: np.ndarray) -> bool:
     return bool(np.all(np.abs(roots) > 1.0 + 1e-8))
 
 
+def _covariance(T: np.ndarray, RR: np.ndarray) -> np.ndarray:
+    """Solution of P = T P T' + RR: directly for small systems, else by doubling the number of summed terms."""
+    r = len(T)
+    if r > 8:
+        P, A = RR.copy(), T.copy()
+        for _ in range(40):
+            more = A @ P @ A.T
+            P = P + more
+            A = A @ A
+            if np.abs(more).max() <= 1e-15 * np.abs(P).max():
+                return P
+    return np.linalg.solve(np.eye(r * r) - np.kron(T, T), RR.ravel()).reshape(r, r)
+
+
 def _system(phi: np.ndarray, theta: np.ndarray):
     p, q = len(phi), len(theta)
     r = max(p, q + 1)
@@ -57,7 +71,7 @@ def _system(phi: np.ndarray, theta: np.ndarray):
     R[1:q + 1] = theta
     RR = np.outer(R, R)
     # stationary covariance: P = T P T' + R R'
-    P0 = np.linalg.solve(np.eye(r * r) - np.kron(T, T), RR.ravel()).reshape(r, r)
+    P0 = _covariance(T, RR)
     return T, RR, P0
 
 
