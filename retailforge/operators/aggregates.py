@@ -25,7 +25,7 @@ def monthly_clv(df: DataFrame, ts: str, revenue: Column | str, customer: str,
     rev = F.col(revenue) if isinstance(revenue, str) else revenue
     total = F.sum(rev)
     if money_decimals is not None:
-        total = F.sum(rev.cast(f"decimal(18,{money_decimals})")).cast("double")
+        total = F.sum(rev.cast(f"decimal(24,{money_decimals})")).cast("double")
     pur = F.count(F.lit(1)) if purchases is None else F.sum(
         F.col(purchases) if isinstance(purchases, str) else purchases)
     g = (df.where(F.col(customer).isNotNull()).withColumn("MnthYr", year_month(ts))

@@ -54,7 +54,7 @@ keyed AS (SELECT *, 'nation' AS series_kind, nation AS series_key FROM clv_lines
           UNION ALL SELECT *, 'segment', segment FROM clv_lines),
 monthly AS (
   SELECT series_kind, series_key, strftime(order_ts, '%Y-%m') AS MnthYr,
-         CAST(sum(CAST(revenue AS DECIMAL(18, 2))) AS DOUBLE) AS total_Rev,
+         CAST(sum(CAST(revenue AS DECIMAL(24, 4))) AS DOUBLE) AS total_Rev,
          count(*) AS total_Pur, count(DISTINCT customer_id) AS total_Cust
   FROM keyed GROUP BY 1, 2, 3 HAVING strftime(order_ts, '%Y-%m') NOT IN ('2001-08')),
 clv AS (SELECT *, total_Rev / total_Pur AS AVG_PUR_VAL, total_Pur / total_Cust AS AVG_PUR_FREQ,
@@ -65,7 +65,7 @@ PARTIAL_MONTHS = ["2001-08"]
 
 def monthly_clv_series(spark, sf):
     return A.monthly_clv(series_keys(clv_lines(spark, sf)), "order_ts", "revenue", "customer_id",
-                         series=["series_kind", "series_key"], drop_months=PARTIAL_MONTHS, money_decimals=2)
+                         series=["series_kind", "series_key"], drop_months=PARTIAL_MONTHS, money_decimals=4)
 
 
 @query("q_monthly_clv", f"""{WC},{CLV_SERIES_SQL}

@@ -31,7 +31,7 @@ def run_monthly_clv_stream(spark: SparkSession, source: DataFrame, enrich, ts: s
     def batch(df: DataFrame, epoch: int) -> None:
         keyed = enrich(df).withColumn("MnthYr", year_month(ts)).withColumn("batch", F.lit(epoch))
         parts = keyed.groupBy("batch", *series, "MnthYr").agg(
-            F.sum(F.col(revenue).cast("decimal(18,2)")).alias("rev"), F.count(F.lit(1)).alias("pur"))
+            F.sum(F.col(revenue).cast("decimal(24,4)")).alias("rev"), F.count(F.lit(1)).alias("pur"))
         keys = keyed.select("batch", *series, "MnthYr", customer).distinct()
         for name, frame in (("partials", parts), ("customers", keys)):
             (frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
