@@ -210,3 +210,35 @@ def test_no_silent_local_stage_folder():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_workers_import_the_package_from_anywhere(tmp_path):
+    """A driver outside the repository folder, without PYTHONPATH: grouped Python functions still run."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from retailforge.session import get_spark\n"
+            "from retailforge.operators import smoothing as SM\n"
+            "s = get_spark('local[2]', shuffle_partitions=2)\n"
+            "d = s.createDataFrame([('a', t, float(10 + t % 3)) for t in range(1, 20)], 'k string, t int, value double')\n"
+            "print('ROWS', SM.arima_forecasts(d, ['k'], h=3, order=(0, 0, 1)).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 3" in out.stdout, out.stderr[-2000:]
+
+
+def test_auto_arima_keeps_every_series(spark):
+    """Constant, one-point and gap series get a status row instead of vanishing or failing the job."""
+    from retailforge.operators import smoothing as SM
+    rng = np.random.default_rng(4)
+    x = 50 + np.convolve(rng.normal(0, 1, 21), [1, 0.6])[1:21]
+    rows = [("ok", t + 1, float(v)) for t, v in enumerate(x)] + [("constant", t, 7.0) for t in range(1, 16)]
+    rows += [("one", 1, 3.0)] + [("gap", t, None if t == 4 else float(t % 5)) for t in range(1, 16)]
+    got = {}
+    for r in SM.auto_arima_forecasts(spark.createDataFrame(rows, "k string, t int, value double"), ["k"], h=2, max_p=1, max_q=1).collect():
+        got.setdefault(r.k, []).append(r)
+    assert set(got) == {"ok", "constant", "one", "gap"}
+    assert len(got["ok"]) == 2 and got["ok"][0].point is not None and "(" in got["ok"][0].order
+    assert got["one"][0].order == "no admissible model" and got["gap"][0].order == "no admissible model"
