@@ -26,7 +26,7 @@ LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 #: pieces of more bytes are handled one at a time
 LONG = 48
 #: different pieces that a worker remembers between blocks
-MEMO = 400_000
+MEMO = 250_000
 # Fixed values of the vocabulary's pattern: short endings split off a word.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 

@@ -274,6 +274,8 @@ def _predict(shared):
                     pred[b.row + i], score[b.row + i] = m.langs[k], post[i, k]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)],
                                              names=["row", "lang_pred", "score"])
+        if m is not None:
+            m._clear()  # the worker lives on and so does the broadcast model; its remembered words need not
     return run
 
 
