@@ -1,7 +1,8 @@
 """Line deduplication with a log-template tree, in DataFrame functions only.
 
-Every line is cut into tokens; tokens with a digit are variable fields
-(``<*>``).  The tree has a fixed depth: token count, then the leading
+Every line is cut into tokens at runs of white space; tokens with a digit
+are variable fields (``<*>``), unless all tokens of the line are: such a line
+is compared as it stands.  The tree has a fixed depth: token count, then the leading
 ``DEPTH`` tokens.  Inside a leaf, positions where no token holds more than
 half of the leaf's lines are variable as well; a line that agrees with the
 leaf's constant tokens in at least ``SIMILARITY`` of its positions takes the
@@ -29,14 +30,34 @@ SIMILARITY = 0.7
 SHORT, MIN_SHORT, MIN_LONG = 3, 10, 3
 #: a tenth of a template's documents at least must differ in context
 CONTEXT_SHARE = 10
+SPACE = r"[ \t\x0b\f\r]+"
 VARIABLE = r"[^ ]*[0-9][^ ]*"
 #: leaves or templates up to this number are broadcast to the lines; more are joined by shuffle
 BROADCAST_ROWS = 1_000_000
 
 
-def _masked(line: Column) -> Column:
-    """A line whose variable fields are alike; tokens stand between single blanks."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+def _spaced(line: Column) -> Column:
+    """A line with its tokens between single blanks; empty if it is white space alone."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+
+
+def _masked(spaced: Column) -> Column:
+    """A line whose variable fields are alike."""
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, VARIABLE, "<*>")).otherwise(spaced)
+
+
+def _literal(masked: Column) -> Column:
+    """No token but variable ones: masked, nothing would be left to compare."""
+    return masked.startswith("<*>") & (F.replace(F.replace(masked, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) == "")
+
+
+def _forms(lines: Column) -> Column:
+    """Lines -> ``l, t, m``: as they are, spaced, masked.  Nested, so that each form is made once per line."""
+    spaced = F.transform(lines, lambda l: F.struct(l.alias("l"), _spaced(l).alias("t")))
+    return F.transform(spaced, lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), _masked(x["t"]).alias("m")))
 
 
 def _size(masked: Column) -> Column:
@@ -47,10 +68,20 @@ def _lead(masked: Column) -> Column:
     return F.substring_index(masked, " ", DEPTH)
 
 
-def _line(line: Column) -> Column:
-    """Tree path of a line: token count, leading part, and the hash of all tokens."""
-    m = _masked(line)
-    return F.struct(_size(m).alias("n"), _lead(m).alias("lead"), F.xxhash64(m).alias("line"))
+def _hash(form: Column) -> Column:
+    """Hash of what a line is compared by."""
+    return F.xxhash64(F.when(_literal(form["m"]), form["t"]).otherwise(form["m"]))
+
+
+def _leaf(masked: Column) -> Column:
+    return F.xxhash64(_size(masked), _lead(masked))
+
+
+def _path(form: Column) -> Column:
+    """Tree path of a line: token count, leading part, leaf, and the hash of all tokens; a literal line is a leaf of its own."""
+    m = form["m"]
+    return F.struct(_size(m).alias("n"), _lead(m).alias("lead"),
+                    F.when(_literal(m), F.xxhash64(_size(m), form["t"])).otherwise(_leaf(m)).alias("leaf"), _hash(form).alias("line"))
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -66,8 +97,8 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document and different line: key, tree path and context."""
     paths = (docs.where(F.col(f"`{text_col}`").isNotNull())
              .select(*_key(docs, id_col, text_col),
-                     F.array_distinct(F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda l: F.trim(l) != "")).alias("lines"))
-             .select("k_id", "k_text", F.array_distinct(F.transform("lines", _line)).alias("paths")))
+                     F.filter(_forms(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1))), lambda x: x["t"] != "").alias("forms"))
+             .select("k_id", "k_text", F.array_distinct(F.transform("forms", _path)).alias("paths")))
     leads = F.array_sort(F.array_distinct(F.transform("paths", lambda p: p["lead"])))
     rows = paths.withColumn("leads", leads).select(
         "k_id", "k_text", F.explode("paths").alias("p"),
@@ -75,7 +106,7 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  F.try_element_at("leads", F.lit(-1)).alias("z1"), F.try_element_at("leads", F.lit(-2)).alias("z2")).alias("e"))
     low = F.when(F.col("e.a1") == F.col("p.lead"), F.col("e.a2")).otherwise(F.col("e.a1"))
     high = F.when(F.col("e.z1") == F.col("p.lead"), F.col("e.z2")).otherwise(F.col("e.z1"))
-    return rows.select("k_id", "k_text", F.col("p.n").alias("n"), F.xxhash64("p.n", "p.lead").alias("leaf"),
+    return rows.select("k_id", "k_text", F.col("p.n").alias("n"), F.col("p.leaf").alias("leaf"),
                        F.col("p.line").alias("line"), F.xxhash64(low, F.lit("|"), high).alias("context"))
 
 
@@ -86,9 +117,9 @@ def generalised_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col:
               .where((F.col("variants") > 1) & (F.col("total") >= MIN_LONG)).select("leaf", "total"))
     leaves = stage(leaves, "leaves")
     texts = (docs.where(F.col(f"`{text_col}`").isNotNull())
-             .select(F.explode(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1))).alias("l")).where("trim(l) <> ''")
-             .select(_masked(F.col("l")).alias("t"))
-             .select("t", F.xxhash64(_size(F.col("t")), _lead(F.col("t"))).alias("leaf")))
+             .select(F.explode(_forms(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1)))).alias("x"))
+             .where((F.col("x.t") != "") & ~_literal(F.col("x.m"))).select(F.col("x.m").alias("t"))
+             .select("t", _leaf(F.col("t")).alias("leaf")))
     variants = (texts.join(_checked(leaves), "leaf")
                 .select("leaf", "total", "t", F.xxhash64("t").alias("line"))
                 .groupBy("leaf", "line").agg(F.first("t").alias("t"), F.first("total").alias("total"), F.count("*").alias("m"))
@@ -130,7 +161,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        F.col(f"`{text_col}`").alias("text"))
     on = rows["k_id"].eqNullSafe(found["k_id"]) & (rows["k_text"] == found["k_text"])
     out = rows.join(found, on, "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
-    keep = F.filter("lines", lambda l: ~F.array_contains(F.col("dropped"), _line(l)["line"]))
+    keep = F.transform(F.filter(_forms(F.col("lines")), lambda x: ~F.array_contains(F.col("dropped"), _hash(x))), lambda x: x["l"])
     out = out.withColumn("kept", F.when(F.col("dropped").isNotNull(), keep))
     return out.select("row", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
                       F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("n_dropped"),
