@@ -260,14 +260,15 @@ def _blocks(df: DataFrame, key: str, n: str, block: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, k_text, uid, class_id, class_size, group_id, n_links, n_near_classes``.
+    """One row per document: ``doc_id, k_text, uid, class_id, class_size, group_id, n_links, n_near_classes, has_words, component``.
 
     ``class_id`` is the smallest identifier among the documents with the same
     set of word 5-grams, ``group_id`` that of all documents connected through
     links, ``n_links`` the number of other documents of similarity 0.8 or
     more, copies included, ``n_near_classes`` the number of different texts
     among them.  Words are lower-cased runs of letters, digits and non-ASCII
-    characters; a text of one to four words is one gram.  NULL texts and
+    characters; ``component`` tells the groups apart where identifiers are
+    NULL or repeated.  A text of one to four words is one gram.  NULL texts and
     texts without a word have no links and are groups of their own.  Repeated
     rows are documents of one class; an empty table gives no rows.
     """
@@ -304,7 +305,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = (classes.select("d1", "d2", "cid", "class_id", "copies").join(linked, "cid", "left")
              .join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     group_ids = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    named = named.join(group_ids, "root").drop("root", "cid")
+    named = named.join(group_ids, "root").drop("cid")
     return (signed.select("doc_id", "k_text", "uid", "n_grams", "d1", "d2")
             .join(named, ["d1", "d2"], "left")
             .select("doc_id", "k_text", "uid", F.when(F.col("n_grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
@@ -312,13 +313,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     F.when(F.col("n_grams") > 0, F.col("group_id")).otherwise(F.col("doc_id")).alias("group_id"),
                     F.when(F.col("n_grams") > 0, F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
                     F.when(F.col("n_grams") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("n_near_classes"),
-                    (F.col("n_grams") > 0).alias("has_words")))
+                    (F.col("n_grams") > 0).alias("has_words"), F.coalesce("root", "uid").alias("component")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group - the one with the smallest identifier - with its columns unchanged."""
+    """One document of each group - the one with the smallest identifier, if any has one - with its columns unchanged.
+
+    Groups are connected texts, whatever their identifiers: unrelated texts
+    without an identifier, or under one repeated identifier, all stay.
+    """
     found = similar_documents(docs, id_col, text_col)
-    first = found.where("has_words").groupBy("group_id").agg(F.min(F.struct("doc_id", "uid", "k_text")).alias("s")).select("s.*")
+    smallest = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "uid", "k_text"))
+    first = found.where("has_words").groupBy("component").agg(smallest.alias("s")).select("s.*")
     kept = stage(first.select("doc_id", "k_text").unionByName(found.where("NOT has_words").select("doc_id", "k_text").distinct())
                  .select(F.col("doc_id").alias("w_id"), F.col("k_text").alias("w_text")), "kept-of-groups")
     right = F.broadcast(kept) if small_enough(kept, BROADCAST_ROWS) else kept
