@@ -12,6 +12,7 @@ bins of all shards are dealt again over fewer shards, until one is left.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,6 @@ CAPACITY = 1024
 END = 2
 #: pieces of a shard, and least full bins of each that are packed again
 SHARD, CARRY = 16_384, 12
-#: rounds over the underfull bins of a shard
-SWEEPS = 4
 
 
 def _pieces(path: str, capacity: int, end: int):
@@ -93,8 +92,9 @@ class LocalSearch:
 
     A step takes tokens out of one bin and fills another: a document moves
     into the fullest bin with room for it, or one or two documents are
-    exchanged for a smaller one so that the other bin becomes exactly full.
-    Each step raises the sum of squared fills, so the search ends.
+    exchanged for a smaller one: so that the other bin becomes exactly full,
+    or else for the most that it can gain.  Each step raises the sum of
+    squared fills, so the search ends - where no step is left.
     """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
@@ -103,6 +103,8 @@ class LocalSearch:
         #: (free, size) -> underfull bins that had that much room and such a document; free -> bins
         self.holding: dict[tuple[int, int], set[int]] = {}
         self.free: dict[int, set[int]] = {}
+        #: free -> the sizes that its bins hold, ascending
+        self.held: dict[int, list[int]] = {}
         for b in range(len(bins)):
             self._list(b)
 
@@ -110,10 +112,21 @@ class LocalSearch:
         f = self.capacity - self.fill[b]
         if not f or not self.bins[b]:
             return
-        for at in (self.free.setdefault(f, set()), *(self.holding.setdefault((f, n), set()) for n in {self.sizes[i] for i in self.bins[b]})):
-            at.add(b) if add else at.discard(b)
-        if not self.free[f]:
-            del self.free[f]
+        held = self.held.setdefault(f, [])
+        for n in {self.sizes[i] for i in self.bins[b]}:
+            at = self.holding.setdefault((f, n), set())
+            if add:
+                if not at:
+                    insort(held, n)
+                at.add(b)
+            else:
+                at.discard(b)
+                if not at:
+                    del self.holding[(f, n)], held[bisect_left(held, n)]
+        at = self.free.setdefault(f, set())
+        at.add(b) if add else at.discard(b)
+        if not at:
+            del self.free[f], self.held[f]
 
     def _exchange(self, a: int, b: int, go: list[int], come: list[int]) -> None:
         self._list(a, False)
@@ -133,6 +146,28 @@ class LocalSearch:
     def _other(self, at: set[int] | None, a: int) -> int | None:
         return next((b for b in at if b != a), None) if at else None
 
+    def _best(self, a: int, n: int, levels: list[int]) -> tuple[int, int, int] | None:
+        """(gain, free, size) of the exchange of ``n`` tokens of bin ``a`` for one smaller document that gains the other bin most."""
+        best, room = None, self.capacity - self.fill[a]
+        for f in reversed(levels):
+            if best and f <= best[0]:
+                break
+            held = self.held[f]
+            for k in range(bisect_left(held, n - f), len(held)):
+                gain = n - held[k]
+                if gain <= max(0, f - room, best[0] if best else 0):
+                    break
+                if self._other(self.holding[(f, held[k])], a) is not None:
+                    best = gain, f, held[k]
+                    break
+        return best
+
+    def _trade(self, a: int, go: list[int], best: tuple[int, int, int]) -> bool:
+        _, f, n = best
+        b = self._other(self.holding[(f, n)], a)
+        self._exchange(a, b, go, [next(i for i in self.bins[b] if self.sizes[i] == n)])
+        return True
+
     def step(self, a: int) -> bool:
         """One step out of bin ``a``; False if there is none."""
         size, levels = self.sizes, sorted(self.free)
@@ -162,12 +197,25 @@ class LocalSearch:
                     if b is not None:
                         self._exchange(a, b, [i, j], [next(x for x in self.bins[b] if size[x] == n - f)])
                         return True
-        return False
+        # no exchange fills a bin: the one that gains another most, of one document or else of two
+        best = max(((x, n) for n in mine if (x := self._best(a, n, levels))), default=None)
+        if best:
+            return self._trade(a, [mine[best[1]]], best[0])
+        best, go, tried = None, [], set()
+        for k, i in enumerate(items):
+            for j in items[k + 1:]:
+                n = size[i] + size[j]
+                if n not in tried:
+                    tried.add(n)
+                    x = self._best(a, n, levels)
+                    if x and (best is None or x > best):
+                        best, go = x, [i, j]
+        return self._trade(a, go, best) if best else False
 
     def run(self) -> list[list[int]]:
         bound = -(-sum(self.fill) // self.capacity)
         left = sum(1 for b in self.bins if b)
-        for _ in range(SWEEPS):
+        while True:
             steps = 0
             under = sorted((b for at in self.free.values() for b in at), key=lambda b: (self.fill[b], b))
             for a in under:
