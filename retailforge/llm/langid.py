@@ -28,11 +28,13 @@ VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
 #: labelled rows per language that the classifier is fitted on, and rounds of the fit
 FIT_ROWS, ROUNDS = 4_000, 3
-#: words of more bytes are scored one at a time; different words that a worker remembers
+#: words of more bytes are rescaled at every position; different words that a worker remembers
 LONG, MEMO = 48, 600_000
 #: factor per byte that keeps products of small probabilities in range
 SCALE = 16.0
 MARK = "▁"
+#: prefixes x languages of the long words that are handled beside each other
+LONG_CELLS = 4 << 20
 
 
 class Pieces:
@@ -130,6 +132,50 @@ class Pieces:
                 total[:, g] += np.bincount(t, x[:, g], self.n)
         return total
 
+    def expected_long(self, words: list[bytes], counts: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+        """The same for words of any length, ordered by length: prefixes rescaled at every position.
+
+        The backward pass carries the expected number of cuts at each
+        position; a piece takes its share of those at its end.
+        """
+        langs, depth = scaled.shape[1], int(self.size.max())
+        total = np.zeros((self.n, langs))
+        v = len(words)
+        while v:  # the longest first, as many as fit beside each other
+            u = max(0, v - max(1, LONG_CELLS // (langs * (len(words[v - 1]) + depth))))
+            data, starts, sizes = self.words(words[u:v])
+            n, rows = int(sizes[-1]), v - u
+            ahead, level = np.zeros((rows, depth + 1, langs)), np.zeros((rows, langs))
+            ahead[:, 0] = 1.0
+            log = np.empty((rows, n + 1, langs))  # of the probability of each prefix
+            for s in range(n + 1):
+                top = np.maximum(ahead[:, 0], 1e-300)
+                ahead /= top[:, None]
+                level += np.log(top)
+                log[:, s] = level
+                for w, t, e in self.steps(data, starts, sizes, s):
+                    ahead[w, e - s] += ahead[w, 0] * scaled[t]
+                ahead[:, :-1] = ahead[:, 1:]
+                ahead[:, -1] = 0.0
+            cuts = np.zeros_like(ahead)
+            met, mass, held = [], [], 0
+            for s in range(n, -1, -1):
+                cuts[:, 1:] = cuts[:, :-1]
+                cuts[:, 0] = np.where((sizes == s)[:, None], counts[u:v], 0.0)
+                for w, t, e in self.steps(data, starts, sizes, s) if s < n else ():
+                    x = cuts[w, e - s] * np.exp(log[w, s] - log[w, e]) * scaled[t]
+                    cuts[w, 0] += x
+                    met.append(t)
+                    mass.append(x)
+                    held += len(t)
+                if held > 500_000 or not s:
+                    t, x = np.concatenate(met), np.concatenate(mass)
+                    for g in range(langs):
+                        total[:, g] += np.bincount(t, x[:, g], self.n)
+                    met, mass, held = [], [], 0
+            v = u
+        return total
+
 
 _pieces: dict[str, Pieces] = {}
 
@@ -199,8 +245,10 @@ def _expect(vocabulary: str, scaled):
         for batch in batches:
             words = batch.column(0).to_pylist()
             counts = np.array(batch.column(1).to_pylist(), float).reshape(len(words), s.shape[1])
-            order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG), key=lambda i: len(words[i]))
-            total += p.expected([words[i] for i in order], counts[order], s)
+            order = sorted(range(len(words)), key=lambda i: len(words[i]))
+            short = sum(len(w) <= LONG for w in words)
+            for some, add in ((order[:short], p.expected), (order[short:], p.expected_long)):
+                total += add([words[i] for i in some], counts[some], s)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
