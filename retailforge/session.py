@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -95,6 +96,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one written table under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/retailforge-stages/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df, name: str = "stage"):
     """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -104,10 +110,23 @@ def stage(df, name: str = "stage"):
     costs the tasks of the current stage.  Parquet keeps column pruning and
     filter pushdown on the re-read.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/retailforge-stages/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``stage_path``; any other path is refused."""
+    if "/retailforge-stages/" not in path:
+        raise ValueError(f"not a stage folder: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*frames) -> None:
+    """Delete the folders of frames returned by ``stage`` that no returned frame reads any more."""
+    for df in frames:
+        discard(df.sparkSession, df._stage_path)
