@@ -198,6 +198,79 @@ def op5_lm_scoring(spark, sf_dir):
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _code_sql(parts: int = 4, length: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out: c0, c1, ... are the codebooks, a0, a1, ... the assignments."""
+    x, c = f"range(1, {length + 1})", "CAST(floor(sum(x[i]) / count(*)) AS BIGINT)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, m, any_value(x) AS x, min(d * 256 + k) AS dk
+ FROM (SELECT vec_id, p.m, x, k, CAST(list_sum(list_transform({x}, lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d
+       FROM p JOIN c{r} USING (m)) GROUP BY vec_id, m)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.m, o.k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN
+ (SELECT m, k, list(s ORDER BY i) AS c FROM (SELECT m, dk % 256 AS k, i, {c} AS s FROM a{r}, {x} t(i) GROUP BY ALL) GROUP BY m, k) n
+ ON o.m = n.m AND o.k = n.k)""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS MATERIALIZED (SELECT vec_id, m, list_slice(e, m * {length} + 1, m * {length} + {length}) AS x FROM v, range({parts}) t(m)),
+c0 AS MATERIALIZED (SELECT m, k, x AS c FROM (SELECT m, x, row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1 AS k FROM p) WHERE k < {entries}),
+{", ".join(steps)},
+done AS (SELECT vec_id, string_agg(printf('%02x', dk % 256), '' ORDER BY m) AS code, CAST(sum(dk // 256) AS BIGINT) AS error
+         FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY m, k)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM done JOIN v USING (vec_id), book"""
+
+
+@query("op11_vector_codes", _code_sql())
+def op11_vector_codes(spark, sf_dir):
+    """Product codes of all embeddings and the errors summed per label."""
+    from retailforge.llm import vectorcode as C
+    from retailforge.session import stage
+    out, books = C.compress(common.table(spark, sf_dir, "embeddings"))
+    out = stage(out.select(F.col("row.vec_id").alias("vec_id"), F.col("row.label").alias("label"), "codes", "error"), "vector-codes")
+    total = out.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    total = F.broadcast(total) if common.small_enough(total, 1_000_000) else total
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
+    return (out.join(total, F.col("label").eqNullSafe(F.col("of")))
+            .select("vec_id", code, "error", "label_error", F.lit(C.codebooks_sha256(books)).alias("codebooks_sha256")))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd rounds written out: c0, c1, ... are the centroids, a0, a1, ... the assignments."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(d * 64 + k) AS dk
+ FROM (SELECT vec_id, x, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM v, c{r})
+ GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN
+ (SELECT k, list(s ORDER BY i) AS c FROM (SELECT dk % 64 AS k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS s FROM a{r}, range(1, 65) t(i)
+  GROUP BY ALL) GROUP BY k) n ON o.k = n.k)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x AS c FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v) ORDER BY h LIMIT {k}),
+{", ".join(steps)},
+f AS (SELECT vec_id, CAST(dk % 64 AS INTEGER) AS cluster, dk // 64 AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} ON cluster = k"""
+
+
+@query("op13_centroid_clustering", _cluster_sql())
+def op13_centroid_clustering(spark, sf_dir):
+    """All embeddings in 40 clusters."""
+    from retailforge.llm import clustering as C
+    out, centroids = C.cluster_vectors(common.table(spark, sf_dir, "embeddings"), 40)
+    sums = {r.cluster: r.s for r in out.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # a row per cluster
+    per = F.array(*[F.lit(sums.get(c, 0)).cast("long") for c in range(len(centroids))]) if len(centroids) else F.array(F.lit(0).cast("long"))
+    sha = F.array(*[F.lit(h) for h in C.centroid_sha256(centroids)]) if len(centroids) else F.array(F.lit(""))
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", per[F.col("cluster")].alias("cluster_inertia"),
+                      F.lit(sum(sums.values())).cast("long").alias("inertia"), sha[F.col("cluster")].alias("centroid_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over documents."""
