@@ -237,6 +237,26 @@ def op11_vector_codes(spark, sf_dir):
             .select("vec_id", code, "error", "label_error", F.lit(C.codebooks_sha256(books)).alias("codebooks_sha256")))
 
 
+@query("op12_embedding_near_dedup", r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+u AS MATERIALIZED (SELECT vec_id, v, len(v) AS d, sqrt(list_dot_product(v, v)) AS n FROM v WHERE list_dot_product(v, v) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.d = b.d
+                   WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9::DOUBLE),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(c.y, e.vec_id), e.vec_id) AS component_id,
+       coalesce(least(c.y, e.vec_id), e.vec_id) = e.vec_id AS kept, 1.0::DOUBLE AS audit_recall
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id""")
+def op12_embedding_near_dedup(spark, sf_dir):
+    """Links and components of all embeddings at cosine 0.9."""
+    from retailforge.llm.neargraph import near_duplicates
+    out = near_duplicates(common.table(spark, sf_dir, "embeddings"))
+    out = out.select("row.vec_id", "n_links", "component_id", "audit_recall")
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
     """Lloyd rounds written out: c0, c1, ... are the centroids, a0, a1, ... the assignments."""
     steps = []
