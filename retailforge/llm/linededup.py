@@ -8,12 +8,13 @@ half of the leaf's lines are variable as well; a line that agrees with the
 leaf's constant tokens in at least ``SIMILARITY`` of its positions takes the
 leaf's template, any other line is a template of its own.
 
-A template recurs when it stands in documents that otherwise differ: the
-context of a line is the smallest and largest leading part of the other
-lines of its document, and a template needs enough different contexts, also
-in proportion to its documents.  Copies of a document share their contexts
-and are left to the document-level operators.  Lines of recurring templates
-are dropped.
+A template recurs when it stands in enough documents that differ from each
+other.  Copies count once: documents with the same set of lines are one
+representative from the start, lines vote once per representative, and
+representatives with the same set of templates count as one.  Lines of
+recurring templates are dropped from every document - but a document that
+consists of recurring templates alone is a copy as a whole: it is left as it
+is to the document-level operators.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from retailforge.session import stage
 
 DEPTH = 3
 SIMILARITY = 0.7
-#: contexts that a template needs, for lines of up to SHORT tokens and for longer ones
+#: representatives that a template needs, for lines of up to SHORT tokens and for longer ones
 SHORT, MIN_SHORT, MIN_LONG = 3, 10, 3
-#: a tenth of a template's documents at least must differ in context
-CONTEXT_SHARE = 10
 SPACE = r"[ \t\x0b\f\r]+"
 VARIABLE = r"[^ ]*[0-9][^ ]*"
-#: leaves or templates up to this number are broadcast to the lines; more are joined by shuffle
+#: leaves or templates up to this number are broadcast to the lines (rows of a few longs); more are joined by shuffle
 BROADCAST_ROWS = 1_000_000
+#: parts that the lines of one leaf are spread over
+SALTS = 16
 
 
 def _spaced(line: Column) -> Column:
@@ -88,79 +89,74 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
-def _key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """Identifier and text hash: repeated identifiers with different texts stay apart."""
-    return [F.col(f"`{id_col}`").alias("k_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("k_text")]
+def _lines(text_col: str) -> Column:
+    return F.split(F.col(f"`{text_col}`"), "\n", -1)
 
 
-def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document and different line: key, tree path and context."""
-    paths = (docs.where(F.col(f"`{text_col}`").isNotNull())
-             .select(*_key(docs, id_col, text_col),
-                     F.filter(_forms(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1))), lambda x: x["t"] != "").alias("forms"))
-             .select("k_id", "k_text", F.array_distinct(F.transform("forms", _path)).alias("paths")))
-    leads = F.array_sort(F.array_distinct(F.transform("paths", lambda p: p["lead"])))
-    rows = paths.withColumn("leads", leads).select(
-        "k_id", "k_text", F.explode("paths").alias("p"),
-        F.struct(F.try_element_at("leads", F.lit(1)).alias("a1"), F.try_element_at("leads", F.lit(2)).alias("a2"),
-                 F.try_element_at("leads", F.lit(-1)).alias("z1"), F.try_element_at("leads", F.lit(-2)).alias("z2")).alias("e"))
-    low = F.when(F.col("e.a1") == F.col("p.lead"), F.col("e.a2")).otherwise(F.col("e.a1"))
-    high = F.when(F.col("e.z1") == F.col("p.lead"), F.col("e.z2")).otherwise(F.col("e.z1"))
-    return rows.select("k_id", "k_text", F.col("p.n").alias("n"), F.col("p.leaf").alias("leaf"),
-                       F.col("p.line").alias("line"), F.xxhash64(low, F.lit("|"), high).alias("context"))
+def _paths(text_col: str) -> Column:
+    """Different lines of a text by their tree paths; lines of white space alone left out."""
+    forms = F.filter(_forms(F.array_distinct(_lines(text_col))), lambda x: x["t"] != "")
+    return F.array_sort(F.array_distinct(F.transform(forms, lambda f: _path(f))))
 
 
-def generalised_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def representatives(docs: DataFrame, text_col: str) -> DataFrame:
+    """``rep, n, leaf, line``: the different lines of every different set of lines."""
+    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(_paths(text_col).alias("paths"))
+    rows = rows.select(F.xxhash64(F.transform("paths", lambda p: p["line"])).alias("rep"), F.explode("paths").alias("p"))
+    return rows.groupBy("rep", F.col("p.leaf").alias("leaf"), F.col("p.line").alias("line")).agg(F.first("p.n").alias("n"))
+
+
+def generalised_lines(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
     """``(leaf, line)`` of the lines that take their leaf's template."""
-    leaves = (lines.where(F.col("n") > DEPTH).groupBy("leaf", "line").agg(F.count("*").alias("m"))
-              .groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("m").alias("total"))
-              .where((F.col("variants") > 1) & (F.col("total") >= MIN_LONG)).select("leaf", "total"))
-    leaves = stage(leaves, "leaves")
+    counts = lines.where(F.col("n") > DEPTH).groupBy("leaf", "line").agg(F.count("*").alias("m"))
+    leaves = counts.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("m").alias("total"))
+    leaves = stage(leaves.where((F.col("variants") > 1) & (F.col("total") >= MIN_LONG)).select("leaf", "total"), "leaves")
     texts = (docs.where(F.col(f"`{text_col}`").isNotNull())
-             .select(F.explode(_forms(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n", -1)))).alias("x"))
+             .select(F.explode(_forms(F.array_distinct(_lines(text_col)))).alias("x"))
              .where((F.col("x.t") != "") & ~_literal(F.col("x.m"))).select(F.col("x.m").alias("t"))
              .select("t", _leaf(F.col("t")).alias("leaf")))
-    variants = (texts.join(_checked(leaves), "leaf")
-                .select("leaf", "total", "t", F.xxhash64("t").alias("line"))
-                .groupBy("leaf", "line").agg(F.first("t").alias("t"), F.first("total").alias("total"), F.count("*").alias("m"))
-                .withColumn("t", F.split("t", " ", -1)))
-    variants = stage(variants, "leaf-variants")
+    known = _checked(leaves)
+    texts = texts.join(known, "leaf").groupBy("leaf", "total", F.xxhash64("t").alias("line")).agg(F.first("t").alias("t"))
+    variants = stage(texts.join(counts, ["leaf", "line"]).withColumn("t", F.split("t", " ", -1)), "leaf-variants")
     votes = (variants.select("leaf", "total", "m", F.posexplode("t").alias("p", "token")).where(F.col("p") >= DEPTH)
              .groupBy("leaf", "total", "p", "token").agg(F.sum("m").alias("m")).where(F.col("m") * 2 > F.col("total")))
     constant = votes.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constant"))
+    # the variants of one leaf may be many: its constant tokens go to SALTS parts of them
+    constant = constant.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     agree = F.size(F.filter(F.sequence(F.lit(DEPTH), F.size("t") - 1),
                             lambda i: F.col("constant")[i] == F.element_at(F.col("t"), i + 1)))
-    return (variants.join(constant, "leaf").where(agree + DEPTH >= F.size("t") * SIMILARITY).select("leaf", "line"))
+    return (variants.withColumn("salt", F.pmod("line", F.lit(SALTS))).join(constant, ["leaf", "salt"])
+            .where(agree + DEPTH >= F.size("t") * SIMILARITY).select("leaf", "line"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``k_id, k_text, dropped``: per document the hashes of its lines whose template recurs."""
-    lines = stage(parsed_lines(docs, id_col, text_col), "template-lines")
-    general = stage(generalised_lines(docs, lines, id_col, text_col).withColumn("general", F.lit(True)), "generalised")
-    named = lines.join(_checked(general), ["leaf", "line"], "left").withColumn(
-        "template", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line")))
-    counts = (named.groupBy("leaf", "n", "template", "context").agg(F.count("*").alias("docs"))
-              .groupBy("leaf", "n", "template").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts")))
-    need = F.when(F.col("n") <= SHORT, MIN_SHORT).otherwise(MIN_LONG)
-    recurring = counts.where((F.col("contexts") >= need) & (F.col("contexts") * CONTEXT_SHARE >= F.col("docs")))
-    recurring = stage(recurring.select("leaf", "template"), "recurring-templates")
-    hit = named.join(_checked(recurring), ["leaf", "template"], "left_semi")
-    return hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("dropped"))
+def recurring_lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """``rep, dropped``: per representative the hashes of its lines whose template recurs."""
+    lines = stage(representatives(docs, text_col), "template-lines")
+    general = stage(generalised_lines(docs, lines, text_col).withColumn("general", F.lit(True)), "generalised")
+    named = lines.join(_checked(general), ["leaf", "line"], "left").withColumn("template", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line")))
+    sets = named.groupBy("rep").agg(F.collect_set(F.struct("leaf", "n", "template")).alias("templates"))
+    counts = (sets.select(F.xxhash64(F.array_sort("templates")).alias("same"), F.explode("templates").alias("t"))
+              .groupBy("t", "same").agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("documents")))
+    need = F.when(F.col("t.n") <= SHORT, MIN_SHORT).otherwise(MIN_LONG)
+    recurring = stage(counts.where(F.col("documents") >= need).select("t.leaf", "t.template", F.lit(True).alias("recurs")), "recurring-templates")
+    hit = named.join(_checked(recurring), ["leaf", "template"], "left").groupBy("rep").agg(
+        F.collect_set(F.when(F.col("recurs"), F.col("line"))).alias("dropped"), F.count("*").alias("lines"), F.count("recurs").alias("hits"))
+    return hit.where((F.col("hits") > 0) & (F.col("hits") < F.col("lines"))).select("rep", "dropped")
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, n_lines, n_dropped, kept_text``: every row with its lines of recurring templates left out.
 
     ``row`` holds all columns unchanged.  Lines end at ``\\n``; empty lines
-    are kept, and so is the text of a row without a recurring line, byte for
-    byte.  NULL text stays NULL with 0 lines.  Repeated rows are separate
-    documents with one context.  An empty table gives no rows.
+    are kept, and so is the text of a row without a recurring line, or with
+    recurring lines only, byte for byte.  NULL text stays NULL with 0 lines.
+    Repeated rows, and documents with the same lines in any order, count
+    once towards what recurs.  An empty table gives no rows.
     """
-    found = recurring_lines(docs, id_col, text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs, id_col, text_col),
-                       F.col(f"`{text_col}`").alias("text"))
-    on = rows["k_id"].eqNullSafe(found["k_id"]) & (rows["k_text"] == found["k_text"])
-    out = rows.join(found, on, "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
+    found = recurring_lines(docs, text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"),
+                       F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(F.transform(_paths(text_col), lambda p: p["line"]))).alias("k_rep"))
+    out = rows.join(found, rows["k_rep"] == found["rep"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
     keep = F.transform(F.filter(_forms(F.col("lines")), lambda x: ~F.array_contains(F.col("dropped"), _hash(x))), lambda x: x["l"])
     out = out.withColumn("kept", F.when(F.col("dropped").isNotNull(), keep))
     return out.select("row", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),

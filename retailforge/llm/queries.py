@@ -64,25 +64,29 @@ def op2_decontamination(spark, sf_dir):
 
 
 @query("op7_line_dedup", r"""
-WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
              FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT doc_id, i, l, string_split(regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM raw WHERE trim(l, ' ') <> ''),
-path AS (SELECT doc_id, i, l, t, len(t) AS n, array_to_string(t[1:3], ' ') AS ld, array_to_string(t, ' ') AS line FROM tok),
-lns AS (SELECT DISTINCT doc_id, n, ld, line, t FROM path),
-ctx AS (SELECT a.doc_id, a.n, a.ld, a.line, a.t, (SELECT coalesce(min(b.ld), '') || '|' || coalesce(max(b.ld), '') FROM lns b
-                                            WHERE b.doc_id = a.doc_id AND b.ld <> a.ld) AS context FROM lns a),
-leaves AS (SELECT n, ld, count(*) AS total FROM ctx WHERE n > 3 GROUP BY n, ld HAVING count(DISTINCT line) > 1 AND count(*) >= 3),
-dl AS (SELECT DISTINCT doc_id, l, t, n, ld, line FROM path),
-variants AS (SELECT n, ld, line, any_value(t) AS t, any_value(total) AS total, count(*) AS m FROM dl JOIN leaves USING (n, ld) GROUP BY n, ld, line),
+spaced AS (SELECT doc_id, i, l, trim(regexp_replace(l, '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS s FROM raw),
+tok AS (SELECT *, string_split(m, ' ') AS t, replace(replace(m, '<*>', ''), ' ', '') = '' AS literal
+        FROM (SELECT *, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM spaced WHERE s <> '')),
+path AS (SELECT doc_id, i, l, t, len(t) AS n, CASE WHEN literal THEN s ELSE array_to_string(t[1:3], ' ') END AS ld,
+                CASE WHEN literal THEN s ELSE m END AS line FROM tok),
+rep AS (SELECT doc_id, string_agg(DISTINCT line, chr(10) ORDER BY line) AS rep FROM path GROUP BY doc_id),
+lns AS (SELECT DISTINCT rep, n, ld, line FROM path JOIN rep USING (doc_id)),
+leaves AS (SELECT n, ld, count(*) AS total FROM lns WHERE n > 3 GROUP BY n, ld HAVING count(DISTINCT line) > 1 AND count(*) >= 3),
+variants AS (SELECT n, ld, line, string_split(line, ' ') AS t, any_value(total) AS total, count(*) AS m FROM lns JOIN leaves USING (n, ld) GROUP BY n, ld, line),
 votes AS (SELECT n, ld, p, token FROM (SELECT n, ld, total, m, unnest(t) AS token, unnest(range(1, n + 1)) AS p FROM variants)
           WHERE p > 3 GROUP BY n, ld, total, p, token HAVING sum(m) * 2 > total),
 agreed AS (SELECT v.n, v.ld, v.line FROM (SELECT n, ld, line, unnest(t) AS token, unnest(range(1, n + 1)) AS p FROM variants) v
            JOIN votes USING (n, ld, p, token) GROUP BY v.n, v.ld, v.line HAVING count(*) + 3 >= v.n * 0.7::DOUBLE),
 named AS (SELECT c.*, CASE WHEN a.line IS NOT NULL THEN '' ELSE c.line END AS template
-          FROM ctx c LEFT JOIN agreed a ON c.n = a.n AND c.ld = a.ld AND c.line = a.line),
-recurring AS (SELECT n, ld, template FROM named GROUP BY n, ld, template
-              HAVING count(DISTINCT context) >= CASE WHEN n <= 3 THEN 10 ELSE 3 END AND count(DISTINCT context) * 10 >= count(*)),
-gone AS (SELECT DISTINCT doc_id, line FROM named JOIN recurring USING (n, ld, template)),
+          FROM lns c LEFT JOIN agreed a ON c.n = a.n AND c.ld = a.ld AND c.line = a.line),
+same AS (SELECT rep, string_agg(DISTINCT n || '|' || ld || '|' || template, chr(10) ORDER BY n || '|' || ld || '|' || template) AS same FROM named GROUP BY rep),
+recurring AS (SELECT n, ld, template FROM named JOIN same USING (rep) GROUP BY n, ld, template
+              HAVING count(DISTINCT same) >= CASE WHEN n <= 3 THEN 10 ELSE 3 END),
+hits AS (SELECT rep, named.line, recurring.n IS NOT NULL AS hit FROM named LEFT JOIN recurring USING (n, ld, template)),
+partly AS (SELECT rep FROM hits GROUP BY rep HAVING NOT bool_and(hit)),
+gone AS (SELECT DISTINCT doc_id, line FROM hits JOIN partly USING (rep) JOIN rep USING (rep) WHERE hit),
 kept AS (SELECT r.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped,
                 coalesce(string_agg(r.l, chr(10) ORDER BY r.i) FILTER (g.line IS NULL), '') AS kept
          FROM raw r LEFT JOIN path p ON r.doc_id = p.doc_id AND r.i = p.i LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line = g.line
