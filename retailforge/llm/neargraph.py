@@ -56,33 +56,31 @@ def _checked(df: DataFrame) -> DataFrame:
 
 # -- classes ------------------------------------------------------------------
 
-def _direction(v: Column) -> Column:
-    """Components of the unit vector in steps of 1e-12, so that multiples of a vector are equal."""
-    top = F.array_max(F.transform(v, F.abs))
-    even = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(even, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(even, lambda x: F.rint(x / norm * F.lit(1e12)) + F.lit(0.0))
+def _unit_rows(batches):
+    """``row, v`` -> ``row, u, key``: the unit vector, and its components in steps of 1e-12, so that multiples are equal."""
+    for b in batches:
+        units, keys = [], []
+        for v in b.column(1).to_pylist():
+            if v is None:
+                units.append(None)
+                keys.append(None)
+                continue
+            x = np.array(v)
+            x /= np.abs(x).max()
+            x /= np.sqrt(x @ x)
+            units.append(x.tobytes())
+            keys.append(np.rint(x * 1e12).astype(np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.binary()), pa.array(keys, pa.binary())], names=["row", "u", "key"])
 
 
 def _keyed(df: DataFrame, vector_col: str) -> DataFrame:
-    """``row, v, key, h``: key is NULL for vectors that link with nothing."""
+    """``row, u, key, h``: key is NULL for vectors that link with nothing."""
     col = F.col(f"`{vector_col}`")
-    usable = F.when(V.finite(col), F.transform(col, lambda x: x.cast("double")))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != vector_col]).alias("row"), usable.alias("v"))
-    rows = rows.withColumn("v", F.when(F.exists("v", lambda x: x != 0), F.col("v")))
-    return rows.withColumn("key", F.when(F.col("v").isNotNull(), _direction(F.col("v")))).withColumn("h", F.xxhash64("key"))
-
-
-def _units(batches):
-    """``node, copies, v`` -> ``shard, node, w, u``: unit vectors as bytes; vectors of one length start as one shard."""
-    for b in batches:
-        out = []
-        for v in b.column(2).to_pylist():
-            x = np.array(v)
-            x /= np.abs(x).max()
-            out.append((x / np.sqrt(x @ x)).tobytes())
-        shard = pa.array([len(u) // 8 for u in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([shard, b.column(0), b.column(1), pa.array(out, pa.binary())], names=["shard", "node", "w", "u"])
+    usable = V.finite(col) & F.exists(col, lambda x: x != 0)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != vector_col]).alias("row"),
+                     F.when(usable, F.transform(col, lambda x: x.cast("double"))).alias("v"))
+    shape = T.StructType([rows.schema["row"], T.StructField("u", T.BinaryType()), T.StructField("key", T.BinaryType())])
+    return rows.mapInArrow(_unit_rows, shape).withColumn("h", F.xxhash64("key"))
 
 
 def _stack(col: pa.Array) -> np.ndarray:
@@ -526,9 +524,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """
     id_name = f"row.`{id_col}`"
     rows = _keyed(df, vector_col)
-    classes = stage(rows.where("key IS NOT NULL").groupBy("h", "key").agg(F.min(F.col(id_name)).alias("low"), F.count("*").alias("copies"),
-                                                                         F.min("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    units = stage(classes.select("node", "copies", "v").mapInArrow(_units, "shard long, node long, w long, u binary"), "units")
+    classes = rows.where("key IS NOT NULL").groupBy("h", "key").agg(F.min(F.col(id_name)).alias("low"), F.count("*").alias("copies"), F.min("u").alias("u"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # vectors of one length start as one shard
+    units = stage(classes.select((F.octet_length("u") / 8).cast("long").alias("shard"), "node", F.col("copies").alias("w"), "u"), "units")
     overlap = 2
     while True:
         members = deal_out(stage(units, "members"), overlap, target, limit)
