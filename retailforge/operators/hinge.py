@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailforge.functions.calendar import argmax_label
+from retailforge.operators.design import with_levels
+from retailforge.session import stage
 
 Term = tuple  # tuple of (var, knot, sign) factors; () is the intercept
 
@@ -38,7 +40,7 @@ def _eval_terms(pdf: pd.DataFrame, terms: list[Term]) -> np.ndarray:
 def term_column(term: Term) -> Column:
     e = F.lit(1.0)
     for var, knot, sign in term:
-        e = e * F.greatest(F.lit(float(sign)) * (F.col(var) - F.lit(float(knot))), F.lit(0.0))
+        e = e * F.greatest(F.lit(float(sign)) * (F.col(f"`{var}`") - F.lit(float(knot))), F.lit(0.0))
     return e
 
 
@@ -72,8 +74,11 @@ def _gram(df: DataFrame, terms: list[Term], ys: list[str]) -> np.ndarray:
 
 def knots_for(df: DataFrame, xs: list[str], n_knots: int = 10) -> dict[str, list[float]]:
     probs = [i / (n_knots + 1) for i in range(1, n_knots + 1)]
-    row = df.select(*[F.percentile_approx(x, probs, 10000).alias(x) for x in xs]).first()
-    return {x: sorted(set(float(v) for v in row[x])) for x in xs}
+    row = df.select(*[F.percentile_approx(F.col(f"`{x}`"), probs, 10000).alias(x) for x in xs]).first()
+    if not row[xs[0]]:
+        return {x: [] for x in xs}
+    # 0/1 columns have one hinge, at 0; the values below the largest are the only knots that both sides of can differ
+    return {x: sorted({float(v) for v in row[x]} if len(set(row[x])) > 2 or set(row[x]) - {0, 1} else {0.0}) for x in xs}
 
 
 def forward_pass(df: DataFrame, ys: list[str], xs: list[str], degree: int = 2, max_terms: int = 21,
@@ -215,16 +220,35 @@ def evimp(terms: list[Term], path, kept_size: int, xs: list[str]) -> list[tuple]
              float(100 * max(dr[x], 0) / mr)) for x in xs]
 
 
+def _factors(df: DataFrame, xs: list[str]) -> list[str]:
+    types = dict(df.dtypes)
+    return [x for x in xs if types[x] in ("string", "boolean")]
+
+
+def _level_columns(df: DataFrame, terms: list[Term]) -> DataFrame:
+    """The 0/1 columns that the terms use and ``df`` lacks; ``<column><level>`` names a text or boolean column."""
+    texts = _factors(df, df.columns)
+    for v in sorted({v for t in terms for v, _, _ in t if v not in df.columns}):
+        f = next(c for c in sorted(texts, key=len, reverse=True) if v.startswith(c))
+        df = df.withColumn(v, (F.col(f"`{f}`").cast("string") == F.lit(v[len(f):])).cast("double"))
+    return df
+
+
 def mars(df: DataFrame, y: str | list[str], xs: list[str], degree: int = 2, max_terms: int = 21,
          n_knots: int = 10):
-    """Fit a hinge-basis model; returns (terms, coefficients, importance rows, n)."""
+    """Fit a hinge-basis model; returns (terms, coefficients, importance rows, n).
+
+    Text and boolean predictors enter as 0/1 columns ``<column><level>``.
+    """
     ys = [y] if isinstance(y, str) else list(y)
-    d = df.select(*ys, *xs).dropna().cache()
+    d = stage(df.select(*ys, *xs).dropna(), "hinge-frame")
+    factors = _factors(d, xs)
+    d, names = with_levels(d, factors)
+    xs = [x for x in xs if x not in factors] + names
     terms = forward_pass(d, ys, xs, degree, max_terms, n_knots)
     all_terms = list(terms)
     kept, coef, path, n = backward_pass(d, all_terms, ys, degree)
     imp = evimp(all_terms, path, len(kept), xs)
-    d.unpersist()
     return kept, coef, imp, n
 
 
@@ -232,7 +256,7 @@ def mars_predict(df: DataFrame, terms: list[Term], coef: np.ndarray, name: str =
     e = F.lit(0.0)
     for t, c in zip(terms, coef[:, 0]):
         e = e + term_column(t) * F.lit(float(c))
-    return df.withColumn(name, e)
+    return _level_columns(df, terms).select(*[F.col(f"`{c}`") for c in df.columns], e.alias(name))
 
 
 def mars_classifier(train: DataFrame, label: str, xs: list[str], degree: int = 2, max_terms: int = 21,
@@ -259,8 +283,9 @@ def mars_classifier(train: DataFrame, label: str, xs: list[str], degree: int = 2
         return score0, kept, imp
 
     def basis(df):
-        return VectorAssembler(inputCols=names, outputCol="__bx").transform(df.select("*", *basis_cols))
-    btrain = basis(ind).cache()
+        wide = _level_columns(df, kept)
+        return VectorAssembler(inputCols=names, outputCol="__bx").transform(wide.select(*[F.col(f"`{c}`") for c in df.columns], *basis_cols))
+    btrain = stage(basis(ind).select("__bx", *[f"__cls{i}" for i in range(len(classes))]), "hinge-basis")
     models = [LogisticRegression(labelCol=f"__cls{i}", featuresCol="__bx", family="binomial", regParam=0.0,
                                  maxIter=max_iter, probabilityCol=f"__p{i}", rawPredictionCol=f"__r{i}",
                                  predictionCol=f"__y{i}").fit(btrain) for i in range(len(classes))]

@@ -36,10 +36,61 @@ def test_ols_and_aliasing(planted):
 
 def test_quantile_share_below_matches_tau(planted):
     fits = RG.quantile_regressions(planted, "y", ["x1", "x2"], [0.25, 0.75])
-    for tau, (_, _, below) in fits.items():
-        assert below == pytest.approx(tau, abs=0.02)
+    for tau, f in fits.items():
+        assert f["below"] == pytest.approx(tau, abs=0.02)
+        assert f["status"] == "optimal" and f["gap"] <= 1.01e-4 * f["loss"]
 
 
 def test_intercept_quantile_is_order_statistic(planted):
     ys = np.sort(np.array([r[0] for r in planted.select("y").collect()]))
     assert RG.intercept_quantile(planted, "y", 0.3) == ys[int(np.ceil(len(ys) * 0.3)) - 1]
+
+
+def test_factor_effects_match_a_dense_fit(spark):
+    """Two factors and two numeric columns: grouped sums against numpy on dense rows."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    a, b = rng.choice(["x", "y", "z"], n), rng.choice(["k", "l", "m", "n"], n)
+    u, v = rng.normal(50, 3, n), rng.uniform(0, 1, n)
+    y = 2 + 0.5 * u - v + (a == "y") * 1.5 - (a == "z") * 2 + (b == "m") * 0.7 + rng.normal(0, 0.3, n)
+    df = spark.createDataFrame(list(zip(y.tolist(), u.tolist(), a.tolist(), v.tolist(), b.tolist())), "y double, u double, a string, v double, b string")
+    got = RG.ols(df, "y", ["u", "a", "v", "b"]).collect()
+    assert [r.term for r in got] == ["(Intercept)", "u", "ay", "az", "v", "bl", "bm", "bn"]
+    X = np.column_stack([np.ones(n), u, a == "y", a == "z", v, b == "l", b == "m", b == "n"]).astype(float)
+    beta, rss = np.linalg.lstsq(X, y, rcond=None)[:2]
+    se = np.sqrt(np.diag(np.linalg.inv(X.T @ X)) * rss[0] / (n - 8))
+    np.testing.assert_allclose([r.estimate for r in got], beta, rtol=1e-9)
+    np.testing.assert_allclose([r.std_error for r in got], se, rtol=1e-8)
+    h = RG.ols_diagnostics(df, "y", ["u", "a", "v", "b"]).toPandas()
+    assert h["leverage"].sum() == pytest.approx(8) and h["std_residual"].std() == pytest.approx(1, abs=0.02)
+    f = RG.quantile_regression(df, "y", ["u", "a", "v", "b"], 0.5)
+    assert f["status"] == "optimal" and f["coef"]["az"] == pytest.approx(-2, abs=0.1)
+    seen = RG.quantile_predict(f, ["u", "a", "v", "b"], df).where("y < fitted").count()
+    assert seen == pytest.approx(n / 2, abs=20)
+
+
+def test_off_centre_and_degenerate_fits(spark):
+    rows = [(float(3 * i + (i % 2)), 1e8 + i, float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "y double, x double, i double")
+    t = {r.term: r for r in RG.ols(df, "y", ["x"]).collect()}
+    assert not t["x"].aliased and t["x"].estimate == pytest.approx(np.polyfit([r[2] for r in rows], [r[0] for r in rows], 1)[0], rel=1e-9)
+    assert RG.aliased_columns(df, ["x", "i"], "y") == ["i"]
+    two = RG.ols(df.limit(2), "y", ["x"]).collect()  # no residual degrees of freedom
+    assert all(r.estimate is not None and r.std_error is None and r.p_value is None and r.r2_adj is None for r in two)
+    flat = RG.ols(df.withColumn("y", F.lit(4.0)), "y", ["x"]).collect()
+    assert all(r.r2 is None for r in flat) and flat[1].estimate == 0
+    none = RG.ols(df.limit(0), "y", ["x"]).collect()
+    assert all(r.estimate is None for r in none)
+    assert RG.quantile_regression(df.limit(0), "y", ["x"], 0.5)["status"] == "no complete rows"
+
+
+def test_hinge_models_take_factors(spark):
+    rng = np.random.default_rng(8)
+    c, x = rng.choice(["p", "q", "r"], 2000), rng.uniform(0, 1, 2000)
+    y = 1 + 2.0 * (c == "q") + 3 * np.maximum(x - 0.5, 0) + rng.normal(0, 0.05, 2000)
+    df = spark.createDataFrame(list(zip(y.tolist(), c.tolist(), x.tolist())), "y double, c string, x double")
+    kept, coef, imp, _ = HG.mars(df, "y", ["c", "x"], degree=1, n_knots=9)
+    effects = {HG.term_label(t): float(b) for t, b in zip(kept, coef[:, 0])}
+    assert effects["h(cq-0)"] == pytest.approx(2, abs=0.05)
+    assert {r[0] for r in imp if r[1]} == {"cq", "x"}
+    assert HG.mars_predict(df, kept, coef).where("abs(y - fitted) > 0.5").count() < 20
