@@ -93,17 +93,21 @@ def _lines(text_col: str) -> Column:
     return F.split(F.col(f"`{text_col}`"), "\n", -1)
 
 
-def _paths(text_col: str) -> Column:
-    """Different lines of a text by their tree paths; lines of white space alone left out."""
+def parsed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``text, rep, paths, size`` per document: hash of the text and of its set of lines, tree paths, number of different lines.
+
+    Lines of white space alone are left out; paths may repeat.
+    """
     forms = F.filter(_forms(F.array_distinct(_lines(text_col))), lambda x: x["t"] != "")
-    return F.array_sort(F.array_distinct(F.transform(forms, lambda f: _path(f))))
+    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.transform(forms, _path).alias("paths"))
+    rows = rows.withColumn("set", F.array_distinct(F.transform("paths", lambda p: p["line"])))
+    return rows.select("text", F.xxhash64(F.sort_array("set")).alias("rep"), "paths", F.size("set").alias("size"))
 
 
-def representatives(docs: DataFrame, text_col: str) -> DataFrame:
-    """``rep, n, leaf, line``: the different lines of every different set of lines."""
-    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(_paths(text_col).alias("paths"))
-    rows = rows.select(F.xxhash64(F.transform("paths", lambda p: p["line"])).alias("rep"), F.explode("paths").alias("p"))
-    return rows.groupBy("rep", F.col("p.leaf").alias("leaf"), F.col("p.line").alias("line")).agg(F.first("p.n").alias("n"))
+def representatives(rows: DataFrame) -> DataFrame:
+    """``rep, n, leaf, line, size``: the different lines of every different set of lines."""
+    lines = rows.select("rep", "size", F.explode("paths").alias("p"))
+    return lines.groupBy("rep", F.col("p.leaf").alias("leaf"), F.col("p.line").alias("line")).agg(F.first("p.n").alias("n"), F.first("size").alias("size"))
 
 
 def generalised_lines(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
@@ -130,18 +134,22 @@ def generalised_lines(docs: DataFrame, lines: DataFrame, text_col: str) -> DataF
 
 
 def recurring_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """``rep, dropped``: per representative the hashes of its lines whose template recurs."""
-    lines = stage(representatives(docs, text_col), "template-lines")
+    """``k_text, dropped``: per different text the hashes of its lines whose template recurs."""
+    rows = stage(parsed(docs, text_col), "parsed-lines")
+    lines = stage(representatives(rows), "template-lines")
     general = stage(generalised_lines(docs, lines, text_col).withColumn("general", F.lit(True)), "generalised")
     named = lines.join(_checked(general), ["leaf", "line"], "left").withColumn("template", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line")))
-    sets = named.groupBy("rep").agg(F.collect_set(F.struct("leaf", "n", "template")).alias("templates"))
-    counts = (sets.select(F.xxhash64(F.array_sort("templates")).alias("same"), F.explode("templates").alias("t"))
-              .groupBy("t", "same").agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("documents")))
-    need = F.when(F.col("t.n") <= SHORT, MIN_SHORT).otherwise(MIN_LONG)
-    recurring = stage(counts.where(F.col("documents") >= need).select("t.leaf", "t.template", F.lit(True).alias("recurs")), "recurring-templates")
-    hit = named.join(_checked(recurring), ["leaf", "template"], "left").groupBy("rep").agg(
-        F.collect_set(F.when(F.col("recurs"), F.col("line"))).alias("dropped"), F.count("*").alias("lines"), F.count("recurs").alias("hits"))
-    return hit.where((F.col("hits") > 0) & (F.col("hits") < F.col("lines"))).select("rep", "dropped")
+    # only representatives with a generalised line can have the templates of another one
+    touched = named.where("general").select("rep").distinct()
+    sets = named.join(_checked(touched), "rep", "left_semi").groupBy("rep").agg(F.collect_set(F.xxhash64("leaf", "template")).alias("templates"))
+    sets = stage(sets.select("rep", F.xxhash64(F.sort_array("templates")).alias("same")), "template-sets")
+    counts = (named.join(_checked(sets), "rep", "left").groupBy("leaf", "n", "template", F.coalesce("same", "rep").alias("same")).agg(F.lit(1).alias("one"))
+              .groupBy("leaf", "n", "template").agg(F.count("*").alias("documents")))
+    need = F.when(F.col("n") <= SHORT, MIN_SHORT).otherwise(MIN_LONG)
+    recurring = stage(counts.where(F.col("documents") >= need).select("leaf", "template"), "recurring-templates")
+    hit = named.join(_checked(recurring), ["leaf", "template"]).groupBy("rep", "size").agg(F.collect_set("line").alias("dropped"))
+    hit = hit.where(F.size("dropped") < F.col("size")).select("rep", "dropped")
+    return rows.select(F.col("text").alias("k_text"), "rep").distinct().join(hit, "rep").select("k_text", "dropped")
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,9 +162,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     once towards what recurs.  An empty table gives no rows.
     """
     found = recurring_lines(docs, text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"),
-                       F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(F.transform(_paths(text_col), lambda p: p["line"]))).alias("k_rep"))
-    out = rows.join(found, rows["k_rep"] == found["rep"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("t"))
+    out = rows.join(found, rows["t"] == found["k_text"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
     keep = F.transform(F.filter(_forms(F.col("lines")), lambda x: ~F.array_contains(F.col("dropped"), _hash(x))), lambda x: x["l"])
     out = out.withColumn("kept", F.when(F.col("dropped").isNotNull(), keep))
     return out.select("row", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
