@@ -137,6 +137,14 @@ def q_segments_end_to_end(spark, sf):
 from retailforge.operators import regress as RG  # noqa: E402
 from retailforge.plans.oracle_views import MERGED  # noqa: E402
 from retailforge.plans.pipelines import marketplace_lines, review_model_inputs  # noqa: E402
+from retailforge.plans.q_market import DELIVERY_SQL  # noqa: E402
+
+#: the v2 model inputs in SQL
+FRAME_SQL = """
+frame AS (SELECT review_score, payment_type, payment_installments, payment_value, price, freight_value, product_photos_qty, del_time, est_del_time,
+                 delta_time, CASE WHEN delta_time < 0 THEN 1 ELSE 0 END AS Late, total_price, freight_ratio, purchase_day_of_week
+  FROM feat WHERE review_score IS NOT NULL AND payment_type IS NOT NULL AND payment_installments IS NOT NULL AND payment_value IS NOT NULL
+   AND freight_value IS NOT NULL AND product_photos_qty IS NOT NULL AND freight_ratio IS NOT NULL)"""
 
 REVIEW_X = ["payment_installments", "payment_value", "freight_value", "product_photos_qty", "del_time",
             "est_del_time", "delta_time", "Late", "total_price", "freight_ratio", "purchase_day_of_week"]
@@ -156,20 +164,86 @@ def q_ols_simple(spark, sf):
                       F.round("r2", 6).alias("r2"), F.col("n").cast("long").alias("n"))
 
 
-@query("q_ols")
+#: the factor first, as in the study's frame
+OLS_X = ["payment_type", *REVIEW_X]
+_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _ols_sql(table: str = "frame", xs: list[str] = REVIEW_X, name: str = "fit") -> str:
+    """CTEs with the sweep of the scaled cross-products, column by column: ``{name}`` has one row (m, kept, s, means, n, gyy)."""
+    q = len(_LEVELS) + len(xs) + 1
+    dummies = ", ".join(f"CAST(payment_type = '{v}' AS DOUBLE)" for v in _LEVELS[1:])
+    means = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS a{i}" for i, c in enumerate([*xs, "review_score"]))
+    z = ", ".join(f"CAST({c} AS DOUBLE) - a{i}" for i, c in enumerate([*xs, "review_score"]))
+    return f"""
+{name}_mean AS (SELECT count(*) AS n, {means} FROM {table}),
+{name}_z AS (SELECT [1.0, {dummies}, {z}] AS z FROM {table}, {name}_mean),
+{name}_g AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(v ORDER BY j) AS r FROM (
+  SELECT i, j, sum(z[i] * z[j]) AS v FROM {name}_z, range(1, {q + 1}) a(i), range(1, {q + 1}) b(j) GROUP BY i, j) GROUP BY i)),
+{name}_s AS (SELECT g, list_transform(range(1, {q + 1}), lambda i: CASE WHEN g[i][i] > 0 THEN sqrt(g[i][i]) ELSE 1.0 END) AS s FROM {name}_g),
+{name}_r AS (
+  SELECT 1 AS k, [0] AS kept, list_transform(range(1, {q + 1}), lambda i: list_transform(range(1, {q + 1}), lambda j: g[i][j] / (s[i] * s[j]))) AS m FROM {name}_s
+  UNION ALL
+  SELECT k + 1, CASE WHEN m[k][k] > 1e-11::DOUBLE THEN list_append(kept, k) ELSE kept END,
+         CASE WHEN m[k][k] > 1e-11::DOUBLE THEN list_transform(range(1, {q + 1}), lambda i: list_transform(range(1, {q + 1}), lambda j:
+           CASE WHEN i = k AND j = k THEN -1.0 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)) ELSE m END
+  FROM {name}_r WHERE k < {q}),
+{name} AS (SELECT m, kept, s, n, [{", ".join(["1.0"] + ["0.0"] * (len(_LEVELS) - 1) + [f"-a{i}" for i in range(len(xs))])}] AS shift,
+                  a{len(xs)} AS ybar, g[{q}][{q}] AS tss FROM {name}_r, {name}_s, {name}_mean WHERE k = {q})"""
+
+
+def _ols_table_sql() -> str:
+    names = ["(Intercept)"] + [f"payment_type{v}" for v in _LEVELS[1:]] + REVIEW_X
+    q = len(names) + 1
+    return f"""{with_views(MERGED).replace("WITH ", "WITH RECURSIVE ", 1)},{DELIVERY_SQL},{FRAME_SQL},{_ols_sql()},
+b AS (SELECT *, list_transform(range(1, {q}), lambda j: CASE WHEN list_contains(kept, j) THEN m[j][{q}] * s[{q}] / s[j] END) AS b,
+      list_transform(range(1, {q}), lambda i: list_transform(range(1, {q}), lambda j:
+        CASE WHEN list_contains(kept, i) AND list_contains(kept, j) THEN -m[i][j] / (s[i] * s[j]) ELSE 0.0 END)) AS c,
+      m[{q}][{q}] * tss AS rss, len(kept) - 1 AS k FROM fit),
+t AS (SELECT j, [{", ".join(f"'{x}'" for x in names)}][j] AS term, r2, r2_adj, n,
+             CASE WHEN j = 1 THEN ybar + list_sum(list_transform(range(1, {q}), lambda i: shift[i] * coalesce(b[i], 0.0))) ELSE b[j] END AS e,
+             CASE WHEN j = 1 THEN list_sum(list_transform(range(1, {q}), lambda i: list_sum(list_transform(range(1, {q}), lambda l: shift[i] * shift[l] * c[i][l]))))
+                  ELSE c[j][j] END AS v, s2
+      FROM (SELECT *, rss / (n - k) AS s2, 1 - rss / tss AS r2, 1 - (rss / tss) * (n - 1) / (n - k) AS r2_adj FROM b), range(1, {q}) r(j))
+SELECT term, round(e, 8) AS estimate, CASE WHEN e IS NOT NULL THEN round(sqrt(s2 * v), 8) END AS std_error,
+       CASE WHEN e IS NOT NULL THEN round(e / sqrt(s2 * v), 5) END AS t_value, e IS NULL AS aliased,
+       round(r2, 8) AS r2, round(r2_adj, 8) AS r2_adj, CAST(n AS INTEGER) AS n FROM t"""
+
+
+@query("q_ols", _ols_table_sql())
 def q_ols(spark, sf):
-    return RG.ols(review_frame(spark, sf), "review_score", REVIEW_X)
+    """Least squares of the review score on the v2 inputs, the payment type a factor (106)."""
+    t = RG.ols(review_frame(spark, sf), "review_score", OLS_X)
+    return t.select("term", F.round("estimate", 8).alias("estimate"), F.round("std_error", 8).alias("std_error"),
+                    F.round("t_value", 5).alias("t_value"), "aliased", F.round("r2", 8).alias("r2"), F.round("r2_adj", 8).alias("r2_adj"), "n")
+
+
+DIAGNOSTIC_X = ["payment_installments", "payment_value", "freight_value", "del_time"]
 
 
-@query("q_ols_diagnostics")
+@query("q_ols_diagnostics", f"""{with_views(MERGED).replace("WITH ", "WITH RECURSIVE ", 1)},{DELIVERY_SQL},{FRAME_SQL},{_ols_sql(xs=DIAGNOSTIC_X)},
+e AS (SELECT z, m, s, kept, n, tss, ybar, z[10] AS y,
+             list_sum(list_transform(range(1, 10), lambda i: z[i] * m[i][10] * s[10] / s[i])) AS f,
+             list_sum(list_transform(range(1, 10), lambda i: list_sum(list_transform(range(1, 10), lambda j: -z[i] * z[j] * m[i][j] / (s[i] * s[j]))))) AS h
+      FROM fit_z, fit)
+SELECT CAST(round(y + ybar, 0) AS INTEGER) AS review_score, count(*) AS n, round(avg(f + ybar), 6) AS mean_fitted, round(sum((y - f) * (y - f)), 4) AS rss,
+       round(sum(h), 6) AS leverage, round(max(h), 8) AS max_leverage,
+       round(max(abs((y - f) / sqrt(m[10][10] * tss / (n - len(kept) + 1) * (1 - h)))), 6) AS max_std_residual
+FROM e GROUP BY 1""")
 def q_ols_diagnostics(spark, sf):
-    xs = ["payment_installments", "payment_value", "freight_value", "del_time"]
-    return RG.ols_diagnostics(review_frame(spark, sf), "review_score", xs)
+    """Diagnostics of every row (107), summed up per observed score."""
+    d = RG.ols_diagnostics(review_frame(spark, sf), "review_score", ["payment_type", *DIAGNOSTIC_X])
+    return d.groupBy(F.col("review_score").cast("int").alias("review_score")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("fitted"), 6).alias("mean_fitted"), F.round(F.sum(F.col("residual") * F.col("residual")), 4).alias("rss"),
+        F.round(F.sum("leverage"), 6).alias("leverage"), F.round(F.max("leverage"), 8).alias("max_leverage"),
+        F.round(F.max(F.abs("std_residual")), 6).alias("max_std_residual"))
 
 
-@query("q_aliased_columns")
+@query("q_aliased_columns", f"""{with_views(MERGED).replace("WITH ", "WITH RECURSIVE ", 1)},{DELIVERY_SQL},{FRAME_SQL},{_ols_sql()}
+SELECT x AS aliased FROM (SELECT kept, [{", ".join(f"'{x}'" for x in REVIEW_X)}][i] AS x, i FROM fit, range(1, {len(REVIEW_X) + 1}) r(i))
+WHERE NOT list_contains(kept, i + {len(_LEVELS)})""")
 def q_aliased_columns(spark, sf):
-    names = RG.aliased_columns(review_frame(spark, sf), REVIEW_X, "review_score")
+    names = RG.aliased_columns(review_frame(spark, sf), OLS_X, "review_score")
     return spark.createDataFrame([(c,) for c in names], "aliased string")
 
 
@@ -189,10 +263,51 @@ def q_quantile_fit(spark, sf):
 
 @query("q_quantile_regression")
 def q_quantile_regression(spark, sf):
-    xs = ["payment_installments", "payment_value", "freight_value", "del_time"]
+    """Coefficients per τ with the optimality gap of each fit; the payment type a factor (109-111)."""
+    xs = ["payment_type", "payment_installments", "payment_value", "freight_value", "del_time"]
     return RG.quantile_table(review_frame(spark, sf), "review_score", xs, taus=TAUS)
 
 
+@query("q_score_accuracy", f"""{with_views(MERGED).replace("WITH ", "WITH RECURSIVE ", 1)},{DELIVERY_SQL},{FRAME_SQL},
+{_ols_sql(xs=["payment_installments", "payment_value", "price", "freight_value", "product_photos_qty"], name="one")},
+{_ols_sql(name="two")},
+p AS (SELECT 'orders_all_1' AS Data, z[11] + ybar AS y, ybar + list_sum(list_transform(range(1, 11), lambda i: CASE WHEN list_contains(kept, i) THEN z[i] * m[i][11] * s[11] / s[i] ELSE 0 END)) AS f FROM one_z, one
+      UNION ALL SELECT 'orders_all_2', z[17] + ybar, ybar + list_sum(list_transform(range(1, 17), lambda i: CASE WHEN list_contains(kept, i) THEN z[i] * m[i][17] * s[17] / s[i] ELSE 0 END)) FROM two_z, two)
+SELECT Data, round(avg(CAST(least(greatest(ceil(f - 0.4::DOUBLE), 1), 5) = round(y, 0) AS DOUBLE)), 9) AS accuracy, count(*) AS n FROM p GROUP BY Data""")
+def q_score_accuracy(spark, sf):
+    """Accuracy table of the least-squares models on both versions of the review inputs (108, 131)."""
+    from functools import reduce
+    lines = marketplace_lines(spark, sf)
+    tables = []
+    for version in (1, 2):
+        frame = review_model_inputs(lines, version)
+        xs = [c for c in frame.columns if c != "review_score"]
+        acc = RG.score_accuracy(RG.ols_predict(frame, "review_score", xs, frame), "review_score")
+        tables.append(acc.select(F.lit(f"orders_all_{version}").alias("Data"), F.round("accuracy", 9).alias("accuracy"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
+@query("q_model_accuracy")
+def q_model_accuracy(spark, sf):
+    """Test accuracy of least squares, median regression and hinge models of degree 1 and 2 on both input versions (108)."""
+    lines = marketplace_lines(spark, sf)
+    rows = []
+    for version in (1, 2):
+        frame = stage(review_model_inputs(lines, version).withColumn("row_id", F.monotonically_increasing_id()), "accuracy-frame")
+        split = stage(SP.train_test_split(frame, "row_id", 0.7, seed=3), "accuracy-split")
+        train, test = split.where(F.col("set") == "train"), split.where(F.col("set") == "test")
+        xs = [c for c in frame.columns if c not in ("review_score", "row_id", "set")]
+        fitted = {"least squares": RG.ols_predict(train, "review_score", xs, test),
+                  "median": RG.quantile_predict(RG.quantile_regression(train, "review_score", xs, 0.5, iters=40), xs, test)}
+        for degree in (1, 2):
+            kept, coef, _, _ = HG.mars(train, "review_score", xs, degree=degree, max_terms=9)
+            fitted[f"hinge, degree {degree}"] = HG.mars_predict(test, kept, coef)
+        for model, scored in fitted.items():
+            r = RG.score_accuracy(scored, "review_score").first()
+            rows.append((f"orders_all_{version}", model, float(r.accuracy or 0.0), int(r.n)))
+    return spark.createDataFrame(rows, "Data string, model string, accuracy double, n long")
+
+
 # ---------------------------------------------------------------- classification (98-105)
 from retailforge.functions import calendar as K  # noqa: E402
 from retailforge.operators import aggregates as AG  # noqa: E402
@@ -264,7 +379,7 @@ def q_multinomial_accuracy(spark, sf):
 # ---------------------------------------------------------------- hinge models (113-115)
 from retailforge.operators import hinge as HG  # noqa: E402
 
-MARS_X = ["payment_installments", "payment_value", "freight_value", "del_time", "freight_ratio"]
+MARS_X = ["payment_type", "payment_installments", "payment_value", "freight_value", "del_time", "freight_ratio"]
 
 
 @query("q_mars_regression")
@@ -284,6 +399,6 @@ def q_mars_importance(spark, sf):
 @query("q_mars_classifier")
 def q_mars_classifier(spark, sf):
     train, test = segment_model_frame(spark, sf)
-    score, _, _ = HG.mars_classifier(train, "cluster", ["Quantity", "UnitPrice", "InvoiceDate_DayofMonth"])
+    score, _, _ = HG.mars_classifier(train, "cluster", ["Quantity", "UnitPrice", "InvoiceDate_DayofMonth", "InvoiceDate_MonthPeriod"])
     pred = score(test)
     return AG.confusion(pred, "cluster", "predicted")
