@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailforge.session import configure, stage
@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int, size: Column | None = None, max_bytes: int = 0) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows, whose ``size`` sums up to ``max_bytes`` at most; reads no further than those rows."""
+    if size is None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    got = df.select(size.cast("long").alias("size")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    return got.n <= max_rows and got.b <= max_bytes
 
 
 def with_row(df: DataFrame, text_col: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a tree of its block elements, where runs of like siblings are
-one repeated node.  Some pages of every host are folded into the host's
-template by simple tree matching: the largest order-preserving match of two
-trees aligns their nodes.  Every page is then aligned with its host's
-template, which gives each text block a slot.  A slot that shows one text on
-most of the host's different pages belongs to the template; the others vary
-and hold content, unless their element says that they are furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, comments).
+one repeated node.  Pages of a host with the same skeleton (the label paths
+near the root) are one layout; layouts of a single page are taken together.
+Some pages of every layout are folded into its template by simple tree
+matching: the largest order-preserving match of two trees aligns their nodes.
+Every page is then aligned with its template, which gives each text block a
+slot.  A text that stands in one slot on two different pages at least, and on
+most of the layout's pages that have the slot, belongs to the template; other
+blocks hold content, unless their element says that they are furniture
+(menus, headers, footers, sidebars, notices, adverts, forms, comments).
 """
 
 from __future__ import annotations
@@ -25,13 +27,18 @@ from pyspark.sql import types as T
 from retailforge.llm.common import small_enough
 from retailforge.session import stage
 
-#: pages of a host that its template is folded from, by the smallest hashes of their html
+#: pages that a template is folded from, by the smallest hashes of their html
 SAMPLE = 16
-#: a constant: the same text in the same slot on this share of the host's pages, and on this many; longer texts are content
-CONSTANT_SHARE, CONSTANT_PAGES, CONSTANT_WORDS = 0.6, 5, 40
+#: a constant: the same text in the same slot on this many different pages, and on this share of those that have the slot
+CONSTANT_PAGES, CONSTANT_SHARE = 2, 0.6
 #: elements deeper than this hang from their ancestor at that depth; more siblings than this are merged by label
 DEPTH, SIBLINGS = 48, 64
-BROADCAST_HOSTS = 20_000
+#: depth of the skeleton that tells layouts apart
+SKELETON = 4
+#: a marked element with more than this share of the page's text is no furniture, unless it holds comments
+MOST = 2 / 3
+#: templates or constants up to these numbers and bytes are broadcast
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
 
 # Element names of HTML and words that mark furniture in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,24 +56,32 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
  navigation breadcrumb breadcrumbs footer header masthead banner comment comments disqus replies respond cookie cookies consent
  notice notices alert popup modal newsletter subscribe subscription share sharing social related widget login signup search
  toolbar pagination pager skip copyright""".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: words that may stand beside a mark in one class token
+BESIDE = frozenset("""site page main top bottom global left right primary secondary inner outer wrap wrapper container box bar area block section
+ list item items link links menu widget content text unit slot zone group post posts form button buttons icon icons bottom sticky fixed""".split())
 
 _ATTRS = r"""((?:[^>"']|"[^"]*"|'[^']*')*+)"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|iframe|select|object|canvas|audio|video|math|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|textarea|iframe|select|object|canvas|audio|video|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<title\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>[^<]*(?:</title\s*>)?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRS + ">"
     r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("label", "kids", "parent", "depth", "chrome", "article", "slot", "seen", "tag")
+    __slots__ = ("label", "kids", "parent", "depth", "chrome", "article", "slot", "seen", "tag", "mark", "size", "holds")
 
-    def __init__(self, tag, label, parent, chrome=False, article=False):
+    def __init__(self, tag, label, parent, chrome=False, article=False, mark=""):
         self.tag, self.label, self.parent, self.kids = tag, label, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        self.chrome, self.article, self.slot, self.seen = chrome, article, -1, 0
+        self.chrome, self.article, self.slot, self.seen, self.mark = chrome, article, -1, 0, mark
+        #: characters of text outside links in it, and whether an article is
+        self.size, self.holds = 0, False
 
 
 class Text:
@@ -78,20 +93,50 @@ class Text:
         self.node, self.parts, self.linked = node, [], 0
 
 
-def _labels(tag: str, attrs: str) -> tuple[str, bool]:
-    """Label for the alignment, and whether the element is furniture."""
-    chrome, marks = tag in FURNITURE, ""
+def mark_of(token: str) -> str:
+    """The furniture word of a class or id token; its other parts must be neutral (``site-footer``, not ``entry-header``)."""
+    parts = [p for p in _PARTS.split(token) if p]
+    words = [p for p in parts if p.isalpha()]
+    marks = [p for p in words if p in MARKS]
+    return marks[-1] if marks and all(p in MARKS or p in BESIDE for p in words) else ""
+
+
+def _labels(tag: str, attrs: str) -> tuple[str, bool, str]:
+    """Label for the alignment, whether the element is furniture by its name or role, and its mark by class or id."""
+    chrome, names, mark = tag in FURNITURE, "", ""
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            words = _WORDS.findall(value)
             if key == "role":
-                chrome = chrome or not ROLES.isdisjoint(words)
-            else:
-                chrome = chrome or (tag not in ("body", "html", "article", "main") and not MARKS.isdisjoint(words))
-                if key == "class":
-                    marks = ".".join(words)
-    return f"{tag}.{marks}" if marks else tag, chrome
+                chrome = chrome or not ROLES.isdisjoint(value.split())
+                continue
+            if tag not in ("body", "html", "article", "main"):
+                mark = mark or next(filter(None, map(mark_of, value.split())), "")
+            if key == "class":
+                names = ".".join(_WORDS.findall(value))
+    return f"{tag}.{names}" if names else tag, chrome, mark
+
+
+def settle(root: Node, texts: list[Text]) -> None:
+    """Hands furniture down the tree; marked elements that hold an article or most of the page's text are none."""
+    whole = 0
+    for t in texts:
+        n = max(sum(map(len, t.parts)) - t.linked, 0)
+        whole += n
+        node = t.node
+        while node is not None:
+            node.size += n
+            node.holds = node.holds or (t.node.article and not node.article)
+            node = node.parent
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.mark and not n.chrome:
+            big = n.holds or (n.size > MOST * whole and n.mark not in COMMENTS)
+            n.chrome = not big and not (n.article and n.mark in ("header", "masthead", "banner"))
+        for k in n.kids:
+            k.chrome = k.chrome or n.chrome
+            todo.append(k)
 
 
 def parse(html: str) -> tuple[Node, list[Text]]:
@@ -144,18 +189,32 @@ def parse(html: str) -> tuple[Node, list[Text]]:
         if tag in CLOSES:
             pop_to(CLOSES[tag], SCOPE - CLOSES[tag])
         links = 0
-        label, chrome = _labels(tag, m[4])
+        label, chrome, mark = _labels(tag, m[4])
         parent = stack[-1] if len(stack) <= DEPTH else stack[DEPTH]
         # a header of the page, not the heading of an article
         if tag == "header" and not parent.article:
             chrome = True
-        node = Node(tag, label, parent, chrome or parent.chrome, parent.article or tag in ("article", "main"))
+        node = Node(tag, label, parent, chrome, parent.article or tag in ("article", "main"), mark)
         parent.kids.append(node)
         if tag not in VOID:
             stack.append(node)
+    settle(root, texts)
     return root, texts
 
 
+def skeleton(html: str) -> str:
+    """Label paths near the root, outside articles: what pages of one layout share."""
+    root, _ = parse(html)
+    paths, todo = set(), [(collapse(root), "", 0)]
+    while todo:
+        m, path, depth = todo.pop()
+        path = f"{path}/{m.label}"
+        paths.add(path)
+        if depth < SKELETON and not any(n.article for n in m.nodes):
+            todo += [(k, path, depth + 1) for k in m.kids]
+    return "\n".join(sorted(paths))
+
+
 class Merged:
     """A node of the alignment tree: one label, all like siblings of a run."""
 
@@ -260,11 +319,11 @@ def fold(template: Merged | None, page: Merged) -> Merged:
     return template
 
 
-def to_json(t: Merged, least: int) -> str:
-    """Template nodes that enough sample pages have, as nested lists."""
-    def plain(n, depth):
-        return [n.label, [plain(k, depth + 1) for k in n.kids if k.seen >= least]]
-    return json.dumps(plain(t, 0))
+def to_json(t: Merged) -> str:
+    """Template nodes as nested lists."""
+    def plain(n):
+        return [n.label, [plain(k) for k in n.kids]]
+    return json.dumps(plain(t))
 
 
 def from_json(text: str) -> Merged:
@@ -280,12 +339,19 @@ def from_json(text: str) -> Merged:
 
 
 def induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sample pages of one host -> its template."""
+    """The sample pages of one layout -> its template."""
     template = None
     pages = pdf.sort_values("rank")["html"].tolist()
     for h in pages:
         template = fold(template, collapse(parse(h)[0]))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [to_json(template, 2 if len(pages) > 2 else 1)]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [pdf["layout"].iloc[0]], "template": [to_json(template)]})
+
+
+def _layouts(batches):
+    """``host, h, html`` -> ``host, h, skeleton``."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([skeleton(x) for x in batch.column(2).to_pylist()], pa.string())],
+                                         names=["host", "h", "skeleton"])
 
 
 def _blocks_of(html: str, template: Merged | None):
@@ -319,18 +385,24 @@ _BLOCKS = "array<struct<slot:int,chrome:boolean,text:string>>"
 
 
 def _align(batches):
-    """``row, host, html, template`` -> ``row, host, blocks``."""
-    known: dict[str, Merged] = {}
+    """``row, host, layout, html, template`` -> ``row, host, layout, blocks``."""
+    known: dict[tuple, Merged] = {}
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("chrome", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
         out = []
-        for host, page, template in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            if template is not None and host not in known:
+        for host, layout, page, template in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            if template is not None and (host, layout) not in known:
                 if len(known) > 256:
                     known.clear()
-                known[host] = from_json(template)
-            out.append(_blocks_of(page, known.get(host) if template is not None else None) if page else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["row", "host", "blocks"])
+                known[host, layout] = from_json(template)
+            out.append(_blocks_of(page, known.get((host, layout)) if template is not None else None) if page else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, kind)],
+                                         names=["row", "host", "layout", "blocks"])
+
+
+def _checked(df: DataFrame, text: str) -> DataFrame:
+    """Broadcast where rows and bytes are checked to be few; other tables are joined by shuffle."""
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS, F.octet_length(text), BROADCAST_BYTES) else df
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
@@ -340,36 +412,44 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", samp
     decoded and white space turned into single blanks.  NULL or empty html
     gives the empty string; pages without a host in their URL, and hosts with
     one page, have no template and keep what is not furniture.  Copies of a
-    page count once towards what is constant.  An empty table gives no rows.
+    page, and pages whose content is equal, count once towards what is
+    constant.  An empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row"),
                         F.coalesce(host, F.lit("")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    keys = rows.where("host <> '' AND html <> ''").select("host", F.xxhash64("html").alias("h")).distinct()
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    picked = stage(keys.withColumn("rank", rank).where(F.col("rank") <= sample), "sample-pages")  # top rows per host, taken before the shuffle
-    right = F.broadcast(picked) if small_enough(picked, BROADCAST_HOSTS * sample) else picked
-    samples = rows.where("host <> '' AND html <> ''").select("host", "html", F.xxhash64("html").alias("h")).join(right, ["host", "h"])
+    rows = rows.withColumn("h", F.when((F.col("host") != "") & (F.col("html") != ""), F.xxhash64("html")))
+    told = (rows.where("h IS NOT NULL").select("host", "h", "html").mapInArrow(_layouts, "host string, h long, skeleton string")
+            .select("host", "h", F.xxhash64("skeleton").alias("layout")).distinct())
+    told = stage(told, "page-layouts")
+    # layouts with one page only are taken together, as layout 0
+    sizes = told.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    single = stage(sizes.where("n = 1").select("host", "h", F.lit(True).alias("single")), "single-layouts")
+    told = stage(told.join(single, ["host", "h"], "left").select("host", "h", F.when(F.col("single"), F.lit(0)).otherwise(F.col("layout")).alias("layout")),
+                 "layouts")
+    rank = F.row_number().over(Window.partitionBy("host", "layout").orderBy("h"))
+    picked = stage(told.withColumn("rank", rank).where(F.col("rank") <= sample), "sample-pages")  # top rows per layout, taken before the shuffle
+    samples = rows.where("h IS NOT NULL").select("host", "html", "h").join(_checked(picked, "host"), ["host", "h"])
     # a page that is repeated stands for itself once
-    samples = samples.groupBy("host", "rank").agg(F.first("html").alias("html"))
-    templates = stage(samples.groupBy("host").applyInPandas(induce, "host string, template string"), "templates")
-    right = F.broadcast(templates) if small_enough(templates, BROADCAST_HOSTS) else templates
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("host", T.StringType()),
+    samples = samples.groupBy("host", "layout", "rank").agg(F.first("html").alias("html"))
+    templates = stage(samples.groupBy("host", "layout").applyInPandas(induce, "host string, layout long, template string"), "templates")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("host", T.StringType()), T.StructField("layout", T.LongType()),
                            T.StructField("blocks", T._parse_datatype_string(_BLOCKS))])
-    found = stage(rows.join(right, "host", "left").select("row", "host", "html", "template").mapInArrow(_align, schema), "page-blocks")
+    placed = rows.join(told, ["host", "h"], "left").join(_checked(templates, "template"), ["host", "layout"], "left")
+    found = stage(placed.select("row", "host", "layout", "html", "template").mapInArrow(_align, schema), "page-blocks")
 
     body = F.filter("blocks", lambda b: ~b["chrome"])
-    own = found.where("host <> ''").select("host", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), body.alias("b"))
-    sizes = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    short = F.filter("b", lambda b: (b["slot"] >= 0) & (F.size(F.split(b["text"], " ")) <= CONSTANT_WORDS))
-    slots = (own.select("host", "page", F.explode(F.array_distinct(F.transform(short, lambda b: F.struct(
-        b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"))))).alias("s")).distinct()
-        .groupBy("host", "s").agg(F.count("*").alias("n")))
-    constant = (slots.join(sizes, "host").where((F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= F.col("pages") * CONSTANT_SHARE))
-                .groupBy("host").agg(F.collect_list("s").alias("constant")))
+    own = found.where("layout IS NOT NULL").select("host", "layout", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), body.alias("b"))
+    placed = F.filter("b", lambda b: b["slot"] >= 0)
+    texts = F.array_distinct(F.transform(placed, lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"))))
+    pairs = stage(own.select("host", "layout", "page", F.explode(texts).alias("s")).distinct(), "slot-texts")
+    having = (pairs.select("host", "layout", "page", "s.slot").distinct().groupBy("host", "layout", "slot").agg(F.count("*").alias("pages")))
+    same = pairs.groupBy("host", "layout", "s").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES).withColumn("slot", F.col("s.slot"))
+    constant = (same.join(having, ["host", "layout", "slot"]).where(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
+                .groupBy("host", "layout").agg(F.collect_list("s").alias("constant")))
     constant = stage(constant, "constant-slots")
-    right = F.broadcast(constant) if small_enough(constant, BROADCAST_HOSTS) else constant
-    out = found.join(right, "host", "left")
+    right = F.broadcast(constant) if small_enough(constant, BROADCAST_ROWS, F.size("constant") * 12, BROADCAST_BYTES) else constant
+    out = found.join(right, ["host", "layout"], "left")
     kept = F.filter("blocks", lambda b: ~b["chrome"] & ~F.coalesce(F.array_contains(
         F.col("constant"), F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"))), F.lit(False)))
     return out.select("row", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
