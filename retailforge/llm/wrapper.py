@@ -31,6 +31,8 @@ from retailforge.session import stage
 SAMPLE = 16
 #: a constant: the same text in the same slot on this many different pages, and on this share of those that have the slot
 CONSTANT_PAGES, CONSTANT_SHARE = 2, 0.6
+#: inside an <article> or <main> element: on so many different pages, and on all that have the slot
+ARTICLE_PAGES = 3
 #: elements deeper than this hang from their ancestor at that depth; more siblings than this are merged by label
 DEPTH, SIBLINGS = 48, 64
 #: depth of the skeleton that tells layouts apart
@@ -377,17 +379,17 @@ def _blocks_of(html: str, template: Merged | None):
             continue
         n = t.node
         chrome = n.chrome or (inside and not n.article) or (not n.article and t.linked * 5 >= len(raw) * 4)
-        out.append({"slot": n.slot, "chrome": chrome, "text": text})
+        out.append({"slot": n.slot, "chrome": chrome, "article": n.article, "text": text})
     return out
 
 
-_BLOCKS = "array<struct<slot:int,chrome:boolean,text:string>>"
+_BLOCKS = "array<struct<slot:int,chrome:boolean,article:boolean,text:string>>"
 
 
 def _align(batches):
     """``row, host, layout, html, template`` -> ``row, host, layout, blocks``."""
     known: dict[tuple, Merged] = {}
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("chrome", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("chrome", pa.bool_()), ("article", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
         out = []
         for host, layout, page, template in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
@@ -441,12 +443,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", samp
     body = F.filter("blocks", lambda b: ~b["chrome"])
     own = found.where("layout IS NOT NULL").select("host", "layout", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), body.alias("b"))
     placed = F.filter("b", lambda b: b["slot"] >= 0)
-    texts = F.array_distinct(F.transform(placed, lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"))))
+    texts = F.array_distinct(F.transform(placed, lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"), b["article"].alias("article"))))
     pairs = stage(own.select("host", "layout", "page", F.explode(texts).alias("s")).distinct(), "slot-texts")
     having = (pairs.select("host", "layout", "page", "s.slot").distinct().groupBy("host", "layout", "slot").agg(F.count("*").alias("pages")))
     same = pairs.groupBy("host", "layout", "s").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES).withColumn("slot", F.col("s.slot"))
-    constant = (same.join(having, ["host", "layout", "slot"]).where(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
-                .groupBy("host", "layout").agg(F.collect_list("s").alias("constant")))
+    often = F.when(F.col("s.article"), (F.col("n") >= ARTICLE_PAGES) & (F.col("n") == F.col("pages"))).otherwise(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
+    constant = (same.join(having, ["host", "layout", "slot"]).where(often)
+                .groupBy("host", "layout").agg(F.collect_list(F.struct("s.slot", "s.t")).alias("constant")))
     constant = stage(constant, "constant-slots")
     right = F.broadcast(constant) if small_enough(constant, BROADCAST_ROWS, F.size("constant") * 12, BROADCAST_BYTES) else constant
     out = found.join(right, ["host", "layout"], "left")
