@@ -14,6 +14,7 @@ blocks hold content, unless their element says that they are furniture
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -204,19 +205,6 @@ def parse(html: str) -> tuple[Node, list[Text]]:
     return root, texts
 
 
-def skeleton(html: str) -> str:
-    """Label paths near the root, outside articles: what pages of one layout share."""
-    root, _ = parse(html)
-    paths, todo = set(), [(collapse(root), "", 0)]
-    while todo:
-        m, path, depth = todo.pop()
-        path = f"{path}/{m.label}"
-        paths.add(path)
-        if depth < SKELETON and not any(n.article for n in m.nodes):
-            todo += [(k, path, depth + 1) for k in m.kids]
-    return "\n".join(sorted(paths))
-
-
 class Merged:
     """A node of the alignment tree: one label, all like siblings of a run."""
 
@@ -252,6 +240,18 @@ def collapse(root: Node) -> Merged:
     return top
 
 
+def layout_of(tree: Merged) -> int:
+    """Hash of the label paths near the root, outside articles: what pages of one layout share."""
+    paths, todo = set(), [(tree, "", 0)]
+    while todo:
+        m, path, depth = todo.pop()
+        path = f"{path}/{m.label}"
+        paths.add(path)
+        if depth < SKELETON and not any(n.article for n in m.nodes):
+            todo += [(k, path, depth + 1) for k in m.kids]
+    return int.from_bytes(hashlib.blake2b("\n".join(sorted(paths)).encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def matching(a: Merged, b: Merged, memo: dict) -> int:
     """Size of the largest order-preserving match of two trees with equal root labels."""
     if a.label != b.label:
@@ -350,18 +350,21 @@ def induce(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _layouts(batches):
-    """``host, h, html`` -> ``host, h, skeleton``."""
+    """``host, h, html`` -> ``host, h, layout``."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([skeleton(x) for x in batch.column(2).to_pylist()], pa.string())],
-                                         names=["host", "h", "skeleton"])
+        layout = [layout_of(collapse(parse(x)[0])) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(layout, pa.int64())], names=["host", "h", "layout"])
 
 
-def _blocks_of(html: str, template: Merged | None):
-    """Text blocks of a page: slot (or -1), furniture or not, text."""
+def _blocks_of(html: str, templates: dict[int, Merged] | None):
+    """Layout of a page (0: taken together with others) and its text blocks: slot (or -1), furniture or not, text."""
     root, texts = parse(html)
-    if template is not None:
+    layout = None
+    if templates is not None:
         tree = collapse(root)
-        match = aligned(tree, template)
+        layout = layout_of(tree)
+        layout = layout if layout in templates else 0
+        match = aligned(tree, templates[layout]) if layout in templates else {}
         todo = [tree]
         while todo:
             x = todo.pop()
@@ -380,26 +383,28 @@ def _blocks_of(html: str, template: Merged | None):
         n = t.node
         chrome = n.chrome or (inside and not n.article) or (not n.article and t.linked * 5 >= len(raw) * 4)
         out.append({"slot": n.slot, "chrome": chrome, "article": n.article, "text": text})
-    return out
+    return layout, out
 
 
 _BLOCKS = "array<struct<slot:int,chrome:boolean,article:boolean,text:string>>"
 
 
 def _align(batches):
-    """``row, host, layout, html, template`` -> ``row, host, layout, blocks``."""
-    known: dict[tuple, Merged] = {}
+    """``row, host, html, templates`` -> ``row, key, blocks``; key: hash of host and layout."""
+    known: dict[str, dict] = {}
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("chrome", pa.bool_()), ("article", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
-        out = []
-        for host, layout, page, template in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-            if template is not None and (host, layout) not in known:
+        keys, out = [], []
+        for i, (host, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if host not in known and batch.column(3)[i].is_valid:
                 if len(known) > 256:
                     known.clear()
-                known[host, layout] = from_json(template)
-            out.append(_blocks_of(page, known.get((host, layout)) if template is not None else None) if page else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, kind)],
-                                         names=["row", "host", "layout", "blocks"])
+                known[host] = {t["layout"]: from_json(t["template"]) for t in batch.column(3)[i].as_py()}
+            layout, blocks = _blocks_of(page, known.get(host) if batch.column(3)[i].is_valid else None) if page else (None, [])
+            keys.append(None if layout is None else
+                        int.from_bytes(hashlib.blake2b(f"{layout} {host}".encode(), digest_size=8).digest(), "little", signed=True))
+            out.append(blocks)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, kind)], names=["row", "key", "blocks"])
 
 
 def _checked(df: DataFrame, text: str) -> DataFrame:
@@ -421,38 +426,37 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", samp
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row"),
                         F.coalesce(host, F.lit("")).alias("host"), F.col(f"`{html_col}`").alias("html"))
     rows = rows.withColumn("h", F.when((F.col("host") != "") & (F.col("html") != ""), F.xxhash64("html")))
-    told = (rows.where("h IS NOT NULL").select("host", "h", "html").mapInArrow(_layouts, "host string, h long, skeleton string")
-            .select("host", "h", F.xxhash64("skeleton").alias("layout")).distinct())
+    told = rows.where("h IS NOT NULL").select("host", "h", "html").mapInArrow(_layouts, "host string, h long, layout long").distinct()
     told = stage(told, "page-layouts")
     # layouts with one page only are taken together, as layout 0
-    sizes = told.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h"))
-    single = stage(sizes.where("n = 1").select("host", "h", F.lit(True).alias("single")), "single-layouts")
-    told = stage(told.join(single, ["host", "h"], "left").select("host", "h", F.when(F.col("single"), F.lit(0)).otherwise(F.col("layout")).alias("layout")),
-                 "layouts")
+    several = told.groupBy("host", "layout").agg(F.count("*").alias("n")).where("n > 1").select("host", "layout", F.lit(True).alias("several"))
+    told = told.join(_checked(several, "host"), ["host", "layout"], "left").select("host", "h", F.when(F.col("several"), F.col("layout")).otherwise(0).alias("layout"))
     rank = F.row_number().over(Window.partitionBy("host", "layout").orderBy("h"))
     picked = stage(told.withColumn("rank", rank).where(F.col("rank") <= sample), "sample-pages")  # top rows per layout, taken before the shuffle
     samples = rows.where("h IS NOT NULL").select("host", "html", "h").join(_checked(picked, "host"), ["host", "h"])
     # a page that is repeated stands for itself once
     samples = samples.groupBy("host", "layout", "rank").agg(F.first("html").alias("html"))
     templates = stage(samples.groupBy("host", "layout").applyInPandas(induce, "host string, layout long, template string"), "templates")
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("host", T.StringType()), T.StructField("layout", T.LongType()),
+    templates = stage(templates.groupBy("host").agg(F.collect_list(F.struct("layout", "template")).alias("templates")), "host-templates")
+    size = F.aggregate("templates", F.lit(0), lambda a, t: a + F.length(t["template"]))
+    right = F.broadcast(templates) if small_enough(templates, BROADCAST_ROWS, size, BROADCAST_BYTES) else templates
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("key", T.LongType()),
                            T.StructField("blocks", T._parse_datatype_string(_BLOCKS))])
-    placed = rows.join(told, ["host", "h"], "left").join(_checked(templates, "template"), ["host", "layout"], "left")
-    found = stage(placed.select("row", "host", "layout", "html", "template").mapInArrow(_align, schema), "page-blocks")
+    found = stage(rows.join(right, "host", "left").select("row", "host", "html", "templates").mapInArrow(_align, schema), "page-blocks")
 
     body = F.filter("blocks", lambda b: ~b["chrome"])
-    own = found.where("layout IS NOT NULL").select("host", "layout", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), body.alias("b"))
+    own = found.where("key IS NOT NULL").select("key", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), body.alias("b"))
     placed = F.filter("b", lambda b: b["slot"] >= 0)
     texts = F.array_distinct(F.transform(placed, lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"), b["article"].alias("article"))))
-    pairs = stage(own.select("host", "layout", "page", F.explode(texts).alias("s")).distinct(), "slot-texts")
-    having = (pairs.select("host", "layout", "page", "s.slot").distinct().groupBy("host", "layout", "slot").agg(F.count("*").alias("pages")))
-    same = pairs.groupBy("host", "layout", "s").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES).withColumn("slot", F.col("s.slot"))
-    often = F.when(F.col("s.article"), (F.col("n") >= ARTICLE_PAGES) & (F.col("n") == F.col("pages"))).otherwise(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
-    constant = (same.join(having, ["host", "layout", "slot"]).where(often)
-                .groupBy("host", "layout").agg(F.collect_list(F.struct("s.slot", "s.t")).alias("constant")))
+    slots = F.array_distinct(F.transform(placed, lambda b: b["slot"]))
+    having = (own.select("key", "page", F.explode(slots).alias("slot")).distinct().groupBy("key", "slot").agg(F.count("*").alias("pages")))
+    same = (own.select("key", "page", F.explode(texts).alias("s")).distinct().groupBy("key", "s").agg(F.count("*").alias("n"))
+            .where(F.col("n") >= CONSTANT_PAGES).select("key", "s.slot", "s.t", "s.article", "n"))
+    often = F.when(F.col("article"), (F.col("n") >= ARTICLE_PAGES) & (F.col("n") == F.col("pages"))).otherwise(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
+    constant = same.join(having, ["key", "slot"]).where(often).groupBy("key").agg(F.collect_list(F.struct("slot", "t")).alias("constant"))
     constant = stage(constant, "constant-slots")
     right = F.broadcast(constant) if small_enough(constant, BROADCAST_ROWS, F.size("constant") * 12, BROADCAST_BYTES) else constant
-    out = found.join(right, ["host", "layout"], "left")
+    out = found.join(right, "key", "left")
     kept = F.filter("blocks", lambda b: ~b["chrome"] & ~F.coalesce(F.array_contains(
         F.col("constant"), F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("t"))), F.lit(False)))
     return out.select("row", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
