@@ -20,6 +20,8 @@ def monthly_clv(df: DataFrame, ts: str, revenue: Column | str, customer: str,
     ``purchases=None`` counts rows (``n()``); otherwise it is summed (ΣQuantity).
     ``money_decimals`` sums revenue exactly as a decimal of that scale (amounts
     in cents), so the total does not depend on the order of the partial sums.
+    Lines without a customer count towards revenue and purchases; only the
+    number of customers leaves them out.
     """
     series = list(series or [])
     rev = F.col(revenue) if isinstance(revenue, str) else revenue
@@ -28,7 +30,7 @@ def monthly_clv(df: DataFrame, ts: str, revenue: Column | str, customer: str,
         total = F.sum(rev.cast(f"decimal(24,{money_decimals})")).cast("double")
     pur = F.count(F.lit(1)) if purchases is None else F.sum(
         F.col(purchases) if isinstance(purchases, str) else purchases)
-    g = (df.where(F.col(customer).isNotNull()).withColumn("MnthYr", year_month(ts))
+    g = (df.withColumn("MnthYr", year_month(ts))
            .groupBy(*series, "MnthYr")
            .agg(total.alias("total_Rev"), pur.alias("total_Pur"),
                 F.countDistinct(customer).alias("total_Cust")))

@@ -171,7 +171,13 @@ def fit_arima(x, order=(0, 0, 1), seasonal=(0, 0, 0), period: int = 12, include_
     if d or D_:
         raise ValueError("differenced models are not part of the reference's fits")
     n = len(x)
-    m0, sd = float(np.mean(x)), float(np.std(x)) or 1.0
+    if not np.isfinite(x).all():
+        raise ValueError("missing values")
+    if n < 3:
+        raise ValueError(f"{n} months are too few for a model")
+    m0, sd = float(np.mean(x)), float(np.std(x))
+    if sd <= 1e-12 * abs(m0) or sd == 0:
+        raise ValueError("constant series")
     z = (x - m0) / sd
     npar = p + q + P_ + Q_ + (1 if include_mean else 0)
 
@@ -193,6 +199,8 @@ def fit_arima(x, order=(0, 0, 1), seasonal=(0, 0, 0), period: int = 12, include_
             ssq, sumlog, *_ = kalman(z - mu, fphi, ftheta)
         except np.linalg.LinAlgError:
             return 1e10
+        if not (ssq > 0 and math.isfinite(ssq) and math.isfinite(sumlog)):
+            return 1e10
         return 0.5 * math.log(ssq / n) + 0.5 * sumlog / n
 
     x0 = np.zeros(npar)

@@ -13,6 +13,7 @@ from retailforge.operators import smoothing as SM
 from retailforge.plans.oracle_views import CLV_LINES, with_views
 from retailforge.plans.q_aggs import CLV_SERIES_SQL, monthly_clv_series
 from retailforge.plans.registry import query
+from retailforge.session import stage
 
 KEYS = ["series_kind", "series_key"]
 H = 3
@@ -103,11 +104,11 @@ ses AS (SELECT series_key, n, alpha, sse, l AS level FROM best WHERE rn = 1)"""
 
 
 @query("q_ses", f"""{DENSE_SQL_REC},{_ses_sql('s')}
-SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = ses.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, round(sse, 0) AS sse,
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = ses.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, CAST(printf('%.11e', sse) AS DOUBLE) AS sse,
        round(level, 6) AS level FROM ses""")
 def q_ses(spark, sf):
     f = SM.ses(all_series(spark, sf), KEYS, steps=SES_STEPS)
-    return f.withColumn("sse", F.round("sse", 0)).withColumn("level", F.round("level", 6))
+    return f.withColumn("sse", F.format_string("%.11e", "sse").cast("double")).withColumn("level", F.round("level", 6)).drop("status")
 
 
 @query("q_holt", f"""{DENSE_SQL_REC},
@@ -123,12 +124,95 @@ rec AS (
   FROM rec r JOIN s ON s.series_key = r.series_key AND s.t = r.t + 1),
 fin AS (SELECT rec.*, s.n FROM rec JOIN s USING (series_key, t) WHERE rec.t = s.n),
 best AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY sse, alpha, beta) AS rn FROM fin)
-SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = best.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, beta, round(sse, 0) AS sse,
+SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = best.series_key) AS series_kind, series_key, CAST(n AS INTEGER) AS n, alpha, beta, CAST(printf('%.11e', sse) AS DOUBLE) AS sse,
        round(l, 6) AS level, round(b, 6) AS trend FROM best WHERE rn = 1""")
 def q_holt(spark, sf):
     f = SM.holt(all_series(spark, sf), KEYS, steps=HOLT_STEPS)
-    return (f.withColumn("sse", F.round("sse", 0)).withColumn("level", F.round("level", 6))
-             .withColumn("trend", F.round("trend", 6)))
+    return (f.withColumn("sse", F.format_string("%.11e", "sse").cast("double")).withColumn("level", F.round("level", 6))
+             .withColumn("trend", F.round("trend", 6)).drop("status"))
+
+
+_KIND = "(SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = {0}.series_key) AS series_kind, {0}.series_key"
+_Z80, _Z95 = 1.2815515655446004, 1.959963984540054
+
+
+@query("q_ses_path", f"""{DENSE_SQL_REC},{_ses_sql('s')},
+p AS (SELECT s.series_key, s.t, s.v AS x, s.v AS level, CAST(NULL AS DOUBLE) AS fitted, CAST(NULL AS DOUBLE) AS residual, alpha
+      FROM s JOIN ses USING (series_key) WHERE s.t = 1
+      UNION ALL
+      SELECT p.series_key, s.t, s.v, p.level + p.alpha * (s.v - p.level), p.level, s.v - p.level, p.alpha
+      FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1)
+SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x, 4) AS x, round(fitted, 4) AS fitted, round(residual, 4) AS residual, round(level, 4) AS level FROM p""")
+def q_ses_path(spark, sf):
+    """Level, fitted value and error of every month under the SES fit (120, 125)."""
+    x = stage(all_series(spark, sf), "series")
+    return _rounded(SM.smoothing_path(x, SM.ses(x, KEYS, steps=SES_STEPS), KEYS), ["x", "fitted", "residual", "level"])
+
+
+def _rounded(df, cols):
+    return df.select(*[F.round(c, 4).alias(c) if c in cols else c for c in df.columns])
+
+
+_HOLT_SQL = """
+gr AS (SELECT CAST(g AS DOUBLE) / 50.0 AS v FROM range(1, 51) r(g)),
+rec AS (
+  SELECT s2.series_key, a.v AS alpha, bb.v AS beta, s2.t, s2.v AS l, s2.v - s1.v AS b, CAST(0.0 AS DOUBLE) AS sse
+  FROM s s1 JOIN s s2 ON s1.series_key = s2.series_key AND s1.t = 1 AND s2.t = 2, gr a, gr bb
+  UNION ALL
+  SELECT r.series_key, r.alpha, r.beta, s.t, r.alpha * s.v + (1.0 - r.alpha) * (r.l + r.b),
+         r.beta * ((r.alpha * s.v + (1.0 - r.alpha) * (r.l + r.b)) - r.l) + (1.0 - r.beta) * r.b,
+         r.sse + (s.v - (r.l + r.b)) * (s.v - (r.l + r.b))
+  FROM rec r JOIN s ON s.series_key = r.series_key AND s.t = r.t + 1),
+fin AS (SELECT rec.*, s.n FROM rec JOIN s USING (series_key, t) WHERE rec.t = s.n),
+holt AS (SELECT series_key, alpha, beta, l AS level, b AS trend FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY sse, alpha, beta) AS rn FROM fin) WHERE rn = 1),
+p AS (SELECT s2.series_key, s2.t, s2.v AS x, s2.v AS level, s2.v - s1.v AS trend, CAST(NULL AS DOUBLE) AS fitted, alpha, beta
+      FROM s s1 JOIN s s2 ON s1.series_key = s2.series_key AND s1.t = 1 AND s2.t = 2 JOIN holt ON holt.series_key = s2.series_key
+      UNION ALL
+      SELECT p.series_key, s.t, s.v, p.alpha * s.v + (1.0 - p.alpha) * (p.level + p.trend),
+             p.beta * ((p.alpha * s.v + (1.0 - p.alpha) * (p.level + p.trend)) - p.level) + (1.0 - p.beta) * p.trend, p.level + p.trend, p.alpha, p.beta
+      FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1)"""
+
+
+@query("q_holt_path", f"""{DENSE_SQL_REC},{_HOLT_SQL}
+SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x, 4) AS x, round(fitted, 4) AS fitted, round(x - fitted, 4) AS residual,
+       round(level, 4) AS level, round(trend, 4) AS trend FROM p""")
+def q_holt_path(spark, sf):
+    """Level, trend, fitted value and error of every month under the Holt fit (120, 125)."""
+    x = stage(all_series(spark, sf), "series")
+    return _rounded(SM.smoothing_path(x, SM.holt(x, KEYS, steps=HOLT_STEPS), KEYS, trend=True), ["x", "fitted", "residual", "level", "trend"])
+
+
+def _bounds_sql() -> str:
+    return ", ".join(f"round(f {sign} {z} * sqrt(s2 * (1 + later)), 4) AS {name}" for name, sign, z in
+                     (("lo80", "-", _Z80), ("hi80", "+", _Z80), ("lo95", "-", _Z95), ("hi95", "+", _Z95)))
+
+
+@query("q_ses_bounds", f"""{DENSE_SQL_REC},{_ses_sql('s')},
+p AS (SELECT s.series_key, s.t, s.v AS level, CAST(NULL AS DOUBLE) AS e, alpha FROM s JOIN ses USING (series_key) WHERE s.t = 1
+      UNION ALL
+      SELECT p.series_key, s.t, p.level + p.alpha * (s.v - p.level), s.v - p.level, p.alpha FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1),
+v AS (SELECT series_key, var_samp(e) AS s2 FROM p GROUP BY 1),
+o AS (SELECT ses.series_key, step, level AS f, s2, (step - 1) * alpha * alpha AS later FROM ses JOIN v USING (series_key), range(1, {H} + 1) r(step))
+SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f, 4) AS point, {_bounds_sql()} FROM o""")
+def q_ses_bounds(spark, sf):
+    """SES forecasts with 80 and 95 % bounds (121)."""
+    x = stage(all_series(spark, sf), "series")
+    out = SM.smoothing_bounds(x, stage(SM.ses(x, KEYS, steps=SES_STEPS), "ses"), KEYS, H)
+    return _rounded(out, ["point", "lo80", "hi80", "lo95", "hi95"])
+
+
+@query("q_holt_bounds", f"""{DENSE_SQL_REC},{_HOLT_SQL},
+v AS (SELECT series_key, var_samp(x - fitted) AS s2 FROM p GROUP BY 1),
+o AS (SELECT holt.series_key, step, level + step * trend AS f, s2,
+             coalesce((SELECT sum(alpha * (1 + j * beta) * alpha * (1 + j * beta)) FROM range(1, {H} + 1) q(j) WHERE j < step), 0) AS later
+      FROM holt JOIN v USING (series_key), range(1, {H} + 1) r(step))
+SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f, 4) AS point, {_bounds_sql()} FROM o""")
+def q_holt_bounds(spark, sf):
+    """Holt forecasts with 80 and 95 % bounds (121)."""
+    x = stage(all_series(spark, sf), "series")
+    out = SM.smoothing_bounds(x, stage(SM.holt(x, KEYS, steps=HOLT_STEPS), "holt"), KEYS, H, trend=True)
+    return _rounded(out, ["point", "lo80", "hi80", "lo95", "hi95"])
 
 
 @query("q_holt_winters")

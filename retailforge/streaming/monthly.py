@@ -49,7 +49,7 @@ def read_monthly_clv(spark: SparkSession, base: str, series: list[str], customer
     p = (spark.read.parquet(f"{base}/partials").groupBy(*series, "MnthYr")
               .agg(F.sum("rev").cast("double").alias("total_Rev"), F.sum("pur").alias("total_Pur")))
     c = (spark.read.parquet(f"{base}/customers").select(*series, "MnthYr", customer).distinct()
-              .groupBy(*series, "MnthYr").agg(F.count(F.lit(1)).alias("total_Cust")))
+              .groupBy(*series, "MnthYr").agg(F.count(customer).alias("total_Cust")))
     g = p.join(c, series + ["MnthYr"])
     if drop_months:
         g = g.where(~F.col("MnthYr").isin(list(drop_months)))

@@ -242,3 +242,30 @@ def test_auto_arima_keeps_every_series(spark):
     assert set(got) == {"ok", "constant", "one", "gap"}
     assert len(got["ok"]) == 2 and got["ok"][0].point is not None and "(" in got["ok"][0].order
     assert got["one"][0].order == "no admissible model" and got["gap"][0].order == "no admissible model"
+
+
+def test_every_series_fit_reports_a_status(spark):
+    """Constant, zero, one-point and gap series survive all fits; good ones are not disturbed."""
+    from retailforge.operators import smoothing as SM
+    rows = [("flat", i + 1, 4.0) for i in range(30)] + [("zero", i + 1, 0.0) for i in range(30)] + [("one", 1, 2.0)]
+    rows += [("gap", i + 1, None if i in (4, 9) else float(5 + i * i % 7)) for i in range(30)] + [("good", i + 1, float(5 + i * i % 7 + i % 12)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t int, value double")
+    status = {f.__name__: {r.k: r.status for r in f(df, ["k"]).select("k", "status").distinct().collect()}
+              for f in (SM.ses, SM.holt, SM.holt_winters, SM.arima_forecasts, SM.arima_fitted)}
+    for name, got in status.items():
+        assert set(got) == {"flat", "zero", "one", "gap", "good"} and got["good"] == "ok" and got["gap"] == "missing values", name
+    assert status["ses"]["flat"] == status["holt"]["zero"] == "ok" and status["holt"]["one"] == "fewer than 2 months"
+    assert status["arima_forecasts"]["flat"] == status["arima_fitted"]["zero"] == "constant series"
+    assert "zeros" in status["holt_winters"]["zero"] and status["holt_winters"]["flat"] == "ok"
+    path = SM.smoothing_path(df, SM.ses(df, ["k"], steps=10), ["k"])
+    assert {r.k: r.n for r in path.groupBy("k").agg(F.count("*").alias("n")).collect()} == {"flat": 30, "zero": 30, "one": 1, "good": 30}
+    bounds = SM.smoothing_bounds(df, SM.ses(df, ["k"], steps=10), ["k"], 2).where("k = 'one'").collect()
+    assert all(r.point == 2.0 and r.lo80 is None for r in bounds)
+
+
+def test_monthly_clv_counts_lines_without_a_customer(spark):
+    from retailforge.operators.aggregates import monthly_clv
+    df = spark.createDataFrame([("2011-01-03", 10.0, 1, 2), ("2011-01-09", 7.0, None, 3), ("2011-02-01", 4.0, None, 1)],
+                               "ts string, rev double, c int, q int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.MnthYr: (r.total_Rev, r.total_Pur, r.total_Cust) for r in monthly_clv(df, "ts", "rev", "c", "q").collect()}
+    assert got == {"2011-01": (17.0, 5, 1), "2011-02": (4.0, 1, 0)}

@@ -1,14 +1,15 @@
 """Published results of the reference, copied as literals (source: its dashboard CSV exports).
 
 ARIMA(0,0,1) with mean on the two monthly CLV series must reproduce the
-published forecasts and bounds; the seasonal (1,0,0)(1,0,0)[12] model on the
-first 45 months of the third series its point forecasts.
+published forecasts and bounds; the order search on the first 45 months of the
+third series must find the published seasonal model and its forecasts.
 """
 
 import numpy as np
 import pytest
 
 from retailforge.operators.arima import fit_arima, sigma2_of
+from retailforge.operators.smoothing import auto_arima_forecasts
 
 # Monthly CLV series exported by the reference (13 and 20 months).
 UCI_CLV = [644.38178943513, 661.060121304753, 592.684653199642, 596.069865738661, 545.847322274219,
@@ -34,3 +35,40 @@ def test_arima_ma1_reproduces_published_forecast():
 def test_sigma2_df_correction():
     f = fit_arima(UCI_CLV, (0, 0, 1))
     assert sigma2_of(f, True) == pytest.approx(sigma2_of(f) * f.n / (f.n - f.npar))
+
+
+# First 45 months of the third monthly CLV series.
+THIRD_CLV = [473.374419354839, 201.746548387097, 843.214825396825, 463.116116666667, 411.897471428571,
+             503.990501694915, 522.013234375, 408.33797761194, 699.644834482759, 440.079256097561,
+             606.878728461539, 492.461956692913, 645.248485714286, 331.550863414634, 444.886144927536,
+             487.40011971831, 452.877440298507, 361.352, 470.158015873016, 596.472034375,
+             503.450861788618, 406.906537037037, 546.716465517241, 499.355608888889, 389.676270833333,
+             676.805837209302, 553.420388235294, 474.822474358974, 590.937284210526, 445.686688172043,
+             433.575344827586, 404.410394252874, 379.93285739645, 651.153769230769, 505.756334117647,
+             615.448589041096, 666.581682539683, 383.096103846154, 544.843704201681, 323.820116346154,
+             359.854055357143, 430.754604464286, 453.636509803922, 614.000079207921, 452.935793814433]
+# Its published 12-step forecast (point, lo80, hi80, lo95, hi95).
+THIRD_FC = [[464.019972517389, 320.462541496383, 607.577403538395, 244.467828008325, 683.572117026453],
+            [480.622284552038, 330.968247527781, 630.276321576295, 251.74618577101, 709.498383333066],
+            [455.455947261062, 305.2847577266, 605.627136795523, 225.788931967763, 685.122962554361],
+            [437.567081936072, 287.351118681619, 587.783045190525, 207.831591147134, 667.30257272501],
+            [524.228803307934, 374.008957025113, 674.448649590755, 294.487373939577, 753.970232676291],
+            [474.976289813649, 324.75610672299, 625.196472904308, 245.234345342155, 704.718234285143],
+            [542.056800920627, 391.836588615405, 692.277013225848, 312.314811769315, 771.798790071939],
+            [531.11251655146, 380.892301712178, 681.332731390743, 301.370523524637, 760.854509578284],
+            [509.619067309985, 359.398852250899, 659.839282369071, 279.877073947, 739.361060672969],
+            [502.679173730867, 352.458958652715, 652.899388809018, 272.937180338724, 732.42116712301],
+            [454.05358521562, 303.833370135815, 604.273800295425, 224.311591820948, 683.795578610292],
+            [502.891970753382, 352.671755673433, 653.112185833331, 273.14997735849, 732.633964148273]]
+
+
+def test_order_search_finds_the_published_seasonal_model(spark):
+    """Without being told the order; series without a model keep a row with a status."""
+    rows = [("third", i + 1, v) for i, v in enumerate(THIRD_CLV)] + [("flat", i + 1, 4.0) for i in range(30)] + [("one", 1, 2.0)]
+    rows += [("gap", i + 1, None if i == 4 else float(i * i % 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t int, value double")
+    got = auto_arima_forecasts(df, ["k"], h=12).toPandas()
+    third = got[got.k == "third"].sort_values("step")
+    assert set(third["order"]) == {"(1,0,0)(1,0,0)[12]"} and set(third["tried"]) == {12}
+    np.testing.assert_allclose(third[["point", "lo80", "hi80", "lo95", "hi95"]].to_numpy(float), THIRD_FC, rtol=1e-4)
+    assert dict(zip(got.k, got.status)) == {"third": "ok", "flat": "constant series", "one": "1 months are too few for a model", "gap": "missing values"}
