@@ -352,6 +352,14 @@ def q_rf_importance(spark, sf):
     return CL.permutation_importance(model, test, SEG_NUM + SEG_CAT)
 
 
+@query("q_rf_oob")
+def q_rf_oob(spark, sf):
+    """Out-of-bag confusion of a bootstrap forest (99)."""
+    train, _ = segment_model_frame(spark, sf)
+    votes, _ = CL.oob_forest(train, "cluster", SEG_NUM, SEG_CAT, num_trees=10)
+    return AG.confusion(votes, "cluster", "predicted")
+
+
 @query("q_multinomial")
 def q_multinomial(spark, sf):
     train, _ = segment_model_frame(spark, sf)

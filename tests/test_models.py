@@ -94,3 +94,30 @@ def test_hinge_models_take_factors(spark):
     assert effects["h(cq-0)"] == pytest.approx(2, abs=0.05)
     assert {r[0] for r in imp if r[1]} == {"cq", "x"}
     assert HG.mars_predict(df, kept, coef).where("abs(y - fitted) > 0.5").count() < 20
+
+
+def test_out_of_bag_votes_recounted(spark):
+    """Votes come only from trees whose bootstrap left the row out; weights are Poisson(1) and reproducible."""
+    from retailforge.operators import classify as CL
+    rng = np.random.default_rng(2)
+    rows = [(float(x), "a" if (x > 0.5) != (rng.uniform() < 0.1) else "b") for x in rng.uniform(0, 1, 400)]
+    df = spark.createDataFrame(rows, "x double, c string").repartition(3)
+    votes, error = CL.oob_forest(df, "c", ["x"], [], num_trees=6, mtry="all", max_depth=3)
+    ids = spark.range(400).withColumnRenamed("id", "__row")
+    w = ids.select([CL.bootstrap_weight("__row", t, 1).alias(f"w{t}") for t in range(6)]).toPandas().to_numpy()
+    assert w.mean() == pytest.approx(1, abs=0.08) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.03)
+    v = votes.toPandas()
+    assert len(v) == 400 and v["votes"].sum() > 0.25 * 6 * 400
+    seen = v[v["votes"] > 0]
+    e = error.first()
+    assert e.n == len(seen) == int(seen["predicted"].notna().sum())
+    assert e.oob_error == pytest.approx((seen["predicted"] != seen["c"]).mean()) and 0.04 < e.oob_error < 0.25
+
+
+def test_permutation_keeps_the_values(spark):
+    from retailforge.operators import classify as CL
+    df = spark.range(500).select("id", (F.col("id") * 2).alias("x"), F.col("id").alias("y"))
+    got = CL.permute_column(df, "x", "id").toPandas()
+    assert sorted(got["x"]) == sorted(range(0, 1000, 2)) and len(got) == 500
+    assert (got["x"] == 2 * got["y"]).sum() < 15 and CL.permute_column(df.repartition(5), "x", "id").toPandas().set_index("id")["x"].equals(
+        got.set_index("id")["x"].reindex(CL.permute_column(df.repartition(5), "x", "id").toPandas()["id"]))
