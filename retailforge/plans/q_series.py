@@ -142,7 +142,7 @@ p AS (SELECT s.series_key, s.t, s.v AS x, s.v AS level, CAST(NULL AS DOUBLE) AS
       UNION ALL
       SELECT p.series_key, s.t, s.v, p.level + p.alpha * (s.v - p.level), p.level, s.v - p.level, p.alpha
       FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1)
-SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x, 4) AS x, round(fitted, 4) AS fitted, round(residual, 4) AS residual, round(level, 4) AS level FROM p""")
+SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x + 1e-7::DOUBLE, 4) AS x, round(fitted + 1e-7::DOUBLE, 4) AS fitted, round(residual + 1e-7::DOUBLE, 4) AS residual, round(level + 1e-7::DOUBLE, 4) AS level FROM p""")
 def q_ses_path(spark, sf):
     """Level, fitted value and error of every month under the SES fit (120, 125)."""
     x = stage(all_series(spark, sf), "series")
@@ -150,7 +150,8 @@ def q_ses_path(spark, sf):
 
 
 def _rounded(df, cols):
-    return df.select(*[F.round(c, 4).alias(c) if c in cols else c for c in df.columns])
+    """Four decimals; the offset puts amounts that end half-way on one side in either engine."""
+    return df.select(*[F.round(F.col(c) + F.lit(1e-7), 4).alias(c) if c in cols else c for c in df.columns])
 
 
 _HOLT_SQL = """
@@ -175,8 +176,8 @@ p AS (SELECT s2.series_key, s2.t, s2.v AS x, s2.v AS level, s2.v - s1.v AS trend
 
 
 @query("q_holt_path", f"""{DENSE_SQL_REC},{_HOLT_SQL}
-SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x, 4) AS x, round(fitted, 4) AS fitted, round(x - fitted, 4) AS residual,
-       round(level, 4) AS level, round(trend, 4) AS trend FROM p""")
+SELECT {_KIND.format('p')}, CAST(t AS INTEGER) AS t, round(x + 1e-7::DOUBLE, 4) AS x, round(fitted + 1e-7::DOUBLE, 4) AS fitted, round(x - fitted + 1e-7::DOUBLE, 4) AS residual,
+       round(level + 1e-7::DOUBLE, 4) AS level, round(trend + 1e-7::DOUBLE, 4) AS trend FROM p""")
 def q_holt_path(spark, sf):
     """Level, trend, fitted value and error of every month under the Holt fit (120, 125)."""
     x = stage(all_series(spark, sf), "series")
@@ -184,7 +185,7 @@ def q_holt_path(spark, sf):
 
 
 def _bounds_sql() -> str:
-    return ", ".join(f"round(f {sign} {z} * sqrt(s2 * (1 + later)), 4) AS {name}" for name, sign, z in
+    return ", ".join(f"round(f {sign} {z} * sqrt(s2 * (1 + later)) + 1e-7::DOUBLE, 4) AS {name}" for name, sign, z in
                      (("lo80", "-", _Z80), ("hi80", "+", _Z80), ("lo95", "-", _Z95), ("hi95", "+", _Z95)))
 
 
@@ -194,7 +195,7 @@ p AS (SELECT s.series_key, s.t, s.v AS level, CAST(NULL AS DOUBLE) AS e, alpha F
       SELECT p.series_key, s.t, p.level + p.alpha * (s.v - p.level), s.v - p.level, p.alpha FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1),
 v AS (SELECT series_key, var_samp(e) AS s2 FROM p GROUP BY 1),
 o AS (SELECT ses.series_key, step, level AS f, s2, (step - 1) * alpha * alpha AS later FROM ses JOIN v USING (series_key), range(1, {H} + 1) r(step))
-SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f, 4) AS point, {_bounds_sql()} FROM o""")
+SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f + 1e-7::DOUBLE, 4) AS point, {_bounds_sql()} FROM o""")
 def q_ses_bounds(spark, sf):
     """SES forecasts with 80 and 95 % bounds (121)."""
     x = stage(all_series(spark, sf), "series")
@@ -207,7 +208,7 @@ v AS (SELECT series_key, var_samp(x - fitted) AS s2 FROM p GROUP BY 1),
 o AS (SELECT holt.series_key, step, level + step * trend AS f, s2,
              coalesce((SELECT sum(alpha * (1 + j * beta) * alpha * (1 + j * beta)) FROM range(1, {H} + 1) q(j) WHERE j < step), 0) AS later
       FROM holt JOIN v USING (series_key), range(1, {H} + 1) r(step))
-SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f, 4) AS point, {_bounds_sql()} FROM o""")
+SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, round(f + 1e-7::DOUBLE, 4) AS point, {_bounds_sql()} FROM o""")
 def q_holt_bounds(spark, sf):
     """Holt forecasts with 80 and 95 % bounds (121)."""
     x = stage(all_series(spark, sf), "series")
