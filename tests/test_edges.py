@@ -269,3 +269,16 @@ def test_monthly_clv_counts_lines_without_a_customer(spark):
                                "ts string, rev double, c int, q int").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.MnthYr: (r.total_Rev, r.total_Pur, r.total_Cust) for r in monthly_clv(df, "ts", "rev", "c", "q").collect()}
     assert got == {"2011-01": (17.0, 5, 1), "2011-02": (4.0, 1, 0)}
+
+
+def test_split_and_balance_select_by_rank(spark):
+    """Against a sort on the driver; NULL classes, one row, empty tables."""
+    from retailforge.operators import sampling as SP
+    df = spark.range(300).select("id", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, F.lit("a")).otherwise(F.lit("b")).alias("c"))
+    rows = df.withColumn("h", SP.seeded_hash("id", 3)).collect()
+    first = {r.id for r in sorted(rows, key=lambda r: (r.h, r.id))[:210]}
+    assert {r.id for r in SP.train_test_split(df, "id", 0.7).where("set = 'train'").collect()} == first
+    want = {r.id for c in ("a", "b", None) for r in sorted((r for r in rows if r.c == c), key=lambda r: (r.h, r.id))[:43]}
+    assert {r.id for r in SP.balance_classes(df, "c", "id").collect()} == want
+    assert SP.train_test_split(df.limit(0), "id").count() == 0 and SP.balance_classes(df.limit(0), "c", "id").count() == 0
+    assert [r["set"] for r in SP.train_test_split(df.limit(1), "id").collect()] == ["test"]
