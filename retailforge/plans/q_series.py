@@ -82,9 +82,26 @@ def q_acf(spark, sf):
              .withColumn("k", F.col("k").cast("int"))
 
 
-@query("q_pacf")
+@query("q_pacf", f"""{DENSE_SQL_REC},
+st AS (SELECT series_kind, series_key, avg(value) AS m, count(*) AS n FROM dense GROUP BY 1, 2),
+x AS (SELECT d.series_kind, d.series_key, d.t, d.value - st.m AS xc, st.n,
+             least(CAST(floor(10 * log10(st.n)) AS INTEGER), st.n - 1) AS maxlag
+      FROM dense d JOIN st USING (series_kind, series_key)),
+lags AS (SELECT x.*, unnest(range(0, maxlag + 1)) AS k FROM x),
+num AS (SELECT a.series_kind, a.series_key, a.k, sum(a.xc * b.xc) AS num FROM lags a JOIN x b
+        ON a.series_kind = b.series_kind AND a.series_key = b.series_key AND b.t = a.t - a.k GROUP BY 1, 2, 3),
+den AS (SELECT series_kind, series_key, sum(xc * xc) AS den, first(n) AS n FROM x GROUP BY 1, 2),
+rs AS (SELECT series_kind, series_key, any_value(n) AS n, list(num / den ORDER BY k) AS r FROM num JOIN den USING (series_kind, series_key) GROUP BY 1, 2),
+dl AS (SELECT series_kind, series_key, n, r, 1 AS k, [r[2]] AS phi, r[2] AS a FROM rs WHERE len(r) > 1
+       UNION ALL
+       SELECT series_kind, series_key, n, r, k + 1,
+              list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), b
+       FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) /
+                       (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS b FROM dl WHERE k + 1 < len(r)))
+SELECT series_kind, series_key, CAST(k AS INTEGER) AS k, round(a, 8) AS pacf, round(1.96 / sqrt(n), 9) AS bound, abs(a) > 1.96 / sqrt(n) AS significant FROM dl""")
 def q_pacf(spark, sf):
-    return TS.pacf(TS.acf(dense_series(spark, sf), KEYS), KEYS)
+    p = TS.pacf(TS.acf(dense_series(spark, sf), KEYS), KEYS)
+    return p.withColumn("pacf", F.round("pacf", 8)).withColumn("bound", F.round("bound", 9))
 
 
 SES_STEPS, HOLT_STEPS = 1000, 50
