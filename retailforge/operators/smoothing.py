@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailforge.operators import arima as AR
+from retailforge.session import release, stage
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def _grid_fit(df: DataFrame, keys: list[str], value: str, least: int, steps: int
     (sse, parameters) wins.  Series without a fit keep one row, with NULL
     parameters and their status.
     """
-    arr = series_arrays(df, keys, value).withColumn("status", _status(least))
+    arr = stage(series_arrays(df, keys, value).withColumn("status", _status(least)), "fit-series")  # read twice
     n, wide = max(1, -(-steps // GRID_PARTS)), steps
     part = F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))).alias("part")
     rows = spread(arr.where("status = 'ok'").select(*keys, "x", part), [*keys, "part"])
@@ -353,7 +354,6 @@ def auto_arima_forecasts(df: DataFrame, keys: list[str], h: int = 3, period: int
     report the walk; a series without an admissible model keeps one row with
     its status.
     """
-    from retailforge.session import release, stage
     key_types = df.select(*keys).dtypes
     kschema = [f"`{k}` {t}" for k, t in key_types]
     arr = stage(series_arrays(df, keys, value), "order-series")
