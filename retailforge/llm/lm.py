@@ -1,22 +1,22 @@
 """Language-model scoring by deleted interpolation.
 
-Tokens are lower-cased words and one end mark per text.  Words that make up
-at least one in ``VOCABULARY`` of all training tokens are symbols of their
-own - there are at most ``VOCABULARY`` of them, so their counts may travel to
-every task - and all rarer words share one class symbol, inside which a word
-counts by its exact frequency.  The probability of a word after its
-predecessor mixes three maximum-likelihood estimates
-
-    l2 * c(v, x) / c(v) * e(w)  +  l1 * c(w) / N  +  l0 / (V + 1)
-
-(v, x the symbols, e(w) the word's share of its symbol), with weights per
-bucket of the context's frequency.  Expectation-maximisation learns them on
-deleted counts: each occurrence is held out of the counts that predict it.
-
-Texts are counted in chunks.  A chunk lists its different symbol pairs and
-rare words once, whatever their number, so a frequent pair reaches its
-counting task as one number per chunk; the totals return to the chunk, which
-has kept the positions, and are summed up per text there.
+Tokens are lower-cased words and one end mark per text.  The probability of a
+word w after its predecessor v (the end mark before the first word) mixes three
+maximum-likelihood estimates
+
+    l2 * c(v, w) / c(v)  +  l1 * c(w) / N  +  l0 / (V + 1)
+
+with weights per bucket of the context's frequency.  Expectation-maximisation
+learns them on deleted counts: each training occurrence is held out of the
+counts that predict it.  Every word and every pair of words that training has
+keeps its own count, whatever its frequency and the size of the corpus.
+
+Texts are counted in chunks.  A chunk is written once, as its different words
+(64-bit hashes) and the number of the word at each position.  It lists its
+different words and pairs (64-bit hashes of both words' hashes) with their
+training counts once, so a frequent pair reaches its counting task as one
+number per chunk; the totals return to the chunk in the order of its list.
+Both the deleted estimates for the weights and the scores are taken there.
 """
 
 from __future__ import annotations
@@ -32,200 +32,181 @@ from pyspark.sql import functions as F
 from retailforge.llm import wordnum as W
 from retailforge.llm.common import column, sorted_groups
 from retailforge.llm.langid import is_held_out
-from retailforge.session import checkpoint_dir, stage
+from retailforge.session import checkpoint_dir, discard, stage
 
 MOD, HELD = 7, 2
-#: a symbol of its own has at least this share of the training tokens
-VOCABULARY = 1_000_000
 #: bytes of text and number of texts of a chunk
 CHUNK, CHUNK_TEXTS = 6 << 20, 60_000
+#: words and pairs that chunks list, per counting partition on average
+ENTRIES = 2_000_000
 #: rounds of expectation-maximisation, and the step of its probability bins in decades
 ROUNDS, BIN = 30, 0.1
+#: buckets of context frequency, and cells that a task holds before it adds them up
+BUCKETS, CELLS = 64, 1 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
-def _unique_sum(keys: np.ndarray, counts: np.ndarray):
-    u, back = np.unique(keys, return_inverse=True)
-    return u, np.bincount(back, counts, len(u)).astype(np.int64)
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the smallest of one, two, four or eight bytes each; the first byte tells which."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
-def _word_counts(batches):
-    """``text`` of training rows -> words (hash) and counts, summed over the partition while memory allows."""
-    keys, counts, held, ends = [], [], 0, 0
+def _wide(blob) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+class Chunk:
+    """Some texts: ``words`` (different hashes, ascending), ``at`` (word of each token, ends included), tokens per text."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, tokens: np.ndarray, held: np.ndarray):
+        self.words, self.at, self.tokens = words, at, tokens
+        self.text = np.repeat(np.arange(len(tokens)), tokens)
+        self.train = ~held[self.text]
+        end = int(np.searchsorted(words, END))
+        before = np.append(end, at[:-1])
+        before[np.cumsum(tokens) - tokens] = end
+        #: word before each token
+        self.before = before
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, n_words: np.ndarray, held: np.ndarray) -> Chunk:
+        flat = np.insert(hashes, np.cumsum(n_words), END)  # one end mark behind each text
+        words, at = np.unique(flat, return_inverse=True)
+        return cls(words, at.astype(np.int64), n_words + 1, held)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the different pairs (ascending) and the pair of each token."""
+        local, pair = np.unique(self.before * len(self.words) + self.at, return_inverse=True)
+        v, w = local // len(self.words), local % len(self.words)
+        keys = W.mix(self.words[v] * np.uint64(3) + W.mix(self.words[w]))
+        # two pairs of one key are one entry; the order of the list is that of the keys
+        keys, to = np.unique(keys, return_inverse=True)
+        return keys, to[pair]
+
+
+def _parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending keys by (counting partition, key), and where each partition starts in it."""
+    part = (W.mix(keys) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+_CHUNK = "chunk long, doc_id array<long>, held array<boolean>, n_tokens array<long>, words binary, at binary, entries long"
+
+
+def _chunks(batches):
+    """``doc_id, held, text`` -> one row per chunk."""
+    pid, number = TaskContext.get().partitionId(), 0
+    docs, held, sizes, words = [], [], [], []
+    size = 0
 
     def flush():
-        if not keys:
-            return None
-        u, c = _unique_sum(np.concatenate(keys), np.concatenate(counts))
-        return u, c
+        c = Chunk.of(np.concatenate(words), np.array(sizes, np.int64), np.array(held, bool))
+        values = (pid << 32 | number, docs, held, c.tokens.tolist(), c.words.astype("<u8").tobytes(), _narrow(c.at), len(c.words) + len(c.at))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)],
+                                          names=["chunk", "doc_id", "held", "n_tokens", "words", "at", "entries"])
 
     for batch in batches:
-        ends += batch.num_rows
-        for b in W.blocks(batch.column(0), W.NONSPACE):
-            u, c = np.unique(b.hashes, return_counts=True)
-            keys.append(u)
-            counts.append(c)
-            held += len(u)
-        if held > 2_000_000:
-            u, c = flush()
-            if len(u) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["word", "n"])
-                u, c = u[:0], c[:0]
-            keys, counts, held = [u], [c], len(u)
-    if ends:
-        keys.append(np.array([END], np.uint64))
-        counts.append(np.array([ends]))
-    out = flush()
-    if out is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], names=["word", "n"])
-
-
-class Symbols:
-    """Frequent words with their counts; the symbol after the last is the class of all rarer words."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, rare_types: int):
-        self.keys, self.n, self.v, self.rare_types = keys, n, v, rare_types
-        self.rare = len(keys)
-        self.counts = np.append(counts, n - int(counts.sum()))
-        self.base = self.rare + 1
-        self.end = int(self.of(np.array([END], np.uint64))[0])
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not self.rare:
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), self.rare - 1)
-        return np.where(self.keys[at] == words, at, self.rare)
-
-
-def _blob(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x.astype(kind)).tobytes()
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, in four bytes each where they fit."""
-    d = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
-    small = not len(d) or d.max() < 1 << 32
-    return (b"4" if small else b"8") + _blob(d, "<u4" if small else "<u8")
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, "<u4" if blob[:1] == b"4" else "<u8", offset=1).astype(np.uint64))
-
-
-class _Side:
-    """Different keys of a chunk in counting partitions, their training counts, and their occurrences."""
-
-    def __init__(self, keys, train, parts):
-        self.keys, back = np.unique(keys, return_inverse=True)
-        part = (W.mix(self.keys) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.keys, self.at = self.keys[order], np.searchsorted(part[order], np.arange(parts + 1))
-        back = rank[back]
-        self.count = np.bincount(back[train], minlength=len(order))
-        self.times = np.bincount(back, minlength=len(order))
-        self.order = np.argsort(back, kind="stable")
-        self.stop = np.concatenate([[0], np.cumsum(self.times)])
-
-    def columns(self, values: list[tuple[np.ndarray, str]]):
-        """Per partition: keys, training counts, occurrences per key, and the values of the occurrences."""
-        out = [[] for _ in range(3 + len(values))]
-        values = [(v[self.order], k) for v, k in values]
-        for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist()):
-            u, v = int(self.stop[a]), int(self.stop[b])
-            out[0].append(_packed(self.keys[a:b]))
-            out[1].append(_blob(self.count[a:b], "<u4"))
-            out[2].append(_blob(self.times[a:b], "<u4"))
-            for k, (x, kind) in enumerate(values):
-                out[3 + k].append(_blob(x[u:v], kind))
-        return out
-
-
-_CHUNK_COLUMNS = ["a_key", "a_count", "a_times", "a_doc", "b_key", "b_count", "b_times", "b_doc", "b_context"]
-_CHUNK = "chunk long, doc_id array<long>, held array<boolean>, n_tokens array<long>, " + ", ".join(f"{c} array<binary>" for c in _CHUNK_COLUMNS)
-
-
-def _chunks(symbols, parts: int):
-    def run(batches):
-        s = symbols.value
-        pid, number = TaskContext.get().partitionId(), 0
-        docs, held, sizes, words = [], [], [], []
-        size = 0
+        ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for b in W.blocks(batch.column(2), W.NONSPACE):
+            docs += ids[b.row:b.row + len(b)]
+            held += out[b.row:b.row + len(b)]
+            sizes += np.diff(b.first).tolist()
+            words.append(b.hashes)
+            size += len(b.data)
+            if size >= CHUNK or len(docs) >= CHUNK_TEXTS:
+                yield flush()
+                number += 1
+                docs, held, sizes, words, size = [], [], [], [], 0
+    if docs:
+        yield flush()
 
-        def flush():
-            n = np.array(sizes, np.int64)
-            flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-            # one end mark behind each text
-            stop = np.cumsum(n)
-            flat = np.insert(flat, stop, END)
-            doc = np.repeat(np.arange(len(n)), n + 1)
-            x = s.of(flat)
-            v = np.append(s.end, x[:-1])
-            v[np.concatenate([[0], np.cumsum(n + 1)[:-1]])] = s.end
-            train = ~np.array(held, bool)[doc]
-            a = _Side((v * s.base + x).astype(np.uint64), train, parts).columns([(doc, "<u2")])
-            r = x == s.rare
-            b = _Side(flat[r], train[r], parts).columns([(doc[r], "<u2"), (v[r], "<u4")])
-            cols = [pa.array([pid << 32 | number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([(n + 1).tolist()], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols + [pa.array([x], pa.list_(pa.binary())) for x in a + b],
-                                              names=["chunk", "doc_id", "held", "n_tokens", *_CHUNK_COLUMNS])
-
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for b in W.blocks(batch.column(2), W.NONSPACE):
-                docs += ids[b.row:b.row + len(b)]
-                held += out[b.row:b.row + len(b)]
-                sizes += np.diff(b.first).tolist()
-                words.append(b.hashes)
-                size += len(b.data)
-                if size >= CHUNK or len(docs) >= CHUNK_TEXTS:
-                    yield flush()
-                    number += 1
-                    docs, held, sizes, words, size = [], [], [], [], 0
-        if docs:
-            yield flush()
-    return run
 
+def _read_chunk(batch, names, k) -> Chunk:
+    get = lambda c: batch.column(names[c])[k].as_py()
+    return Chunk(np.frombuffer(get("words"), "<u8").astype(np.uint64), _wide(get("at")), np.array(get("n_tokens"), np.int64),
+                 np.array(get("held"), bool))
 
-_COUNTED = "kind int, chunk long, p long, a binary, b binary"
 
+_LISTED = "p long, chunk long, words binary, word_n binary, pairs binary, pair_n binary"
 
-def _count(symbols):
-    """Sorted ``p, chunk, a_key, a_count, b_key, b_count`` -> totals for each chunk, and the pairs' bins for the weights.
 
-    Kind 0: totals in the order of the chunk's keys.  Kind 1: bins of
-    (context bucket, bigram, unigram estimate).  Kind 2: counts of the rare
-    class after each context.
-    """
+def _listed(parts: int):
+    """Chunks -> per counting partition that it has entries in: its words and pairs and their training counts."""
     def run(batches):
-        s = symbols.value
-        for parts in sorted_groups(batches, 1):
-            p = int(parts[0].column(0)[0].as_py())
-            chunk = column(parts, 1).to_pylist()
-            totals = []
-            for k in (2, 4):
-                keys = [_unpacked(x) for x in column(parts, k).to_pylist()]
-                counts = [np.frombuffer(x, "<u4") for x in column(parts, k + 1).to_pylist()]
-                u, total = _unique_sum(np.concatenate(keys), np.concatenate(counts))
-                totals.append([total[np.searchsorted(u, x)] for x in keys])
-                if k == 2:
-                    pairs, n = u, total
-            for c, a, b in zip(chunk, *totals):
-                wide = max(a.max(initial=0), b.max(initial=0)) >= 1 << 32
-                kind = "<u8" if wide else "<u4"
-                yield _row(0, c, p, _blob(a, kind), _blob(b, kind))
-            v, x = (pairs // np.uint64(s.base)).astype(np.int64), (pairs % np.uint64(s.base)).astype(np.int64)
-            rare = (x == s.rare) & (n > 0)
-            yield _row(2, 0, p, _blob(v[rare], "<u4"), _blob(n[rare], "<u8"))
-            yield _row(1, 0, p, *_bins(s, v, x, n))
+        for batch in batches:
+            names = {n: i for i, n in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                c = _read_chunk(batch, names, k)
+                chunk = batch.column(names["chunk"])[k].as_py()
+                keys, pair = c.pairs()
+                sides = []
+                for key, at in ((c.words, c.at), (keys, pair)):
+                    n = np.bincount(at[c.train], minlength=len(key))
+                    order, cut = _parted(key, parts)
+                    sides.append((key[order].astype("<u8"), n[order], cut))
+                used = np.flatnonzero(np.diff(sides[0][2]) + np.diff(sides[1][2]))
+                for some in np.array_split(used, max(1, len(used) // 256)):
+                    if not len(some):
+                        continue
+                    cols = [[], [], [], []]
+                    for j, (key, n, cut) in enumerate(sides):
+                        for p in some.tolist():
+                            a, b = cut[p], cut[p + 1]
+                            cols[2 * j].append(key[a:b].tobytes())
+                            cols[2 * j + 1].append(_narrow(n[a:b]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in cols]],
+                        names=["p", "chunk", "words", "word_n", "pairs", "pair_n"])
     return run
 
 
-def _row(*x):
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds)], names=["kind", "chunk", "p", "a", "b"])
+#: chunk number of the row that carries a partition's number of different training words
+STATISTICS = -1
+_COUNTED = "chunk long, p long, words binary, pairs binary"
+
+
+def _counted(batches):
+    """Sorted ``_LISTED`` rows -> totals for each chunk in the order of its keys, and one row of statistics a partition."""
+    def row(*x):
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds)], names=["chunk", "p", "words", "pairs"])
+
+    for group in sorted_groups(batches, 1):
+        p = int(group[0].column(0)[0].as_py())
+        chunk, sides, types = column(group, 1).to_pylist(), [], 0
+        for k in (2, 4):
+            keys = [np.frombuffer(x, "<u8") for x in column(group, k).to_pylist()]
+            counts = [_wide(x) for x in column(group, k + 1).to_pylist()]
+            u, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(u), np.int64)
+            np.add.at(total, back, np.concatenate(counts))
+            if k == 2:
+                types = int((total > 0).sum())
+            stop = np.cumsum([len(x) for x in keys])
+            sides.append([total[back[b - len(x):b]] for x, b in zip(keys, stop.tolist())])
+        for c, words, pairs in zip(chunk, *sides):
+            yield row(c, p, _narrow(words), _narrow(pairs))
+        yield row(STATISTICS, p, _narrow(np.array([types])), b"")
+
+
+class Counts:
+    """Training totals of a chunk's tokens: ``n`` of the pair, ``v`` of the word before, ``w`` of the word."""
+
+    def __init__(self, c: Chunk, totals: list, parts: int):
+        totals = {t["p"]: t for t in totals}
+        keys, pair = c.pairs()
+        got = []
+        for key, name in ((c.words, "words"), (keys, "pairs")):
+            order, cut = _parted(key, parts)
+            total = np.zeros(len(key), np.int64)
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                total[order[cut[p]:cut[p + 1]]] = _wide(totals[p][name])
+            got.append(total)
+        self.w, self.v, self.n = got[0][c.at], got[0][c.before], got[1][pair]
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -233,22 +214,56 @@ def bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.int64)
 
 
-def _bins(s: Symbols, v, x, n):
-    """Deleted estimates of the training occurrences, gathered in bins: keys, then (weight, bigram mass, unigram mass)."""
-    seen = n > 0
-    v, x, n = v[seen], x[seen], n[seen].astype(float)
-    share = np.where(x == s.rare, 1.0 / max(1, s.rare_types), 1.0)
-    p2 = (n - 1) / np.maximum(s.counts[v] - 1, 1) * share
-    p1 = np.maximum(s.counts[x] - 1, 0) / max(s.n - 1, 1) * share
-    floor = 1.0 / (s.v + 1)
+def deleted_cells(v, w, n, total: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deleted estimates of training occurrences, gathered in cells: keys, then (occurrences, bigram mass, unigram mass).
+
+    ``v, w, n`` are the totals of the context, the word and the pair at each occurrence, itself included.
+    """
+    p2 = (n - 1) / np.maximum(v - 1, 1)
+    p1 = (w - 1) / max(total - 1, 1)
+    floor = 1.0 / (types + 1)
     q = [np.where(p > 0, np.clip(np.round(np.log10(np.maximum(p, 1e-300) / floor) / BIN), -500, 500) + 501, 0).astype(np.int64) for p in (p2, p1)]
-    u, back = np.unique((bucket(s.counts[v]) * 1024 + q[0]) * 1024 + q[1], return_inverse=True)
-    sums = np.stack([np.bincount(back, n, len(u)), np.bincount(back, n * p2, len(u)), np.bincount(back, n * p1, len(u))], 1)
-    return _blob(u, "<i8"), _blob(sums, "<f8")
+    u, back = np.unique((bucket(v) * 1024 + q[0]) * 1024 + q[1], return_inverse=True)
+    return u, np.stack([np.bincount(back, x, len(u)) for x in (np.ones(len(back)), p2, p1)], 1)
+
+
+_CELLS = "cell long, n double, bigram double, unigram double"
+
+
+def _cells(parts: int, total: int, types: int):
+    """Chunks with their totals -> cells, added up inside the task."""
+    def run(batches):
+        keys, sums, held = [], [], 0
 
+        def flush():
+            u, back = np.unique(np.concatenate(keys), return_inverse=True)
+            x = np.concatenate(sums)
+            return u, np.stack([np.bincount(back, x[:, j], len(u)) for j in range(3)], 1)
 
-def learn_weights(cells: dict[int, np.ndarray], v: int, buckets: int = 64) -> np.ndarray:
-    """Mixture weights (buckets, [uniform, unigram, bigram]) by expectation-maximisation over the bins."""
+        for batch in batches:
+            names = {n: i for i, n in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                c = _read_chunk(batch, names, k)
+                if not c.train.any():
+                    continue
+                t = Counts(c, batch.column(names["totals"])[k].as_py(), parts)
+                u, s = deleted_cells(t.v[c.train], t.w[c.train], t.n[c.train], total, types)
+                keys.append(u)
+                sums.append(s)
+                held += len(u)
+                if held > CELLS:
+                    u, s = flush()
+                    keys, sums, held = [u], [s], len(u)
+        if keys:
+            u, s = flush()
+            for a in range(0, len(u), 50_000):
+                b = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(u[b]), *[pa.array(s[b, j]) for j in range(3)]], names=["cell", "n", "bigram", "unigram"])
+    return run
+
+
+def learn_weights(cells: dict[int, np.ndarray], v: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Mixture weights (buckets, [uniform, unigram, bigram]) by expectation-maximisation over the cells."""
     out = np.tile(np.array([0.01, 0.98, 0.01]), (buckets, 1))
     by: dict[int, list] = {}
     for key, x in cells.items():
@@ -275,82 +290,43 @@ def learn_weights(cells: dict[int, np.ndarray], v: int, buckets: int = 64) -> np
     return out
 
 
-class Model:
-    def __init__(self, symbols: Symbols, weights: np.ndarray, rare_after: np.ndarray):
-        self.s, self.weights = symbols, weights
-        self.bucket = bucket(symbols.counts)
-        #: probability of the rare class after each context
-        self.rare_after = rare_after / np.maximum(symbols.counts, 1)
-
-    def symbol_logs(self, v, x, n) -> np.ndarray:
-        """log10 probability of frequent word x after context v that were seen together n times."""
-        s, w = self.s, self.weights[self.bucket[v]]
-        p = w[:, 2] * n / np.maximum(s.counts[v], 1) + w[:, 1] * s.counts[x] / max(s.n, 1) + w[:, 0] / (s.v + 1)
-        return np.log10(p)
-
-    def rare_logs(self, v, c) -> np.ndarray:
-        """log10 probability of a word of the rare class with count c after context v."""
-        s, w = self.s, self.weights[self.bucket[v]]
-        mass = max(int(s.counts[s.rare]), 1)
-        return np.log10(w[:, 2] * self.rare_after[v] * c / mass + w[:, 1] * c / max(s.n, 1) + w[:, 0] / (s.v + 1))
+def token_logs(weights: np.ndarray, v, w, n, total: int, types: int) -> np.ndarray:
+    """log10 probability of words of count ``w`` after contexts of count ``v`` that were seen together ``n`` times."""
+    m = weights[bucket(v)]
+    return np.log10(m[:, 2] * n / np.maximum(v, 1) + m[:, 1] * w / max(total, 1) + m[:, 0] / (types + 1))
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(shared):
-    """``doc_id, held, n_tokens, chunk columns..., totals`` -> one row per text."""
+def _score(parts: int, weights: np.ndarray, total: int, types: int):
+    """Chunks with their totals -> one row per text."""
     def run(batches):
-        m = shared.value
-        s = m.s
         for batch in batches:
             names = {n: i for i, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
-                get = lambda c: batch.column(names[c])[k].as_py()  # noqa: B023, E731
-                docs = get("doc_id")
-                d = len(docs)
-                known, base, score = np.zeros(d), np.zeros(d), np.zeros(d)
-                parts = {c: get(c) for c in _CHUNK_COLUMNS if not c.endswith("count")}
-                for t in get("totals"):
-                    p = t["p"]
-                    key, times = _unpacked(parts["a_key"][p]).astype(np.int64), np.frombuffer(parts["a_times"][p], "<u4")
-                    doc = np.frombuffer(parts["a_doc"][p], "<u2")
-                    v, x = key // s.base, key % s.base
-                    n = np.frombuffer(t["a"], "<u4" if len(t["a"]) == 4 * len(key) else "<u8").astype(float)
-                    own = x != s.rare
-                    c = np.where(own, s.counts[x], 0)
-                    for target, value in ((score, np.where(own, m.symbol_logs(v, x, n), 0.0)), (known, (own & (c > 0)).astype(float)),
-                                          (base, np.where(own, np.log10(c + 1.0), 0.0))):
-                        target += np.bincount(doc, np.repeat(value, times), d)
-                    times, doc = np.frombuffer(parts["b_times"][p], "<u4"), np.frombuffer(parts["b_doc"][p], "<u2")
-                    v = np.frombuffer(parts["b_context"][p], "<u4").astype(np.int64)
-                    c = np.frombuffer(t["b"], "<u4" if len(t["b"]) == 4 * len(times) else "<u8").astype(float)
-                    c = np.repeat(c, times)
-                    score += np.bincount(doc, m.rare_logs(v, c), d)
-                    known += np.bincount(doc, c > 0, d)
-                    base += np.bincount(doc, np.log10(c + 1.0), d)
-                tokens = np.array(get("n_tokens"), np.int64)
-                base -= tokens * np.log10(s.n + s.v + 1)
+                c = _read_chunk(batch, names, k)
+                t = Counts(c, batch.column(names["totals"])[k].as_py(), parts)
+                d = len(c.tokens)
+                known = np.bincount(c.text, t.w > 0, d).round().astype(np.int64)
+                base = np.bincount(c.text, np.log10(t.w + 1.0), d) - c.tokens * np.log10(total + types + 1)
+                score = np.bincount(c.text, token_logs(weights, t.v, t.w, t.n, total, types), d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(get("held"), pa.bool_()), pa.array(tokens), pa.array(known.round().astype(np.int64)),
+                    [batch.column(names["doc_id"])[k].values, batch.column(names["held"])[k].values, pa.array(c.tokens), pa.array(known),
                      pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
     return run
 
 
-def count_symbols(spark: SparkSession, train: DataFrame, vocabulary: int) -> Symbols:
-    """N, V and the frequent words of the training texts."""
-    words = stage(train.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total.n or 0), int(total.v or 0)
-    # at most `vocabulary` words can reach this share of the tokens
-    frequent = words.where(F.col("n") * vocabulary >= n).toArrow()
-    keys = frequent.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    counts = frequent.column("n").to_numpy().astype(np.int64)
-    o = np.argsort(keys)
-    return Symbols(keys[o], counts[o], n, v, v - len(keys))
+def _bucketed(df: DataFrame, name: str, buckets: int) -> tuple[str, str]:
+    """Write ``df`` as a table in buckets of chunks, so that chunks and their totals meet where they lie."""
+    spark: SparkSession = df.sparkSession
+    name = f"lm_{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/retailforge-stages/{name}"
+    df.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", path).saveAsTable(name)
+    return name, path
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: int = ENTRIES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per document.
 
     ``base_score`` is the add-one unigram log10 probability, ``score`` that
@@ -358,31 +334,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only; repeated rows count and are scored each; a row without an
     identifier is a training row.  Without training rows all probability is
     uniform over one unknown word.  An empty table gives no rows.
+    ``entries`` sizes the counting partitions: one holds about so many
+    (chunk, word or pair) entries.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), is_held_out(id_col, MOD, HELD).alias("held"),
                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    symbols = count_symbols(spark, src.where("NOT held"), vocabulary)
-    shared = spark.sparkContext.broadcast(symbols)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a table in buckets of chunks: the totals come to the chunks, the chunks stay where they are
-    name = f"lm_chunks_{uuid.uuid4().hex}"
-    (src.mapInArrow(_chunks(shared, parts), _CHUNK).write.bucketBy(parts, "chunk")
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/retailforge-stages/{name}").saveAsTable(name))
-    chunks = spark.table(name)
-    keys = chunks.select("chunk", F.posexplode(F.arrays_zip("a_key", "a_count", "b_key", "b_count")).alias("p", "x")).select(
-        F.col("p").cast("long").alias("p"), "chunk", "x.*")
-    counted = stage(keys.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_count(shared), _COUNTED), "pair-counts")
-    cells: dict[int, np.ndarray] = {}
-    rare_after = np.zeros(symbols.base)
-    for r in counted.where("kind > 0").select("kind", "a", "b").toLocalIterator():  # bounded by bins and by the vocabulary
-        if r.kind == 2:
-            rare_after[np.frombuffer(bytes(r.a), "<u4")] += np.frombuffer(bytes(r.b), "<u8")
-        else:
-            for k, x in zip(np.frombuffer(bytes(r.a), "<i8").tolist(), np.frombuffer(bytes(r.b), "<f8").reshape(-1, 3)):
-                cells[k] = cells[k] + x if k in cells else x
-    model = spark.sparkContext.broadcast(Model(symbols, learn_weights(cells, symbols.v), rare_after))
-    totals = counted.where("kind = 0").groupBy("chunk").agg(F.collect_list(F.struct("p", "a", "b")).alias("totals"))
-    wanted = ["doc_id", "held", "n_tokens", *[c for c in _CHUNK_COLUMNS if not c.endswith("count")], "totals"]
-    scored = chunks.join(totals.hint("merge"), "chunk").select(*wanted).mapInArrow(_score(model), _SCORED)
-    return scored.withColumn("train_tokens", F.lit(symbols.n).cast("long"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = [_bucketed(src.mapInArrow(_chunks, _CHUNK), "chunks", buckets)]
+    chunks = spark.table(made[0][0])
+    of_train = F.aggregate(F.arrays_zip("held", "n_tokens"), F.lit(0).cast("long"),
+                           lambda a, x: a + F.when(x["held"], F.lit(0)).otherwise(x["n_tokens"]))
+    size = chunks.agg(F.coalesce(F.sum(of_train), F.lit(0)).alias("n"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries")).first()
+    total, parts = int(size.n), max(buckets, -(-int(size.entries) // entries))
+    listed = chunks.select("chunk", "held", "n_tokens", "words", "at").mapInArrow(_listed(parts), _LISTED)
+    counted = listed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_counted, _COUNTED)
+    made.append(_bucketed(counted.repartition(buckets, "chunk"), "totals", buckets))
+    totals = spark.table(made[1][0])
+    types = sum(int(_wide(bytes(r.words))[0]) for r in totals.where(F.col("chunk") == STATISTICS).select("words").toLocalIterator())
+    per_chunk = totals.where(F.col("chunk") != STATISTICS).groupBy("chunk").agg(F.collect_list(F.struct("p", "words", "pairs")).alias("totals"))
+    joined = chunks.join(per_chunk.hint("merge"), "chunk")
+    cells = joined.select("held", "n_tokens", "words", "at", "totals").mapInArrow(_cells(parts, total, types), _CELLS)
+    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "bigram", "unigram")])
+    # bounded by context buckets and probability bins, whatever the input
+    weights = learn_weights({r.cell: np.array([r.n, r.bigram, r.unigram]) for r in cells.orderBy("cell").toLocalIterator()}, types)
+    scored = stage(joined.select("doc_id", "held", "n_tokens", "words", "at", "totals").mapInArrow(_score(parts, weights, total, types), _SCORED),
+                   "scores")
+    for name, path in made:
+        spark.sql(f"DROP TABLE {name}")
+        discard(spark, path)
+    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
