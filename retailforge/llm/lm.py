@@ -47,14 +47,29 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in the smallest of one, two, four or eight bytes each; the first byte tells which."""
-    top = int(x.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Whole numbers from 0, lowest bytes of all first, without the bytes that are zero in all; a first byte tells how many are left."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _wide(blob) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    width = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and differences."""
+    return keys[:1].astype("<u8").tobytes() + _narrow(np.diff(keys)) if len(keys) else b""
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(blob, "<u8", count=1).astype(np.uint64)
+    return np.cumsum(np.concatenate([first, _wide(blob[8:]).view(np.uint64)]), dtype=np.uint64)
 
 
 class Chunk:
@@ -86,11 +101,10 @@ class Chunk:
         return keys, to[pair]
 
 
-def _parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ascending keys by (counting partition, key), and where each partition starts in it."""
-    part = (W.mix(keys) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the counting partitions, equal ranges of the 64-bit hashes, start in ascending keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
 _CHUNK = "chunk long, doc_id array<long>, held array<boolean>, n_tokens array<long>, words binary, at binary, entries long"
@@ -146,8 +160,7 @@ def _listed(parts: int):
                 sides = []
                 for key, at in ((c.words, c.at), (keys, pair)):
                     n = np.bincount(at[c.train], minlength=len(key))
-                    order, cut = _parted(key, parts)
-                    sides.append((key[order].astype("<u8"), n[order], cut))
+                    sides.append((key, n, _cuts(key, parts)))
                 used = np.flatnonzero(np.diff(sides[0][2]) + np.diff(sides[1][2]))
                 for some in np.array_split(used, max(1, len(used) // 256)):
                     if not len(some):
@@ -156,7 +169,7 @@ def _listed(parts: int):
                     for j, (key, n, cut) in enumerate(sides):
                         for p in some.tolist():
                             a, b = cut[p], cut[p + 1]
-                            cols[2 * j].append(key[a:b].tobytes())
+                            cols[2 * j].append(_packed(key[a:b]))
                             cols[2 * j + 1].append(_narrow(n[a:b]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in cols]],
@@ -179,11 +192,10 @@ def _counted(batches):
         p = int(group[0].column(0)[0].as_py())
         chunk, sides, types = column(group, 1).to_pylist(), [], 0
         for k in (2, 4):
-            keys = [np.frombuffer(x, "<u8") for x in column(group, k).to_pylist()]
-            counts = [_wide(x) for x in column(group, k + 1).to_pylist()]
+            keys = [_unpacked(x) for x in column(group, k).to_pylist()]
+            counts = np.concatenate([_wide(x) for x in column(group, k + 1).to_pylist()])
             u, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(u), np.int64)
-            np.add.at(total, back, np.concatenate(counts))
+            total = np.bincount(back, counts, len(u)).astype(np.int64)
             if k == 2:
                 types = int((total > 0).sum())
             stop = np.cumsum([len(x) for x in keys])
@@ -201,11 +213,8 @@ class Counts:
         keys, pair = c.pairs()
         got = []
         for key, name in ((c.words, "words"), (keys, "pairs")):
-            order, cut = _parted(key, parts)
-            total = np.zeros(len(key), np.int64)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                total[order[cut[p]:cut[p + 1]]] = _wide(totals[p][name])
-            got.append(total)
+            used = np.flatnonzero(np.diff(_cuts(key, parts))).tolist()
+            got.append(np.concatenate([_wide(totals[p][name]) for p in used]))
         self.w, self.v, self.n = got[0][c.at], got[0][c.before], got[1][pair]
 
 

@@ -305,6 +305,19 @@ def test_lm_weights_form_a_distribution():
     assert abs((10 ** logs).sum() - 1) < 1e-9
 
 
+def test_lm_lists_survive_packing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm._unpacked(lm._packed(keys)) == keys).all() and len(lm._unpacked(lm._packed(keys))) == len(keys)
+        cut = lm._cuts(keys, 7)
+        assert cut[0] == 0 and cut[-1] == len(keys) and (np.diff(cut) >= 0).all()
+    for top in (0, 1, 255, 256, 1 << 24, (1 << 62) + 5):
+        x = np.array([0, top, top // 2, 1], np.int64)
+        assert (lm._wide(lm._narrow(x)) == x).all()
+    assert len(lm._wide(lm._narrow(np.zeros(0, np.int64)))) == 0
+
+
 def test_lm_pairs_keep_their_order():
     """Pair (a, b) and (b, a) have different keys, and a chunk read again lists its pairs alike."""
     h = np.array([11, 22, 11, 33, 22], np.uint64)
