@@ -95,3 +95,17 @@ def top_n_per_group(df: DataFrame, group: str, value: str, n: int, tiebreak: str
 def pivot_wide(df: DataFrame, row: str, col: str, value: str, levels: list[str] | None = None) -> DataFrame:
     """Long -> wide with one column per ``col`` level (71, 136)."""
     return df.groupBy(row).pivot(col, levels).agg(F.first(value))
+
+
+def schema_report(df: DataFrame) -> DataFrame:
+    """``position, column, type, n_rows, n_null``: one row per column, in column order (134).
+
+    The types are Spark's simple names.  The counts of all columns come from
+    one aggregate over the rows, turned into rows afterwards; an empty table
+    reports its columns with counts of 0, columns of one name each have a row.
+    """
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    counts = named.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in named.columns])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("type"), F.col("n").alias("n_rows"),
+                     (F.col("n") - F.col(f"c{i}")).alias("n_null")) for i, (name, kind) in enumerate(df.dtypes)]
+    return counts.select(F.inline(F.array(*rows)))

@@ -135,3 +135,35 @@ def forecast_accuracy(df: DataFrame, keys: list[str], actual: str = "value", for
         *keys, "ME", "RMSE", "MAE", "MPE", "MAPE", F.try_divide("MAE", "__scale").alias("MASE"),
         F.try_divide(F.col("__an"), F.col("__ad")).alias("ACF1"),
         F.sqrt(F.try_divide(F.col("__u1"), F.col("__u2"))).alias("TheilU"))
+
+
+def accuracy_by_set(df: DataFrame, keys: list[str], lags: dict[str, int], set_col: str = "set", train: str = "train",
+                    actual: str = "value", forecast: str = "forecast") -> DataFrame:
+    """Accuracy of each series on its training rows and on its test rows (124): one row per (series, set).
+
+    ``forecast`` holds the fitted values on training rows; rows without one
+    (the start of a path) count in no error measure.  ``lags`` names the MASE
+    columns and the lag of the naive forecast that scales each: 1 for the
+    last value, 12 for the same month of the year before; the scale comes from
+    the training rows alone and is NULL where they are no longer than the
+    lag.  Theil's U compares with the last value and is given for test rows.
+    All windows and the grouping share the partitioning by series.
+    """
+    by_t, whole = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys)
+    d = df.select(*keys, F.col(set_col).alias("set"), "t", F.col(actual).alias("y"), F.col(forecast).alias("f")).repartition(*keys)
+    for name, lag in lags.items():
+        step = F.when(F.col("set") == train, F.abs(F.col("y") - F.lag("y", lag).over(by_t)))
+        d = d.withColumn(f"__step_{name}", step).withColumn(f"__scale_{name}", F.avg(f"__step_{name}").over(whole))
+    part = Window.partitionBy(*keys, "set")
+    d = d.withColumn("e", F.col("y") - F.col("f")).withColumn("m", F.avg("e").over(part))
+    d = d.withColumn("e_next", F.lead("e").over(part.orderBy("t"))).withColumn("y_prev", F.lag("y").over(part.orderBy("t")))
+    e, off = F.col("e"), F.col("e") - F.col("m")
+    relative = F.try_divide(e * 100, F.col("y"))
+    u = [F.when(F.col("set") != train, F.pow(F.try_divide(x, F.col("y_prev")), 2)) for x in (e, F.col("y") - F.col("y_prev"))]
+    out = d.groupBy(*keys, "set").agg(
+        F.count("e").alias("n"), F.avg("e").alias("ME"), F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"),
+        F.avg(relative).alias("MPE"), F.avg(F.abs(relative)).alias("MAPE"),
+        *[F.try_divide(F.avg(F.abs(e)), F.max(f"__scale_{name}")).alias(name) for name in lags],
+        F.try_divide(F.sum(off * (F.col("e_next") - F.col("m"))), F.sum(off * off)).alias("ACF1"),
+        F.sqrt(F.try_divide(F.sum(u[0]), F.sum(u[1]))).alias("TheilU"))
+    return out.withColumnRenamed("set", set_col)

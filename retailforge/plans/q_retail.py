@@ -8,6 +8,7 @@ from retailforge.functions.quantiles import exact_quantiles
 from retailforge.operators import cleaning as C
 from retailforge.operators import netting as N
 from retailforge.operators import rfm as R
+from retailforge.operators.aggregates import schema_report
 from retailforge.plans.oracle_views import RETAIL_LINES, with_views
 from retailforge.plans.pipelines import clean_retail, fmt_ts
 from retailforge.plans.registry import query
@@ -358,3 +359,20 @@ def q_preview(spark, sf):
     """``head()`` after an explicit total sort (135)."""
     df = retail_lines(spark, sf).orderBy("InvoiceNo", "StockCode", "Quantity", "UnitPrice").limit(5)
     return _lines_out(df)
+
+
+#: the view's columns with their Spark types, and a derived one that has NULLs
+_SCHEMA = [("InvoiceNo", "string"), ("StockCode", "string"), ("Description", "string"), ("Quantity", "bigint"), ("InvoiceDate", "timestamp_ntz"),
+           ("UnitPrice", "double"), ("CustomerID", "bigint"), ("Country", "string"), ("CancelCode", "string")]
+_SCHEMA_SQL = " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count(*) - count({c}) AS n_null FROM lines"
+    for i, (c, kind) in enumerate(_SCHEMA))
+
+
+@query("q_schema_report", f"""{W},
+lines AS (SELECT *, CASE WHEN InvoiceNo LIKE 'C%' THEN InvoiceNo END AS CancelCode FROM retail_lines)
+{_SCHEMA_SQL}""")
+def q_schema_report(spark, sf):
+    """Type, rows and NULLs of every column; the derived code is NULL on lines that are no cancellation (134)."""
+    df = retail_lines(spark, sf)
+    return schema_report(df.withColumn("CancelCode", F.when(F.col("InvoiceNo").startswith("C"), F.col("InvoiceNo"))))

@@ -286,6 +286,45 @@ def forecast_accuracy_ses(series):
                                ["ME", "RMSE", "MAE", "MPE", "MAPE", "MASE", "ACF1", "TheilU"]])
 
 
+_SET_MEASURES = ["ME", "RMSE", "MAE", "MPE", "MAPE", "MASE", "MASE_seasonal", "ACF1", "TheilU"]
+
+
+def _scale_sql(lag: int) -> str:
+    return (f"SELECT series_key, avg(abs(d)) AS scale FROM (SELECT series_key, v - lag(v, {lag}) OVER (PARTITION BY series_key ORDER BY t) AS d FROM tr)"
+            " GROUP BY 1")
+
+
+@query("q_accuracy_by_set", f"""{DENSE_SQL_REC},
+tr AS (SELECT series_kind, series_key, t, v, n - {H} AS n FROM s WHERE t <= n - {H}),
+te AS (SELECT * FROM s WHERE t > n - {H}),{_ses_sql('tr')},
+p AS (SELECT tr.series_key, tr.t, tr.v, tr.v AS level, CAST(NULL AS DOUBLE) AS f, alpha FROM tr JOIN ses USING (series_key) WHERE tr.t = 1
+      UNION ALL
+      SELECT p.series_key, tr.t, tr.v, p.level + p.alpha * (tr.v - p.level), p.level, p.alpha
+      FROM p JOIN tr ON tr.series_key = p.series_key AND tr.t = p.t + 1),
+both_sets AS (SELECT series_key, 'train' AS part, t, v, f FROM p
+              UNION ALL SELECT te.series_key, 'test', te.t, te.v, ses.level FROM te JOIN ses USING (series_key)),
+e AS (SELECT *, v - f AS e, lag(v) OVER (PARTITION BY series_key, part ORDER BY t) AS y_prev,
+             avg(v - f) OVER (PARTITION BY series_key, part) AS m FROM both_sets),
+e2 AS (SELECT *, lead(e) OVER (PARTITION BY series_key, part ORDER BY t) AS e_next FROM e),
+sc1 AS ({_scale_sql(1)}), sc12 AS ({_scale_sql(12)})
+SELECT {_KIND.format('e2')}, part AS "set", count(e) AS n, round(avg(e), 6) AS ME, round(sqrt(avg(e * e)), 6) AS RMSE, round(avg(abs(e)), 6) AS MAE,
+       round(avg(e * 100 / nullif(v, 0)), 6) AS MPE, round(avg(abs(e * 100 / nullif(v, 0))), 6) AS MAPE,
+       round(avg(abs(e)) / any_value(sc1.scale), 6) AS MASE, round(avg(abs(e)) / any_value(sc12.scale), 6) AS MASE_seasonal,
+       round(sum((e - m) * (e_next - m)) / sum((e - m) * (e - m)), 6) AS ACF1,
+       CASE WHEN part = 'test' THEN round(sqrt(sum(((f - v) / nullif(y_prev, 0)) * ((f - v) / nullif(y_prev, 0)))
+            / sum(((v - y_prev) / nullif(y_prev, 0)) * ((v - y_prev) / nullif(y_prev, 0)))), 6) END AS TheilU
+FROM e2 LEFT JOIN sc1 USING (series_key) LEFT JOIN sc12 USING (series_key) GROUP BY e2.series_key, part""")
+def q_accuracy_by_set(spark, sf):
+    """SES of the training months: accuracy of its fitted values and of its forecasts, naive and seasonal scales (124)."""
+    split = stage(TS.series_split(all_series(spark, sf), KEYS, H), "split")
+    train, test = split.where(F.col("set") == "train"), split.where(F.col("set") == "test")
+    fit = stage(SM.ses(train, KEYS, steps=SES_STEPS), "ses")
+    path = SM.smoothing_path(train, fit, KEYS).select(*KEYS, F.lit("train").alias("set"), "t", F.col("x").alias("value"), F.col("fitted").alias("forecast"))
+    ahead = test.join(fit.select(*KEYS, F.col("level").alias("forecast")), KEYS).select(*KEYS, "set", "t", "value", "forecast")
+    acc = TS.accuracy_by_set(path.unionByName(ahead), KEYS, {"MASE": 1, "MASE_seasonal": 12})
+    return acc.select(*KEYS, "set", "n", *[F.round(c, 6).alias(c) for c in _SET_MEASURES])
+
+
 @query("q_ses_forecast", f"""{DENSE_SQL_REC},
 tr AS (SELECT series_kind, series_key, t, v, n - {H} AS n FROM s WHERE t <= n - {H}),{_ses_sql('tr')}
 SELECT (SELECT any_value(d.series_kind) FROM dense d WHERE d.series_key = ses.series_key) AS series_kind, series_key, CAST(step AS INTEGER) AS step, round(level, 6) AS forecast

@@ -282,3 +282,36 @@ def test_split_and_balance_select_by_rank(spark):
     assert {r.id for r in SP.balance_classes(df, "c", "id").collect()} == want
     assert SP.train_test_split(df.limit(0), "id").count() == 0 and SP.balance_classes(df.limit(0), "c", "id").count() == 0
     assert [r["set"] for r in SP.train_test_split(df.limit(1), "id").collect()] == ["test"]
+
+
+def test_schema_report(spark):
+    from retailforge.operators.aggregates import schema_report
+    df = spark.createDataFrame([(1, None, "x"), (2, 3.5, None)], "a int, `b.c` double, a string")
+    got = [tuple(r) for r in schema_report(df).orderBy("position").collect()]
+    assert got == [(0, "a", "int", 2, 0), (1, "b.c", "double", 2, 1), (2, "a", "string", 2, 1)]
+    empty = schema_report(df.toDF("a", "b", "c").limit(0)).collect()
+    assert [(r["type"], r.n_rows, r.n_null) for r in empty] == [("int", 0, 0), ("double", 0, 0), ("string", 0, 0)]
+
+
+def test_accuracy_by_set(spark):
+    """Against plain arithmetic; zero values, series shorter than the lag and one-row sets give NULL, no failure."""
+    from retailforge.operators.series import accuracy_by_set
+    y = [3.0, 5.0, 4.0, 8.0, 6.0, 9.0, 7.0]
+    f = [None, 3.0, 4.5, 4.0, 7.0, 6.5, 6.5]
+    rows = [("a", "train" if t < 5 else "test", t + 1, y[t], f[t]) for t in range(7)]
+    rows += [("z", "train", 1, 0.0, None), ("z", "train", 2, 0.0, 0.0), ("z", "test", 3, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, set string, t int, value double, forecast double")
+    got = {(r.k, r.set): r for r in accuracy_by_set(df, ["k"], {"MASE": 1, "MASE_2": 2}).collect()}
+    train, test = got["a", "train"], got["a", "test"]
+    e = [y[t] - f[t] for t in range(1, 5)]
+    one = sum(abs(y[t] - y[t - 1]) for t in range(1, 5)) / 4
+    two = sum(abs(y[t] - y[t - 2]) for t in range(2, 5)) / 3
+    mae = sum(map(abs, e)) / 4
+    m = sum(e) / 4
+    acf1 = sum((a - m) * (b - m) for a, b in zip(e, e[1:])) / sum((a - m) ** 2 for a in e)
+    assert train.n == 4 and abs(train.ME - m) < 1e-12 and abs(train.MAE - mae) < 1e-12 and abs(train.ACF1 - acf1) < 1e-12
+    assert abs(train.MASE - mae / one) < 1e-12 and abs(train.MASE_2 - mae / two) < 1e-12 and train.TheilU is None
+    assert test.n == 2 and abs(test.MASE - (2.5 + 0.5) / 2 / one) < 1e-12
+    assert abs(test.TheilU - abs((6.5 - 7) / 9) / abs((7 - 9) / 9)) < 1e-12
+    zero = got["z", "test"]
+    assert zero.RMSE == 0 and zero.MAPE is None and zero.MASE is None and zero.MASE_2 is None and zero.TheilU is None
