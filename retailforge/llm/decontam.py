@@ -48,12 +48,12 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 class BenchmarkIndex:
     """Words and sorted fingerprints of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, k: int = K):
+    def __init__(self, items: list[tuple[int | str | None, str]], window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
         self.ids, self.words, self.hashes = [], [], []
         prints, short = [], {}
         for item, text in items:
-            if item is None or not text:
+            if not text:
                 continue
             b = W.Block(0, raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]), W.ALNUM, True)
             n = len(b.hashes)
@@ -172,17 +172,22 @@ def _scan(index):
                     k = b.row + t
                     spans[k] = merge_spans([(x["start"], x["stop"]) for x in spans[k]] + s)
                     spans[k] = [{"start": x, "stop": y} for x, y in spans[k]]
-                    items[k] = sorted(set(items[k]) | i)
+                    items[k] = sorted(set(items[k]) | i, key=lambda x: (x is not None, x))
             yield pa.RecordBatch.from_arrays(
                 [row, text, pa.array(n_words), pa.array(spans, old_spans.type), pa.array(items, old_items.type)],
                 names=batch.schema.names)
     return run
 
 
+def item_kind(benchmark: DataFrame, id_col: str) -> str:
+    """Whole numbers are carried as longs, identifiers of any other type as text."""
+    return "long" if isinstance(benchmark.select(f"`{id_col}`").schema[0].dataType, T.IntegralType) else "string"
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The benchmark in lists of items of about ``block_bytes`` text each."""
     part, held = [], 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
+    rows = benchmark.select(F.col(f"`{id_col}`").cast(item_kind(benchmark, id_col)).alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
     for r in rows.toLocalIterator():  # one partition at a time
         part.append((r.i, r.t))
         held += len(r.t)
@@ -197,8 +202,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``row, n_words, hit_spans, hit_items``: per document the merged runs of hit words and the items they occur in.
 
     ``row`` holds all columns of the document, so extra columns never clash.
-    NULL or empty text has no words and no hits; items that are NULL, empty
-    or without an identifier hit nothing; items that repeat count once.  An
+    NULL or empty text has no words and no hits; items whose text is NULL or
+    empty hit nothing; items without an identifier hit like others and stand
+    as one NULL in ``hit_items``; items that repeat count once.  An
     empty benchmark hits nothing; an empty table gives no rows.
     """
     if not 1 <= k <= window:
@@ -206,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     df = with_row(docs, text_col).select(
         "row", F.col("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:long,stop:long>>").alias("hit_spans"), F.array().cast("array<long>").alias("hit_items"))
+        F.array().cast("array<struct<start:long,stop:long>>").alias("hit_spans"), F.array().cast(f"array<{item_kind(benchmark, item_col)}>").alias("hit_items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     for items in item_blocks(benchmark, item_col, item_text, block_bytes):
         df = df.mapInArrow(_scan(spark.sparkContext.broadcast(BenchmarkIndex(items, window, k))), schema)

@@ -107,7 +107,7 @@ def test_decontamination(docs, empty, spark):  # noqa: F811
         for i, t in items:
             x = words(t or "")
             n = min(13, len(x))
-            if i is None or not x:
+            if not x:
                 continue
             grams = {tuple(x[k:k + n]) for k in range(len(x) - n + 1)}
             for k in range(len(w) - n + 1):
@@ -122,6 +122,12 @@ def test_decontamination(docs, empty, spark):  # noqa: F811
     assert decontam.contamination(docs, bench.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_decontamination_by_text_identifiers(docs, spark):  # noqa: F811
+    bench = spark.createDataFrame([("b", "lazy dog while"), (None, PROSE), ("a-1", "quick brown fox")], "item_id string, text string")
+    got = {r.row.doc_id: r for r in decontam.contamination(docs, bench, block_bytes=10).collect() if r.row.text}
+    assert got[1].hit_items == [None, "a-1", "b"] and got[9].hit_items == []
+
+
 def test_language_id(docs, empty):
     model = langid.fit(docs)
     got = {(r.row.doc_id, r.row.text): r for r in langid.identify(docs, model).collect()}
