@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from retailforge.functions.strings import marketplace_product_label, retail_product_label
 from retailforge.operators import baskets as B
+from retailforge.operators import tidlists as T
 from retailforge.plans.oracle_views import MERGED, RETAIL_LINES, with_views
 from retailforge.plans.pipelines import marketplace_lines
 from retailforge.plans.q_aggs import BRAND_BASKETS_SQL, brand_baskets
@@ -118,3 +119,87 @@ def q_rules_export(spark, sf):
     schema = "row string, rules string, support double, confidence double, coverage double, lift double, count long"
     return read_csv(spark, path, schema=__import__("pyspark.sql.types", fromlist=["_parse_datatype_string"])
                     ._parse_datatype_string(schema))
+
+
+# Rule jobs of the study by vertical lists.  Fixed values: support, confidence and least count of its scripts.
+LOW_SUPPORT = 5e-5
+SELLER_CONFIDENCE, PRODUCT_CONFIDENCE, INVOICE_CONFIDENCE = 0.05, 0.1, 0.01
+SELLER_COUNT, PAIR_COUNT = 5, 2
+QUARTER_SQL = """CAST(customer_unique_id AS VARCHAR) || '-' || strftime(order_purchase_timestamp, '%y/') || '0'
+         || CAST(quarter(order_purchase_timestamp) AS VARCHAR)"""
+
+
+def _low_support_sql(pairs: str, confidence: float, min_count: int, select: str) -> str:
+    """``pairs``: text from WITH on, ending in a CTE ``bb(basket, item)``.  Sets of up to five items by self-joins."""
+    levels = ["s1 AS (SELECT [item] AS items, count(*) AS c FROM bb GROUP BY item HAVING count(*) >= (SELECT t FROM thr))",
+              "f AS (SELECT bb.* FROM bb JOIN s1 ON s1.items[1] = bb.item)",
+              "h1 AS (SELECT basket, [item] AS items FROM f)"]
+    for k in range(2, 6):
+        levels += [f"""s{k} AS (SELECT list_append(h.items, f.item) AS items, count(*) AS c
+  FROM h{k - 1} h JOIN f ON f.basket = h.basket AND f.item > h.items[{k - 1}]
+  GROUP BY 1 HAVING count(*) >= (SELECT t FROM thr))""",
+                   f"""h{k} AS (SELECT h.basket, list_append(h.items, f.item) AS items
+  FROM h{k - 1} h JOIN f ON f.basket = h.basket AND f.item > h.items[{k - 1}]
+  WHERE list_append(h.items, f.item) IN (SELECT items FROM s{k}))"""]
+    sets = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, 6))
+    return f"""{pairs},
+nb AS (SELECT CAST(count(DISTINCT basket) AS DOUBLE) AS n FROM bb),
+thr AS (SELECT greatest({min_count}, ceil(CAST({LOW_SUPPORT} AS DOUBLE) * n)) AS t FROM nb),
+{", ".join(levels)},
+sets AS ({sets}),
+cand AS (SELECT items, c, unnest(items) AS r FROM sets WHERE len(items) > 1),
+scored AS (
+  SELECT '{{' || array_to_string(list_sort(l.items), ',') || '}} => {{' || cand.r || '}}' AS rules, cand.c / nb.n AS support,
+         cand.c / l.c AS confidence, (cand.c / l.c) / (s1.c / nb.n) AS lift, cand.c AS count
+  FROM cand JOIN sets l ON l.items = [x FOR x IN cand.items IF x <> cand.r] JOIN s1 ON s1.items[1] = cand.r CROSS JOIN nb)
+{select}""".replace("@conf", f"CAST({confidence} AS DOUBLE)")
+
+
+RULE_COLUMNS = """SELECT rules, support, confidence, support / confidence AS coverage, lift, count
+FROM scored WHERE confidence >= @conf AND lift > 1"""
+
+
+@query("q_rules_sellers", _low_support_sql(f"""{with_views(MERGED)},
+bb AS (SELECT DISTINCT {QUARTER_SQL} AS basket, CAST(seller_id AS VARCHAR) AS item FROM merged)""",
+                                           SELLER_CONFIDENCE, SELLER_COUNT, RULE_COLUMNS))
+def q_rules_sellers(spark, sf):
+    """Sellers that one customer buys from in one quarter, at support 5e-5 and five baskets or more (87-91)."""
+    key = B.customer_quarter_key("customer_unique_id", "order_purchase_timestamp")
+    return T.basket_rules(marketplace_lines(spark, sf), key, "seller_id", LOW_SUPPORT, SELLER_CONFIDENCE, SELLER_COUNT, MAX_LEN)
+
+
+@query("q_rules_products", _low_support_sql(f"""{with_views(MERGED)},
+bb AS (SELECT DISTINCT {QUARTER_SQL} AS basket,
+         product_category_name_english || ' (' || CAST(product_id AS VARCHAR) || ')' AS item FROM merged)""",
+                                            PRODUCT_CONFIDENCE, PAIR_COUNT, RULE_COLUMNS))
+def q_rules_products(spark, sf):
+    """Products of one customer and quarter, two baskets or more (87-91).
+
+    The label leaves the seller out: in the given tables every seller offers
+    every product, so a product of one seller is hardly bought twice.
+    """
+    key = B.customer_quarter_key("customer_unique_id", "order_purchase_timestamp")
+    label = F.concat("product_category_name_english", F.lit(" ("), F.col("product_id").cast("string"), F.lit(")"))
+    return T.basket_rules(marketplace_lines(spark, sf), key, label, LOW_SUPPORT, PRODUCT_CONFIDENCE, PAIR_COUNT, MAX_LEN)
+
+
+@query("q_rules_invoice", _low_support_sql(f"""{with_views(RETAIL_LINES)},
+bb AS (SELECT DISTINCT InvoiceNo AS basket, Description || ' (' || StockCode AS item FROM retail_lines
+       WHERE InvoiceNo IS NOT NULL AND Description || ' (' || StockCode IS NOT NULL)""",
+                                           INVOICE_CONFIDENCE, PAIR_COUNT, RULE_COLUMNS))
+def q_rules_invoice(spark, sf):
+    """Products of one invoice, two invoices or more (87-91); at the study's 1 % the given invoices have no pair."""
+    return T.basket_rules(retail_lines(spark, sf), "InvoiceNo", retail_product_label(), LOW_SUPPORT, INVOICE_CONFIDENCE,
+                          PAIR_COUNT, MAX_LEN)
+
+
+@query("q_frequent_sellers", _low_support_sql(f"""{with_views(MERGED)},
+bb AS (SELECT DISTINCT {QUARTER_SQL} AS basket, CAST(seller_id AS VARCHAR) AS item FROM merged)""",
+                                              SELLER_CONFIDENCE, SELLER_COUNT,
+                                              """SELECT array_to_string(list_sort(items), ',') AS items, len(items) AS size,
+       c / (SELECT n FROM nb) AS support, c AS count FROM sets"""))
+def q_frequent_sellers(spark, sf):
+    """Sets of sellers that five baskets or more hold (87)."""
+    key = B.customer_quarter_key("customer_unique_id", "order_purchase_timestamp")
+    sets = T.frequent_sets(marketplace_lines(spark, sf), key, "seller_id", LOW_SUPPORT, SELLER_COUNT, MAX_LEN)
+    return sets.withColumn("items", F.concat_ws(",", "items")).withColumn("size", F.col("size").cast("long"))
