@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from retailforge.operators import series as TS
 from retailforge.operators import smoothing as SM
 from retailforge.plans.oracle_views import CLV_LINES, with_views
-from retailforge.plans.q_aggs import CLV_SERIES_SQL, monthly_clv_series
+from retailforge.plans.forecasting import BOUNDS, forecast_clv, write_forecasts
+from retailforge.plans.q_aggs import CLV_SERIES_SQL, PARTIAL_MONTHS, monthly_clv_series, series_keys
 from retailforge.plans.registry import query
-from retailforge.session import stage
+from retailforge.session import stage, stage_path
+from retailforge.sources.views import clv_lines
 
 KEYS = ["series_kind", "series_key"]
 H = 3
@@ -340,3 +342,33 @@ def q_ses_forecast(spark, sf):
 def q_arima_fitted(spark, sf):
     """Fitted-value export of the ARIMA(0,0,1) refit per series (125)."""
     return SM.arima_fitted(all_series(spark, sf), KEYS)
+
+
+_CLV_AHEAD_SQL = f"""{DENSE_SQL_REC},{_ses_sql('s')},
+p AS (SELECT s.series_key, s.t, s.v AS level, CAST(NULL AS DOUBLE) AS e, alpha FROM s JOIN ses USING (series_key) WHERE s.t = 1
+      UNION ALL
+      SELECT p.series_key, s.t, p.level + p.alpha * (s.v - p.level), s.v - p.level, p.alpha FROM p JOIN s ON s.series_key = p.series_key AND s.t = p.t + 1),
+v AS (SELECT series_key, var_samp(e) AS s2 FROM p GROUP BY 1),
+o AS (SELECT ses.series_key, step, level AS f, s2, (step - 1) * alpha * alpha AS later FROM ses JOIN v USING (series_key), range(1, 13) r(step))
+SELECT o.series_key, strftime((SELECT any_value(b.last) FROM bnd b WHERE b.series_key = o.series_key) + to_months(CAST(step AS INTEGER)), '%b %Y') AS month,
+       round(f + 1e-7::DOUBLE, 4) AS point, {_bounds_sql()} FROM o"""
+
+
+@query("q_forecast_clv", _CLV_AHEAD_SQL.replace("SELECT o.series_key, strftime", f"SELECT {_KIND.format('o')}, CAST(step AS INTEGER) AS step, strftime"))
+def q_forecast_clv(spark, sf):
+    """From order lines to 12 months of smoothed CLV with bounds for every nation and segment (133)."""
+    return _rounded(_clv_ahead(spark, sf).drop("status"), BOUNDS)
+
+
+def _clv_ahead(spark, sf):
+    return forecast_clv(series_keys(clv_lines(spark, sf)), "order_ts", "revenue", "customer_id", KEYS, 12, "ses",
+                        drop_months=PARTIAL_MONTHS, money_decimals=4)
+
+
+@query("q_forecast_export", _CLV_AHEAD_SQL)
+def q_forecast_export(spark, sf):
+    """The forecasts as files of the published layout, one folder per series, read back (125)."""
+    path = stage_path(spark, "forecasts")
+    write_forecasts(_clv_ahead(spark, sf), path, ["series_kind", "series_key"])
+    names = "month string, " + ", ".join(f"{c} double" for c in BOUNDS) + ", series_kind string, series_key string"
+    return _rounded(spark.read.schema(names).option("header", True).option("enforceSchema", True).csv(path), BOUNDS).select("series_key", "month", *BOUNDS)
