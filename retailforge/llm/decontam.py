@@ -9,9 +9,12 @@ gram of it and the join of the fingerprints cannot miss it.  Hits are then
 extended word by word in both directions; runs shorter than a window are
 discarded, so a result never rests on a hash alone.
 
-The benchmark's fingerprints travel to the tasks in blocks of at most
-``block_bytes`` text each and the documents are scanned once, without a
-shuffle; a larger benchmark only adds blocks to the chain of map steps.
+A benchmark of at most ``index_bytes`` text (checked) is one index that travels
+to the tasks: the documents are scanned once, without a shuffle.  A larger one
+is joined by Spark: fingerprints of both sides meet by shuffle, each meeting
+(document, item, offset) cuts from the document the stretch that the item would
+cover, and stretch and item are compared word by word.  Neither side's texts or
+fingerprints pass through the driver then.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailforge.llm import wordnum as W
-from retailforge.llm.common import with_row
+from retailforge.llm.common import small_enough, with_row
+from retailforge.session import stage
 
 WINDOW = 13
 K = 8
-SPANS = pa.list_(pa.list_(pa.int64()))
+#: Most text and items of a benchmark whose index is sent to the tasks whole.
+INDEX_BYTES, INDEX_ITEMS = 32 << 20, 1 << 20
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
@@ -48,8 +53,8 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 class BenchmarkIndex:
     """Words and sorted fingerprints of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int | str | None, str]], window: int = WINDOW, k: int = K):
-        self.window, self.k = window, k
+    def __init__(self, items: list[tuple[int | str | None, str]], window: int = WINDOW, k: int = K, long_ids: bool = True):
+        self.window, self.k, self.long_ids = window, k, long_ids
         self.ids, self.words, self.hashes = [], [], []
         prints, short = [], {}
         for item, text in items:
@@ -159,46 +164,159 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 
 
 def _scan(index):
-    """Map step over ``row, text, n_words, hit_spans, hit_items``: adds what this block of items hits."""
+    """Map step over ``row, text``: number of words, and what the items of the index hit."""
     def run(batches):
         ix = index.value
         for batch in batches:
-            row, text, _, old_spans, old_items = (batch.column(i) for i in range(5))
             n_words = np.zeros(batch.num_rows, np.int64)
-            spans, items = old_spans.to_pylist(), old_items.to_pylist()
-            for b in W.blocks(text):
+            spans, items = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+            for b in W.blocks(batch.column(1)):
                 n_words[b.row:b.row + len(b)] = np.diff(b.first)
                 for t, (s, i) in ix.hits(b).items():
-                    k = b.row + t
-                    spans[k] = merge_spans([(x["start"], x["stop"]) for x in spans[k]] + s)
-                    spans[k] = [{"start": x, "stop": y} for x, y in spans[k]]
-                    items[k] = sorted(set(items[k]) | i, key=lambda x: (x is not None, x))
+                    spans[b.row + t] = [{"start": x, "stop": y} for x, y in merge_spans(s)]
+                    items[b.row + t] = sorted(i, key=lambda x: (x is not None, x))
+            kind = pa.int64() if ix.long_ids else pa.string()
             yield pa.RecordBatch.from_arrays(
-                [row, text, pa.array(n_words), pa.array(spans, old_spans.type), pa.array(items, old_items.type)],
-                names=batch.schema.names)
+                [batch.column(0), pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, pa.list_(kind))],
+                names=["row", "n_words", "hit_spans", "hit_items"])
     return run
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
 def item_kind(benchmark: DataFrame, id_col: str) -> str:
     """Whole numbers are carried as longs, identifiers of any other type as text."""
     return "long" if isinstance(benchmark.select(f"`{id_col}`").schema[0].dataType, T.IntegralType) else "string"
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark in lists of items of about ``block_bytes`` text each."""
-    part, held = [], 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast(item_kind(benchmark, id_col)).alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
-    for r in rows.toLocalIterator():  # one partition at a time
-        part.append((r.i, r.t))
-        held += len(r.t)
-        if held >= block_bytes:
-            yield part
-            part, held = [], 0
-    yield part
+def _doc_prints(window: int, k: int, sizes: list[int]):
+    """Map step over ``uid, text``: ``uid, size, print, pos`` of the winnowed grams (size 0) and of all grams of the short items' sizes."""
+    def run(batches):
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for b in W.blocks(batch.column(1)):
+                text = b.text_of_word()
+                found = []
+                if len(b.hashes) >= window:
+                    g = W.gram_hashes(b.hashes, k)
+                    p = winnow(g, window - k + 1)
+                    found.append((0, p[text[p] == text[p + k - 1]], g))
+                for n in sizes:
+                    g = W.gram_hashes(b.hashes, n)
+                    found.append((n, np.flatnonzero(text[:len(g)] == text[n - 1:][:len(g)]), g))
+                for n, p, g in found:
+                    t = text[p]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(uid[b.row + t]), pa.array(np.full(len(p), n, np.int64)), pa.array(g[p].view(np.int64)), pa.array(p - b.first[t])],
+                        names=["uid", "size", "print", "pos"])
+    return run
+
+
+def _words_of(b: W.Block):
+    low = W._FOLD[b.data]
+    return lambda first, last: b" ".join(bytes(low[b.starts[q]:b.ends[q]]) for q in range(first, last)).decode()
+
+
+def _item_prints(window: int, k: int):
+    """Map step over ``iid, text``: ``iid, words, n, prints`` (size, print, position) of items that have words."""
+    def run(batches):
+        for batch in batches:
+            iid = batch.column(0).to_numpy()
+            rows = []
+            for b in W.blocks(batch.column(1)):
+                words = _words_of(b)
+                for t in range(len(b)):
+                    first, last = int(b.first[t]), int(b.first[t + 1])
+                    n, h = last - first, b.hashes[first:last]
+                    if not n:
+                        continue
+                    if n < window:
+                        prints = [(n, int(W.gram_hashes(h, n).view(np.int64)[0]), 0)]
+                    else:
+                        g = W.gram_hashes(h, k)
+                        prints = [(0, int(g[p:p + 1].view(np.int64)[0]), int(p)) for p in winnow(g, window - k + 1)]
+                    rows.append((int(iid[b.row + t]), words(first, last), n, [dict(zip(("size", "print", "at"), x)) for x in prints]))
+            if rows:
+                kind = pa.list_(pa.struct([("size", pa.int64()), ("print", pa.int64()), ("at", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), kind))],
+                                                 names=["iid", "words", "n", "prints"])
+    return run
+
+
+def _stretches(batches):
+    """Map step over ``uid, text, seeds``: the words of the document that an item at an offset would cover."""
+    for batch in batches:
+        uid, seeds = batch.column(0).to_numpy(), batch.column(2)
+        for b in W.blocks(batch.column(1)):
+            words = _words_of(b)
+            for t in range(len(b)):
+                first, size = int(b.first[t]), int(b.first[t + 1] - b.first[t])
+                rows = []
+                for s in seeds[b.row + t].as_py():
+                    start, stop = max(s["diag"], 0), min(s["diag"] + s["n"], size)
+                    rows.append((int(uid[b.row + t]), s["iid"], start, start - s["diag"], words(first + start, first + stop)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, y) for c, y in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),))],
+                    names=["uid", "iid", "start", "skip", "stretch"])
+
+
+def _compare(window: int):
+    """Map step over ``uid, start, skip, stretch, item, words, n``: runs of equal words of a window or a whole short item."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for uid, start, skip, stretch, item, words, n in zip(*[c.to_pylist() for c in batch.columns]):
+                mine = stretch.split(" ")
+                same = [x == y for x, y in zip(mine, words.split(" ")[skip:skip + len(mine)])]
+                r = 0
+                for q in range(len(same) + 1):
+                    if q == len(same) or not same[q]:
+                        if q - r >= min(window, n):
+                            rows.append((uid, start + r, start + q, item))
+                        r = q + 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("item").type)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows), kinds)], names=["uid", "start", "stop", "item"])
+    return run
+
+
+def _finish(batches):
+    """Map step over ``row, text, hit_spans, hit_items``: number of words, runs merged."""
+    for batch in batches:
+        n_words = np.zeros(batch.num_rows, np.int64)
+        for b in W.blocks(batch.column(1)):
+            n_words[b.row:b.row + len(b)] = np.diff(b.first)
+        spans = [[{"start": a, "stop": z} for a, z in merge_spans([(x["start"], x["stop"]) for x in s or []])] for s in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(spans, _SPANS), batch.column(3)],
+                                         names=["row", "n_words", "hit_spans", "hit_items"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, window: int, k: int, schema: T.StructType) -> DataFrame:
+    """The join by shuffle: ``docs`` (row, text) against ``items`` (item, text)."""
+    base = stage(docs.withColumn("uid", F.monotonically_increasing_id()), "decontam-docs")
+    given = stage(items.where("text IS NOT NULL").withColumn("iid", F.monotonically_increasing_id()), "decontam-items")
+    prints = "array<struct<size:long,print:long,at:long>>"
+    known = stage(given.select("iid", "text").mapInArrow(_item_prints(window, k), f"iid long, words string, n long, prints {prints}")
+                  .join(given.select("iid", "item"), "iid"), "decontam-prints")
+    theirs = known.select("iid", "n", F.inline("prints"))
+    sizes = [r.size for r in theirs.where("size > 0").select(F.col("size").alias("size")).distinct().collect()]  # below window
+    mine = base.select("uid", "text").mapInArrow(_doc_prints(window, k, sizes), "uid long, size long, print long, pos long")
+    met = mine.join(theirs, ["size", "print"]).select("uid", "iid", (F.col("pos") - F.col("at")).alias("diag"), "n").distinct()
+    seeds = met.groupBy("uid").agg(F.collect_list(F.struct("iid", "diag", "n")).alias("seeds"))
+    cut = base.select("uid", "text").join(seeds, "uid").mapInArrow(_stretches, "uid long, iid long, start long, skip long, stretch string")
+    runs = cut.join(known, "iid").select("uid", "start", "skip", "stretch", "item", "words", "n")
+    kind = given.schema["item"].dataType.simpleString()
+    hits = runs.mapInArrow(_compare(window), f"uid long, start long, stop long, item {kind}").groupBy("uid").agg(
+        F.collect_set(F.struct("start", "stop")).alias("hit_spans"),
+        F.transform(F.sort_array(F.collect_set(F.struct("item"))), lambda x: x["item"]).alias("hit_items"))
+    none = F.array().cast(f"array<{kind}>")
+    full = base.join(hits, "uid", "left").select("row", "text", "hit_spans", F.coalesce("hit_items", none).alias("hit_items"))
+    return full.mapInArrow(_finish, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, k: int = K, block_bytes: int = 32 << 20) -> DataFrame:
+                  item_text: str = "text", window: int = WINDOW, k: int = K, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``row, n_words, hit_spans, hit_items``: per document the merged runs of hit words and the items they occur in.
 
     ``row`` holds all columns of the document, so extra columns never clash.
@@ -210,13 +328,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if not 1 <= k <= window:
         raise ValueError("a gram has 1 to window words")
     spark = docs.sparkSession
-    df = with_row(docs, text_col).select(
-        "row", F.col("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:long,stop:long>>").alias("hit_spans"), F.array().cast(f"array<{item_kind(benchmark, item_col)}>").alias("hit_items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    for items in item_blocks(benchmark, item_col, item_text, block_bytes):
-        df = df.mapInArrow(_scan(spark.sparkContext.broadcast(BenchmarkIndex(items, window, k))), schema)
-    return df.drop("text")
+    df = with_row(docs, text_col)
+    kind = item_kind(benchmark, item_col)
+    items = benchmark.select(F.col(f"`{item_col}`").cast(kind).alias("item"), F.col(f"`{item_text}`").alias("text"))
+    result = df.select("row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,stop:long>>").alias("hit_spans"),
+                       F.array().cast(f"array<{kind}>").alias("hit_items"))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in result.schema])
+    if not small_enough(items, INDEX_ITEMS, F.coalesce(F.octet_length("text"), F.lit(0)), index_bytes):
+        return _joined(df, items, window, k, schema)
+    index = BenchmarkIndex([tuple(r) for r in items.where("text IS NOT NULL").collect()], window, k, kind == "long")
+    return df.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

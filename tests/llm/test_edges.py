@@ -115,8 +115,10 @@ def test_decontamination(docs, empty, spark):  # noqa: F811
                     hit |= set(range(k, k + n))
                     found.add(i)
         assert (r.n_words, r.n_hit, set(r.hit_items)) == (len(w), len(hit), found)
-    one = decontam.contamination(docs, bench, block_bytes=10).withColumn("n_hit", decontam.hit_words())  # several blocks of items
-    assert sorted(one.select("n_words", "n_hit").collect()) == sorted((r.n_words, r.n_hit) for r in got)
+    key = lambda r: (str(r.row), r.n_words, r.n_hit, [tuple(x) for x in r.hit_spans], r.hit_items)
+    joined = decontam.contamination(docs, bench, index_bytes=10).withColumn("n_hit", decontam.hit_words()).collect()  # too large for an index
+    assert sorted(map(key, joined), key=str) == sorted(map(key, got), key=str)
+    assert decontam.contamination(empty, bench, index_bytes=10).count() == 0
     assert decontam.decontaminate(docs, bench).columns == docs.columns
     assert decontam.contamination(empty, bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).where("size(hit_items) > 0").count() == 0
@@ -124,8 +126,18 @@ def test_decontamination(docs, empty, spark):  # noqa: F811
 
 def test_decontamination_by_text_identifiers(docs, spark):  # noqa: F811
     bench = spark.createDataFrame([("b", "lazy dog while"), (None, PROSE), ("a-1", "quick brown fox")], "item_id string, text string")
-    got = {r.row.doc_id: r for r in decontam.contamination(docs, bench, block_bytes=10).collect() if r.row.text}
-    assert got[1].hit_items == [None, "a-1", "b"] and got[9].hit_items == []
+    for size in (10, 1 << 20):
+        got = {r.row.doc_id: r for r in decontam.contamination(docs, bench, index_bytes=size).collect() if r.row.text}
+        assert got[1].hit_items == [None, "a-1", "b"] and got[9].hit_items == []
+
+
+def test_decontamination_by_shuffle_on_the_tables(spark):  # noqa: F811
+    """Both ways give the same rows on the given documents and benchmark."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = common.table(spark, sf, "documents").select("doc_id", "text"), common.table(spark, sf, "benchmark")
+    both = [decontam.contamination(docs, bench, index_bytes=size).select("row.doc_id", "n_words", "hit_spans", "hit_items").collect()
+            for size in (0, 1 << 30)]
+    assert sorted(both[0]) == sorted(both[1]) and any(r.hit_items for r in both[0])
 
 
 def test_language_id(docs, empty):
