@@ -4,7 +4,8 @@ Per-customer numbers are one ``groupBy`` each (partial aggregation map-side,
 so a customer holding a third of the rows is pre-combined before the
 shuffle).  Global scalars (max date, min/max for scaling) are scalar
 subqueries: Spark computes them once and inlines the value, no cross join and
-no collect.
+no collect.  ``rfm`` reads its lines once for the customers' sums, which are
+written, and once more to attach the scores.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailforge.session import stage
+
 DAY_MICROS = 86400.0 * 1e6
 
 
@@ -52,14 +55,17 @@ def money_by_customer(df: DataFrame, price_col: str, qty_col: str | None, id_col
 
 def rfm_table(df: DataFrame, date_col: str, id_col: str, price_col: str,
               qty_col: str | None) -> DataFrame:
-    """RECENCY, FREQUENCY, MONEY per customer in one aggregation pass."""
-    ref = df.select(month_end_close(F.max(date_col))).scalar()
+    """RECENCY, FREQUENCY, MONEY per customer; ``df`` is read once.
+
+    The customers' sums are a written table, and the last date of all lines is
+    the largest of its dates: lines without a customer are a row of their own
+    there, which the result leaves out.
+    """
     amount = F.col(price_col) * (F.col(qty_col) if qty_col else F.lit(1.0))
-    per = (df.where(F.col(id_col).isNotNull()).groupBy(id_col)
-             .agg(F.max(date_col).alias("__last"), F.count(date_col).alias("FREQUENCY"),
-                  F.sum(amount).alias("MONEY")))
-    return per.select(id_col, days_between(ref, F.col("__last")).alias("RECENCY"),
-                      "FREQUENCY", "MONEY")
+    per = stage(df.groupBy(id_col).agg(F.max(date_col).alias("__last"), F.count(date_col).alias("FREQUENCY"),
+                                       F.sum(amount).alias("MONEY")), "customers")
+    ref = per.select(month_end_close(F.max("__last"))).scalar()
+    return per.where(F.col(id_col).isNotNull()).select(id_col, days_between(ref, F.col("__last")).alias("RECENCY"), "FREQUENCY", "MONEY")
 
 
 def invert_recency_if_needed(df: DataFrame, col: str = "RECENCY") -> DataFrame:

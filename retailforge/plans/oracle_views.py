@@ -22,6 +22,16 @@ retail_lines AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
+DIRTY_LINES = RETAIL_LINES + """,
+dirty_lines AS (
+  SELECT CASE WHEN InvoiceNo NOT LIKE 'C%' AND Quantity % 17 = 0 THEN 'A' || InvoiceNo ELSE InvoiceNo END AS InvoiceNo, StockCode,
+         CASE WHEN StockCode NOT LIKE '%C' THEN Description END AS Description,
+         CASE WHEN InvoiceNo NOT LIKE 'C%' AND Quantity % 7 = 0 THEN -Quantity ELSE Quantity END AS Quantity, InvoiceDate,
+         CASE WHEN Quantity % 5 = 0 THEN 0.0 ELSE UnitPrice END AS UnitPrice,
+         CASE WHEN CustomerID % 11 <> 0 THEN CustomerID END AS CustomerID, Country
+  FROM retail_lines
+)"""
+
 MARKET_TABLES = """
 m_orders AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id,

@@ -9,15 +9,24 @@ from retailforge.operators import cleaning as C
 from retailforge.operators import netting as N
 from retailforge.operators import rfm as R
 from retailforge.operators.aggregates import schema_report
-from retailforge.plans.oracle_views import RETAIL_LINES, with_views
+from retailforge.plans.oracle_views import DIRTY_LINES, RETAIL_LINES, with_views
 from retailforge.plans.pipelines import clean_retail, fmt_ts
 from retailforge.plans.registry import query
-from retailforge.sources.views import retail_lines
+from retailforge.sources.views import dirty_lines, retail_lines
 
 W = with_views(RETAIL_LINES)
+#: lines with faults, for the operators that find nothing to do in the given tables
+WD = with_views(DIRTY_LINES)
 TS = "strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate"
 LINE_COLS_SQL = f"InvoiceNo, StockCode, Description, Quantity, {TS}, UnitPrice, CustomerID, Country"
 
+#: customers as text, so that lines without one look alike in both engines
+DIRTY_COLS_SQL = LINE_COLS_SQL.replace("CustomerID", "coalesce(CAST(CustomerID AS VARCHAR), 'none') AS CustomerID")
+
+
+def _dirty_out(df):
+    return _lines_out(df).withColumn("CustomerID", F.coalesce(F.col("CustomerID").cast("string"), F.lit("none")))
+
 
 def _lines_out(df):
     return df.withColumn("InvoiceDate", fmt_ts("InvoiceDate"))
@@ -29,11 +38,11 @@ def q_invalid_codes(spark, sf):
     return C.invalid_codes(retail_lines(spark, sf))
 
 
-@query("q_drop_adjustments", f"""{W}
-SELECT {LINE_COLS_SQL} FROM retail_lines
+@query("q_drop_adjustments", f"""{WD}
+SELECT {DIRTY_COLS_SQL} FROM dirty_lines
 WHERE contains(InvoiceNo, 'C') OR regexp_matches(InvoiceNo, '^[0-9]+$')""")
 def q_drop_adjustments(spark, sf):
-    return _lines_out(C.drop_adjustments(retail_lines(spark, sf)))
+    return _dirty_out(C.drop_adjustments(dirty_lines(spark, sf)))
 
 
 @query("q_adjustment_match", f"""{W}
@@ -92,10 +101,10 @@ def q_nonpositive_qty(spark, sf):
     return _lines_out(C.nonpositive_quantity(retail_lines(spark, sf)))
 
 
-@query("q_drop_stock_upkeep", f"""{W}
-SELECT {LINE_COLS_SQL} FROM retail_lines WHERE NOT (NOT contains(InvoiceNo, 'C') AND Quantity <= 0)""")
+@query("q_drop_stock_upkeep", f"""{WD}
+SELECT {DIRTY_COLS_SQL} FROM dirty_lines WHERE NOT (NOT contains(InvoiceNo, 'C') AND Quantity <= 0)""")
 def q_drop_stock_upkeep(spark, sf):
-    return _lines_out(C.drop_stock_upkeep(retail_lines(spark, sf)))
+    return _dirty_out(C.drop_stock_upkeep(dirty_lines(spark, sf)))
 
 
 @query("q_distinct_values", f"""{W}
@@ -104,10 +113,10 @@ def q_distinct_values(spark, sf):
     return retail_lines(spark, sf).select("Country").distinct()
 
 
-@query("q_drop_untrackable", f"""{W}
-SELECT {LINE_COLS_SQL} FROM retail_lines WHERE NOT (UnitPrice = 0 AND CustomerID IS NULL)""")
+@query("q_drop_untrackable", f"""{WD}
+SELECT {DIRTY_COLS_SQL} FROM dirty_lines WHERE NOT (UnitPrice = 0 AND CustomerID IS NULL)""")
 def q_drop_untrackable(spark, sf):
-    return _lines_out(C.drop_untrackable(retail_lines(spark, sf)))
+    return _dirty_out(C.drop_untrackable(dirty_lines(spark, sf)))
 
 
 @query("q_impute_price", f"""{W},
@@ -130,10 +139,10 @@ def q_impute_price(spark, sf):
     return _lines_out(zero_rows).withColumn("UnitPrice", F.round("UnitPrice", 9))
 
 
-@query("q_drop_null_customer", f"""{W}
-SELECT {LINE_COLS_SQL} FROM retail_lines WHERE CustomerID IS NOT NULL""")
+@query("q_drop_null_customer", f"""{WD}
+SELECT {LINE_COLS_SQL} FROM dirty_lines WHERE CustomerID IS NOT NULL""")
 def q_drop_null_customer(spark, sf):
-    return _lines_out(C.drop_null(retail_lines(spark, sf), "CustomerID"))
+    return _lines_out(C.drop_null(dirty_lines(spark, sf), "CustomerID"))
 
 
 @query("q_code_length_profile", f"""{W}
@@ -178,12 +187,12 @@ def q_contains_group_count(spark, sf):
 
 
 @query("q_point_lookup", f"""{W}
-SELECT {LINE_COLS_SQL} FROM retail_lines WHERE CustomerID = 7 AND Description = 'red plate'
+SELECT {LINE_COLS_SQL} FROM retail_lines WHERE CustomerID = 7 AND StockCode = (SELECT min(StockCode) FROM retail_lines WHERE CustomerID = 7)
 ORDER BY InvoiceNo""")
 def q_point_lookup(spark, sf):
-    df = retail_lines(spark, sf)
-    return _lines_out(df.where((F.col("CustomerID") == 7) & (F.col("Description") == "red plate"))
-                        .orderBy("InvoiceNo"))
+    """All lines of one customer and product: the first stock code that customer 7 has bought."""
+    df = retail_lines(spark, sf).where(F.col("CustomerID") == 7)
+    return _lines_out(df.where(F.col("StockCode") == df.select(F.min("StockCode")).scalar()).orderBy("InvoiceNo"))
 
 
 @query("q_split_cancels", f"""{W}
@@ -199,16 +208,16 @@ def q_split_cancels(spark, sf):
     return summ(cancels, "cancel").unionByName(summ(orders, "order"))
 
 
-@query("q_complete_cases", f"""{W}
+@query("q_complete_cases", f"""{WD}
 SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE InvoiceNo IS NOT NULL AND StockCode IS NOT NULL AND Description IS NOT NULL
                           AND Quantity IS NOT NULL AND InvoiceDate IS NOT NULL AND UnitPrice IS NOT NULL
                           AND CustomerID IS NOT NULL AND Country IS NOT NULL) AS n_complete,
        sum(CASE WHEN CustomerID IS NULL THEN 1 ELSE 0 END) AS null_CustomerID,
        sum(CASE WHEN Description IS NULL THEN 1 ELSE 0 END) AS null_Description
-FROM retail_lines""")
+FROM dirty_lines""")
 def q_complete_cases(spark, sf):
-    df = retail_lines(spark, sf)
+    df = dirty_lines(spark, sf)
     nulls = C.null_counts(df.select("CustomerID", "Description"))
     complete = C.drop_null(df).agg(F.count(F.lit(1)).alias("n_complete"))
     total = df.agg(F.count(F.lit(1)).alias("n_rows"))
@@ -279,6 +288,15 @@ def q_clean_retail(spark, sf):
     return _lines_out(clean_retail(retail_lines(spark, sf)))
 
 
+@query("q_clean_dirty_lines", f"""{WD},{CLEAN_SQL.replace("FROM retail_lines", "FROM dirty_lines")}{_netting_sql('s7')}
+SELECT InvoiceNo, StockCode, Description, Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate,
+       round(UnitPrice, 9) AS UnitPrice, CustomerID, Country, ProductVariations, OrderDetails
+FROM netting WHERE Quantity > 0""")
+def q_clean_dirty_lines(spark, sf):
+    """The cleaning pipeline on lines with faults: every step drops or repairs rows (126)."""
+    return _lines_out(clean_retail(dirty_lines(spark, sf))).withColumn("UnitPrice", F.round("UnitPrice", 9))
+
+
 def rfm_sql(src: str) -> str:
     """Per-customer RFM CTEs (``per``, ``ref``, ``raw``) over the line table ``src``."""
     return f"""

@@ -115,3 +115,20 @@ def clv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with a real time of day (hour and weekday features)."""
     return read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+
+
+def dirty_lines(spark, sf_dir: str) -> DataFrame:
+    """Retail lines with the faults that cleaning is for, which the given tables lack.
+
+    Derived from the lines' own values: adjustment codes (order quantities
+    divisible by 17), stock upkeep (by 7: quantity negated), zero prices (by
+    5), lines without a customer (customers divisible by 11) and without a
+    description (stock codes ending in C).
+    """
+    q, order = F.col("Quantity"), ~F.col("InvoiceNo").startswith("C")
+    return retail_lines(spark, sf_dir).select(
+        F.when(order & (q % 17 == 0), F.concat(F.lit("A"), "InvoiceNo")).otherwise(F.col("InvoiceNo")).alias("InvoiceNo"), "StockCode",
+        F.when(~F.col("StockCode").endswith("C"), F.col("Description")).alias("Description"),
+        F.when(order & (q % 7 == 0), -q).otherwise(q).alias("Quantity"), "InvoiceDate",
+        F.when(q % 5 == 0, F.lit(0.0)).otherwise(F.col("UnitPrice")).alias("UnitPrice"),
+        F.when(F.col("CustomerID") % 11 != 0, F.col("CustomerID")).alias("CustomerID"), "Country")
