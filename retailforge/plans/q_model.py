@@ -107,9 +107,23 @@ def q_withinss(spark, sf):
     return _segment_table(spark, sf, 2)
 
 
-@query("q_elbow")
+def _elbow_sql(most: int) -> str:
+    """Least within-cluster sum of squares of the first i points in k clusters, k by k."""
+    steps = [f"e1 AS (SELECT b.i, {_cost('z', 'b')} AS c FROM p0 z, p0 b WHERE z.i = 0 AND b.i > 0)"]
+    for k in range(2, most + 1):
+        steps.append(f"e{k} AS MATERIALIZED (SELECT b.i, min(e.c + {_cost('a', 'b')}) AS c FROM e{k - 1} e JOIN p0 a ON a.i = e.i "
+                     "JOIN p0 b ON b.i > a.i GROUP BY b.i)")
+    out = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, c FROM e{k} WHERE i = (SELECT n FROM d)" for k in range(1, most + 1))
+    return f"""{SCORED_SQL},
+{", ".join(steps)}
+SELECT k, CAST(printf('%.6e', c) AS DOUBLE) AS tot_withinss FROM ({out})"""
+
+
+@query("q_elbow", _elbow_sql(10))
 def q_elbow(spark, sf):
-    return SG.elbow(scored_lines(spark, sf), "clv", ks=range(1, 11))
+    """Exact within-cluster sums of squares of 1 to 10 clusters (94)."""
+    e = SG.elbow(scored_lines(spark, sf), "clv", ks=range(1, 11))
+    return e.withColumn("tot_withinss", F.format_string("%.6e", "tot_withinss").cast("double"))
 
 
 @query("q_kmeans_segments")
@@ -368,6 +382,34 @@ def q_multinomial(spark, sf):
     return CL.multinomial_table(model, train, CL.design_names(num, cat, model))
 
 
+#: largest difference of an expected from an observed sum, as a share of the column's absolute sum
+MOMENT_TOLERANCE = 1e-4
+_SEGMENT_LINES_SQL = _segments_sql(3).split("lab AS (")[0] + """
+lab AS (SELECT CASE WHEN clv <= b1 THEN '1' WHEN clv <= b2 THEN '2' ELSE '3' END AS class, Quantity, UnitPrice,
+               CASE WHEN day(InvoiceDate) <= 10 THEN 'Beginning of Month' WHEN day(InvoiceDate) <= 20 THEN 'Middle of Month'
+                    ELSE 'End of Month' END AS period FROM scored, best)"""
+
+
+@query("q_multinomial_moments", f"""{_SEGMENT_LINES_SQL}
+SELECT c.class, t.term, round(coalesce(sum(CASE WHEN l.class = c.class THEN
+         CASE t.term WHEN '(Intercept)' THEN 1.0 WHEN 'Quantity' THEN l.Quantity WHEN 'UnitPrice' THEN l.UnitPrice
+                     ELSE CASE WHEN t.term = 'period' || l.period THEN 1.0 ELSE 0.0 END END END), 0), 3) AS observed, true AS balanced
+FROM lab l, (SELECT DISTINCT class FROM lab) c,
+     (SELECT unnest(['(Intercept)', 'Quantity', 'UnitPrice']) AS term UNION ALL SELECT DISTINCT 'period' || period FROM lab) t
+GROUP BY 1, 2""")
+def q_multinomial_moments(spark, sf):
+    """First-order conditions of the multinomial fit on all lines: expected sums equal observed ones (102)."""
+    from retailforge.session import stage
+    lab = SG.optimal_1d_segments(stage(scored_lines(spark, sf), "scored"), "clv", 3)
+    frame = stage(lab.select("Quantity", "UnitPrice", K.month_period(F.dayofmonth("InvoiceDate")).alias("period"),
+                             F.col("cluster").cast("string").alias("cluster")), "moment-frame")
+    train = CL.fit_ready(frame)
+    model = CL.multinomial(train, "cluster", ["Quantity", "UnitPrice"], ["period"])
+    m = CL.multinomial_moments(model, train, "cluster", ["Quantity", "UnitPrice"], ["period"])
+    near = F.abs(F.col("expected") - F.col("observed")) <= F.lit(MOMENT_TOLERANCE) * F.col("scale")
+    return m.select("class", "term", F.round("observed", 3).alias("observed"), near.alias("balanced"))
+
+
 @query("q_stepwise_aic")
 def q_stepwise_aic(spark, sf):
     train, _ = segment_model_frame(spark, sf)
