@@ -292,26 +292,33 @@ def _finish(batches):
                                          names=["row", "n_words", "hit_spans", "hit_items"])
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int, k: int, schema: T.StructType) -> DataFrame:
-    """The join by shuffle: ``docs`` (row, text) against ``items`` (item, text)."""
-    base = stage(docs.withColumn("uid", F.monotonically_increasing_id()), "decontam-docs")
+def _joined(docs: DataFrame, text_col: str, items: DataFrame, window: int, k: int, schema: T.StructType) -> DataFrame:
+    """The join by shuffle: ``docs`` (row) against ``items`` (item, text).
+
+    Meetings and hits are written before the documents are joined with them,
+    so Spark knows their size: few of them are broadcast and the texts stay
+    where they are, many are joined by shuffle.
+    """
+    base = stage(docs.select(F.monotonically_increasing_id().alias("uid"), "row"), "decontam-docs")
+    text = F.col(f"row.`{text_col}`").alias("text")
     given = stage(items.where("text IS NOT NULL").withColumn("iid", F.monotonically_increasing_id()), "decontam-items")
     prints = "array<struct<size:long,print:long,at:long>>"
     known = stage(given.select("iid", "text").mapInArrow(_item_prints(window, k), f"iid long, words string, n long, prints {prints}")
                   .join(given.select("iid", "item"), "iid"), "decontam-prints")
     theirs = known.select("iid", "n", F.inline("prints"))
     sizes = [r.size for r in theirs.where("size > 0").select(F.col("size").alias("size")).distinct().collect()]  # below window
-    mine = base.select("uid", "text").mapInArrow(_doc_prints(window, k, sizes), "uid long, size long, print long, pos long")
+    mine = base.select("uid", text).mapInArrow(_doc_prints(window, k, sizes), "uid long, size long, print long, pos long")
     met = mine.join(theirs, ["size", "print"]).select("uid", "iid", (F.col("pos") - F.col("at")).alias("diag"), "n").distinct()
-    seeds = met.groupBy("uid").agg(F.collect_list(F.struct("iid", "diag", "n")).alias("seeds"))
-    cut = base.select("uid", "text").join(seeds, "uid").mapInArrow(_stretches, "uid long, iid long, start long, skip long, stretch string")
+    seeds = stage(met.groupBy("uid").agg(F.collect_list(F.struct("iid", "diag", "n")).alias("seeds")), "decontam-seeds")
+    cut = base.select("uid", text).join(seeds, "uid").mapInArrow(_stretches, "uid long, iid long, start long, skip long, stretch string")
     runs = cut.join(known, "iid").select("uid", "start", "skip", "stretch", "item", "words", "n")
     kind = given.schema["item"].dataType.simpleString()
     hits = runs.mapInArrow(_compare(window), f"uid long, start long, stop long, item {kind}").groupBy("uid").agg(
         F.collect_set(F.struct("start", "stop")).alias("hit_spans"),
         F.transform(F.sort_array(F.collect_set(F.struct("item"))), lambda x: x["item"]).alias("hit_items"))
+    hits = stage(hits, "decontam-hits")
     none = F.array().cast(f"array<{kind}>")
-    full = base.join(hits, "uid", "left").select("row", "text", "hit_spans", F.coalesce("hit_items", none).alias("hit_items"))
+    full = base.join(hits, "uid", "left").select("row", text, "hit_spans", F.coalesce("hit_items", none).alias("hit_items"))
     return full.mapInArrow(_finish, schema)
 
 
@@ -335,7 +342,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                        F.array().cast(f"array<{kind}>").alias("hit_items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in result.schema])
     if not small_enough(items, INDEX_ITEMS, F.coalesce(F.octet_length("text"), F.lit(0)), index_bytes):
-        return _joined(df, items, window, k, schema)
+        return _joined(df, text_col, items, window, k, schema)
     index = BenchmarkIndex([tuple(r) for r in items.where("text IS NOT NULL").collect()], window, k, kind == "long")
     return df.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
 
