@@ -85,7 +85,10 @@ def association_rules(baskets: DataFrame, min_support: float, min_confidence: fl
 
 
 def basket_matrix(baskets_long: DataFrame, basket: str, item: str, items: list[str]) -> DataFrame:
-    """Long -> wide 0/1 matrix for an explicit item list (71); mining never uses it."""
-    pairs = baskets_long.select(basket, F.col(item).cast("string").alias("__item")).distinct()
-    wide = pairs.groupBy(basket).pivot("__item", items).agg(F.count(F.lit(1)))
-    return wide.fillna(0, subset=items).select(basket, *[F.col(f"`{i}`").cast("int").alias(i) for i in items])
+    """Long -> wide 0/1 matrix for an explicit item list (71); mining never uses it.
+
+    One aggregate with a number per item and basket: repeated pairs need no
+    pass of their own, and a task holds one small row per basket.
+    """
+    has = F.col(item).cast("string")
+    return baskets_long.groupBy(basket).agg(*[F.max(F.coalesce((has == F.lit(i)).cast("int"), F.lit(0))).alias(i) for i in items])
