@@ -29,7 +29,9 @@ UNKNOWN = "und"
 #: labelled rows per language that the classifier is fitted on, and rounds of the fit
 FIT_ROWS, ROUNDS = 4_000, 3
 #: words of more bytes are rescaled at every position; different words that a worker remembers
-LONG, MEMO = 48, 600_000
+LONG, MEMO = 48, 150_000
+#: short words whose prefixes are handled beside each other
+TOGETHER = 2048
 #: factor per byte that keeps products of small probabilities in range
 SCALE = 16.0
 MARK = "▁"
@@ -99,8 +101,8 @@ class Pieces:
         out = np.empty((len(words), scaled.shape[1]))
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         short = [i for i in order if len(words[i]) <= LONG]
-        for u in range(0, len(short), 8192):
-            part = short[u:u + 8192]
+        for u in range(0, len(short), TOGETHER):
+            part = short[u:u + TOGETHER]
             data, starts, sizes = self.words([words[i] for i in part])
             alpha = self.forward(data, starts, sizes, scaled)
             out[part] = np.log(np.maximum(alpha[np.arange(len(part)), sizes], 1e-300))
@@ -113,11 +115,11 @@ class Pieces:
     def expected(self, words: list[bytes], counts: np.ndarray, scaled: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces, languages) of counted words over all segmentations."""
         total = np.zeros((self.n, scaled.shape[1]))
-        for u in range(0, len(words), 4096):
-            data, starts, sizes = self.words(words[u:u + 4096])
+        for u in range(0, len(words), TOGETHER):
+            data, starts, sizes = self.words(words[u:u + TOGETHER])
             alpha = self.forward(data, starts, sizes, scaled)
             rows = np.arange(len(starts))
-            weight = counts[u:u + 4096] / np.maximum(alpha[rows, sizes], 1e-300)
+            weight = counts[u:u + TOGETHER] / np.maximum(alpha[rows, sizes], 1e-300)
             beta = np.zeros_like(alpha)
             beta[rows, sizes] = 1.0
             met, mass = [], []
