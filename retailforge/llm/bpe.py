@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 
 from retailforge.llm import wordnum as W
+from retailforge.llm.common import held
 from retailforge.llm.trie import Trie
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 #: pieces of more bytes are handled one at a time
 LONG = 48
+#: bytes of text handled at once: dozens of arrays have a number per byte
+BLOCK = 1 << 18
 #: different pieces that a worker remembers between blocks
 MEMO = 250_000
 # Fixed values of the vocabulary's pattern: short endings split off a word.
@@ -295,7 +298,7 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.tokens, self.counts = Flat(np.uint32), Flat(np.int32)
 
-    def blocks(self, col: pa.Array, size: int = W.BLOCK):
+    def blocks(self, col: pa.Array, size: int = BLOCK):
         data, bounds = W.as_bytes(col)
         a, n = 0, len(bounds) - 1
         while a < n:
@@ -387,11 +390,6 @@ class Encoder:
         return count[1:].astype(np.int64), np.array(chain[::-1], np.uint32)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, counts: bool = True) -> Encoder:
-    """One encoder for each worker process and vocabulary, with or without the counts of prefixes."""
-    if (path, counts) not in _encoders:
-        _encoders[path, counts] = Encoder(path, counts)
-    return _encoders[path, counts]
+    """The worker process's encoder for a vocabulary, with or without the counts of prefixes."""
+    return held((Encoder, path, counts), lambda: Encoder(path, counts))

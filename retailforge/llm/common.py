@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,42 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a reused worker otherwise keeps the most that any of its tasks took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function of Arrow batches whose worker gives freed memory back before and after it."""
+    def tidied(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """``make()``, kept by this process until another key is asked for.
+
+    A worker serves the operators one after another; it holds the vocabulary
+    of one of them, not of all that it has met.
+    """
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+        give_back()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailforge.llm import wordnum as W
-from retailforge.llm.common import small_enough, with_row
+from retailforge.llm.common import small_enough, tidy, with_row
 from retailforge.session import stage
 
 WINDOW = 13
@@ -344,7 +344,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if not small_enough(items, INDEX_ITEMS, F.coalesce(F.octet_length("text"), F.lit(0)), index_bytes):
         return _joined(df, text_col, items, window, k, schema)
     index = BenchmarkIndex([tuple(r) for r in items.where("text IS NOT NULL").collect()], window, k, kind == "long")
-    return df.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
+    return df.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(index))), schema)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

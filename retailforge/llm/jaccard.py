@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailforge.llm import wordnum as W
-from retailforge.llm.common import column, components, small_enough, sorted_groups
+from retailforge.llm.common import column, components, small_enough, sorted_groups, tidy
 from retailforge.session import stage
 
 GRAM = 5
@@ -122,7 +122,7 @@ def _sign(batches):
     for batch in batches:
         n = batch.num_rows
         size, digest, sig = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), [None] * n
-        for b in W.blocks(batch.column(2)):
+        for b in W.blocks(batch.column(2), size=W.BLOCK // 4):
             for i, g in enumerate(gram_sets(b)):
                 k = b.row + i
                 if len(g):
@@ -177,7 +177,7 @@ def _gram_rows(batches):
     """``root, n, cid, copies, text`` -> the same with grams and signature in place of the text."""
     for batch in batches:
         grams, sig = [], []
-        for b in W.blocks(batch.column(4)):
+        for b in W.blocks(batch.column(4), size=W.BLOCK // 4):
             for g in gram_sets(b):
                 grams.append(g.tobytes())
                 sig.append(signature(g).tobytes())
@@ -274,21 +274,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("k_text"),
                       F.col(f"`{text_col}`").alias("text"))
-    signed = src.mapInArrow(_sign, "doc_id long, k_text long, n_grams long, d1 long, d2 long, sig binary")
+    signed = src.mapInArrow(tidy(_sign), "doc_id long, k_text long, n_grams long, d1 long, d2 long, sig binary")
     signed = stage(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     classes = stage(signed.where("n_grams > 0").groupBy("d1", "d2").agg(
         F.min("uid").alias("cid"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"),
         F.min(F.struct("uid", "doc_id", "k_text")).alias("one"), F.first("sig").alias("sig")), "classes")
 
     # buckets of two and more classes; buckets with the same members are kept once
-    keys = classes.select("cid", "sig").mapInArrow(_band_keys, "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
+    keys = classes.select("cid", "sig").mapInArrow(tidy(_band_keys), "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
     keys = stage(keys, "bands")
     shared = (keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"),
                                       F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
               .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
     members = stage(keys.join(shared, "key"), "buckets").join(classes.select("cid", "sig"), "cid")
     stars = _blocks(members, "key", "n", BUCKET_BLOCK).select("key", "lo", "hi", "cid", "side", "sig").mapInArrow(
-        _candidate_stars, "a long, b long")
+        tidy(_candidate_stars), "a long, b long")
     groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     wanted = stage(groups.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "copies", "one"), "node")
@@ -297,9 +297,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     right = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
     texts = src.join(right, src["doc_id"].eqNullSafe(right["w_id"]) & (src["k_text"] == right["w_text"]))
     grams = texts.select("root", "n", "cid", "copies", "text").mapInArrow(
-        _gram_rows, "root long, n long, cid long, copies long, grams binary, sig binary")
+        tidy(_gram_rows), "root long, n long, cid long, copies long, grams binary, sig binary")
     checked = stage(_blocks(grams, "root", "n", GROUP_BLOCK).select("root", "lo", "hi", "cid", "side", "copies", "grams", "sig")
-                    .mapInArrow(_verified, "cid long, links long, docs long, head long"), "links-of-classes")
+                    .mapInArrow(tidy(_verified), "cid long, links long, docs long, head long"), "links-of-classes")
     linked = checked.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     roots = components(checked.select(F.col("cid").alias("a"), F.col("head").alias("b")))
     named = (classes.select("d1", "d2", "cid", "class_id", "copies").join(linked, "cid", "left")

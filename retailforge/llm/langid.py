@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailforge.llm import wordnum as W
-from retailforge.llm.common import with_row
+from retailforge.llm.common import held, tidy, with_row
 from retailforge.llm.tokencount import vocabulary_path
 from retailforge.llm.trie import Trie
 from retailforge.session import stage
@@ -179,14 +179,9 @@ class Pieces:
         return total
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(name: str) -> Pieces:
     path = vocabulary_path(name)
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return held((Pieces, path), lambda: Pieces(path))
 
 
 class Model:
@@ -279,14 +274,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted(sizes)
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, fit_rows / sizes[g])))])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    counted = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long")
+    counted = sample.select("lang", "text").mapInArrow(tidy(_count_words), "lang string, word binary, n long")
     by_lang = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).cast("double") for g in langs]
     words = stage(counted.groupBy("word").agg(F.array(*by_lang).alias("n")), "language-words")
     p = pieces(vocabulary)
     probs = np.repeat(p.uniform()[:, None], len(langs), 1)
     for _ in range(rounds):
         scaled = spark.sparkContext.broadcast(probs * SCALE ** p.size[:, None])
-        table = words.mapInArrow(_expect(vocabulary, scaled), "piece int, lang int, n double")
+        table = words.mapInArrow(tidy(_expect(vocabulary, scaled)), "piece int, lang int, n double")
         total = np.zeros_like(probs)
         for r in table.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():  # pieces x languages at most
             total[r.piece, r.lang] = r.n
@@ -340,7 +335,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     shared = df.sparkSession.sparkContext.broadcast(model) if model is not None else None
     out = T.StructType([T.StructField("row", df.schema["row"].dataType), T.StructField("lang_pred", T.StringType()),
                         T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(_predict(shared), out)
+    return df.mapInArrow(tidy(_predict(shared)), out)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailforge.llm import bpe
+from retailforge.llm.common import tidy
 from retailforge.llm.tokencount import piece_sizes, vocabulary_path
 from retailforge.session import stage
 
@@ -259,7 +260,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     ignored.  A shard of ``shard`` pieces is one task's work.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = src.mapInArrow(_pieces(vocabulary, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = src.mapInArrow(tidy(_pieces(vocabulary, capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "token-pieces")
     open_ = pieces.where(F.col("length") < capacity).select("uid", "length")
     placed = pieces.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

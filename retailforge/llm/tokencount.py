@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailforge.llm import bpe
-from retailforge.llm.common import with_row
+from retailforge.llm.common import tidy, with_row
 
 
 def vocabulary_path(name: str) -> str:
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
                         T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())])
     if store:
         out.add("prefix_tokens", T.ArrayType(T.IntegerType()))
-    return df.mapInArrow(_count(vocabulary, limit, store), out)
+    return df.mapInArrow(tidy(_count(vocabulary, limit, store)), out)
 
 
 def tokens_of_prefix(prefix_tokens: str, n_chars: Column | int) -> Column:

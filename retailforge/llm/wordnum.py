@@ -47,7 +47,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int):
     """Powers of the base and of its inverse, grown as needed."""
     if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
+        size = max(n, 2 * len(_powers[0]))
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for k, b in enumerate((_BASE, inverse)):
             p = np.full(size, b, np.uint64)
