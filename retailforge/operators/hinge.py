@@ -37,6 +37,40 @@ def _eval_terms(pdf: pd.DataFrame, terms: list[Term]) -> np.ndarray:
     return out
 
 
+#: rows of candidate columns that are filled at once, so that they stay in the processor's cache
+FILL_ROWS = 256
+
+
+class Candidates:
+    """Both hinge columns of every candidate (parent, variable, knot) for one batch of rows after another.
+
+    The two matrices are kept between batches: new ones of that size would cost more than their values.
+    """
+
+    def __init__(self, xs: list[str], cands: list[tuple[int, str, float]]):
+        self.parent = np.array([pi for pi, _, _ in cands], np.int64)
+        self.var = np.array([xs.index(x) for _, x, _ in cands], np.int64)
+        self.knot = np.array([t for _, _, t in cands], float)
+        self.right = self.left = np.empty((0, len(cands)))
+
+    def __call__(self, B: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``parent * max(0, x - t)`` and ``parent * max(0, t - x)``, valid until the next call."""
+        n = len(B)
+        if len(self.right) < n:
+            self.right, self.left = np.empty((n, len(self.knot))), np.empty((n, len(self.knot)))
+        right, left = self.right[:n], self.left[:n]
+        for a in range(0, n, FILL_ROWS):
+            g = slice(a, min(a + FILL_ROWS, n))
+            parent, away = B[g][:, self.parent], X[g][:, self.var]
+            away -= self.knot
+            np.maximum(away, 0, out=right[g])
+            right[g] *= parent
+            np.negative(away, out=away)
+            np.maximum(away, 0, out=left[g])
+            left[g] *= parent
+        return right, left
+
+
 def term_column(term: Term) -> Column:
     e = F.lit(1.0)
     for var, knot, sign in term:
@@ -105,20 +139,18 @@ def forward_pass(df: DataFrame, ys: list[str], xs: list[str], degree: int = 2, m
         size = C * M * 2 + C * 3 + C * r * 2 + M * M + M * r + r * r
 
         def part(it, terms=list(terms), cands=cands):
-            acc = np.zeros(size)
+            acc, columns = np.zeros(size), Candidates(xs, cands)
             for pdf in it:
                 if not len(pdf):
                     continue
                 B = _eval_terms(pdf, terms)
                 Y = np.column_stack([pdf[y].to_numpy(float) for y in ys])
-                X = {x: pdf[x].to_numpy(float) for x in xs}
-                c1 = np.column_stack([B[:, pi] * np.maximum(X[x] - t, 0) for pi, x, t in cands])
-                c2 = np.column_stack([B[:, pi] * np.maximum(t - X[x], 0) for pi, x, t in cands])
+                c1, c2 = columns(B, np.column_stack([pdf[x].to_numpy(float) for x in xs]))
                 o = 0
                 for block in (c1.T @ B, c2.T @ B):
                     acc[o:o + block.size] += block.ravel(); o += block.size
-                for v in ((c1 * c1).sum(0), (c1 * c2).sum(0), (c2 * c2).sum(0)):
-                    acc[o:o + C] += v; o += C
+                for u, v in ((c1, c1), (c1, c2), (c2, c2)):
+                    acc[o:o + C] += np.einsum("ij,ij->j", u, v); o += C
                 for block in (c1.T @ Y, c2.T @ Y):
                     acc[o:o + block.size] += block.ravel(); o += block.size
                 for block in (B.T @ B, B.T @ Y, Y.T @ Y):

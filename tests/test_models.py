@@ -121,3 +121,17 @@ def test_permutation_keeps_the_values(spark):
     assert sorted(got["x"]) == sorted(range(0, 1000, 2)) and len(got) == 500
     assert (got["x"] == 2 * got["y"]).sum() < 15 and CL.permute_column(df.repartition(5), "x", "id").toPandas().set_index("id")["x"].equals(
         got.set_index("id")["x"].reindex(CL.permute_column(df.repartition(5), "x", "id").toPandas()["id"]))
+
+
+@pytest.mark.parametrize("sizes", [(700, 300, 900), (1, 256, 0)])
+def test_hinge_candidates_equal_their_formula_batch_after_batch(sizes):
+    rng = np.random.default_rng(3)
+    cands = [(pi, x, float(t)) for pi in range(3) for x in ("a", "b") for t in rng.normal(size=4)]
+    columns = HG.Candidates(["a", "b"], cands)
+    for n in sizes:  # a later batch must not see rows of an earlier one
+        B, X = rng.normal(size=(n, 3)), rng.normal(size=(n, 2))
+        right, left = columns(B, X)
+        assert right.shape == left.shape == (n, len(cands))
+        for k, (pi, x, t) in enumerate(cands):
+            v = X[:, "ab".index(x)]
+            assert np.array_equal(right[:, k], B[:, pi] * np.maximum(v - t, 0)) and np.array_equal(left[:, k], B[:, pi] * np.maximum(t - v, 0))
